@@ -44,7 +44,8 @@ _LINE = re.compile(
 _BLOCK_TAGS = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol li pre html body head section article main header footer table tbody thead tr td th dl dt dd blockquote hr".split())
 _INLINE = re.compile(
     r"<!--|&(?:#\d+|#x[0-9a-f]+|[a-z][a-z0-9]*);|\[\[|\]\]|\{\{|\}\}|\]\([^)\s]*\)|!\[|\[\^[^\]\s]+\]|''|~~|``|`[^`\n]+`"
-    r"|(?<![\w*])\*{1,3}(?=[\w\[\"'(])|(?<=[\w.,;:!?)\]])\*{1,3}(?!\w)|(?<!\w)_{1,3}(?=[A-Za-z0-9\[])|(?<=[\w.,;:!?)\]])_{1,3}(?!\w)"
+    r"|(?<![\w*])\*(?=[\w\[(\"'~])[^*\n]*[^\s*]\*(?![\w*])|(?<!\*)\*{2,3}(?=[\w\[(\"'])|(?<=[\w.,;:!?)\]])\*{2,3}(?!\*)"
+    r"|(?<!\w)_(?=[A-Za-z0-9\[])[^_\n]*[^\s_]_(?!\w)|(?<!\w)_{2,3}(?=[A-Za-z0-9\[])|(?<=[\w.,;:!?)\]])_{2,3}(?!\w)"
     r"|\{\\[a-z]+\b|\\(?:emph|text[a-z]{2}|underline|href|url|footnote|cite[a-z]*|ref|label|enquote|uline|sout|textcolor|includegraphics|quote)\b|\\(?:em|bf|it|tt|sc|sl)\b|\\\\|~\\"
     r"|\\begin\{(?:quote|quotation|center)\}|\\(?:newline|linebreak|par)\b",
     re.I,
@@ -99,8 +100,7 @@ def parse(text: str) -> tuple[list[tuple[str, int, int, str]], bool]:
     found.sort(key=lambda x: x[1])
     inline = comments or bool(_INLINE.search(_LINE.sub(lambda m: " " + (m["atxt"] or m["wtxt"] or m["btxt"] or m["stxt"]), text)))
     if not inline and "<" in text:
-        opened = Counter(m[0][1] == "/" or m[1].lower() for m in _TAG.finditer(text))
-        inline = any(m[1].lower() not in _BLOCK_TAGS for m in _TAG.finditer(text)) if opened else False
+        inline = any(m[1].lower() not in _BLOCK_TAGS for m in _TAG.finditer(text))
     return found, inline
 
 
@@ -204,10 +204,11 @@ def fit_weights(labelled: DataFrame, markup: str, text: str, most: int = 2_000)
     covers, and at most -0.01; words score the share inside.  At most ``most`` pages are
     used (the first by hash of their text, so any page may be among them).
     """
-    rows = labelled.select(F.col(markup).alias("m"), F.col(text).alias("t")).where("m is not null and t is not null").distinct()
+    rows = labelled.select(F.col(markup).alias("m"), F.col(text).alias("t")).where("m is not null and t is not null").withColumn("h", F.xxhash64("m", "t"))
+    last = rows.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
     inside: Counter = Counter()
     total: Counter = Counter()
-    for r in rows.orderBy(F.xxhash64("m", "t")).limit(most).collect():
+    for r in rows.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"]).select("m", "t").toLocalIterator() if last is not None else ():
         want = set(re.findall(r"\w+", r.t))
         tokens = [(m[1].lower() if m[1] else "", m[0]) for m in _TOKEN.finditer(r.m)]
         at = [i for i, (tag, w) in enumerate(tokens) if not tag and w in want]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import components, leakage, markup
+from citeloom.llm import components, leakage, markup, subjects
 from citeloom.session import table
 
 
@@ -29,8 +29,12 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "item_id")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.assign_subjects(table(spark, d, "documents"), table(spark, d, "doc_subjects"), table(spark, d, "subjects"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p6_found, p8_found)}
+    return {f.__name__: f for f in (p1_found, p6_found, p8_found, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,14 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import components, leakage, markup, subjects
+from citeloom.llm import components, leakage, markup, names, packing, subjects, tokens
 from citeloom.session import table
+from citeloom.staging import stage
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return components.connected_components(table(spark, d, "relate").where("kind = 'duplicates'"), "src_node_id", "dst_node_id")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.name_pairs(names.link_names(names.card_spellings(table(spark, d, "cards"))))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "opendebate_rows").select("id", "markup", "fulltext")
     weights = markup.fit_weights(rows, "markup", "fulltext")
@@ -24,6 +29,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b).select("field", "rec_key", "element", "seq").distinct()
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    sizes = stage(tokens.token_counts(table(spark, d, "documents"), "doc_id", "text"), "tokens")
+    packs = [(r.pack_name, r.capacity_tokens) for r in table(spark, d, "pack_sizes").orderBy("pack_name").collect()]
+    return packing.fill_containers(sizes, "doc_id", "tokens", packs)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     found = leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text")
     return found.select("doc_id", "item_id")
@@ -34,7 +45,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p6_found, p8_found, p9_found)}
+    return {f.__name__: f for f in (p1_found, p3_found, p6_found, p7_containers, p8_found, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import components, leakage, markup, names, packing, subjects, tokens
+from citeloom.llm import components, consensus, leakage, markup, names, packing, spans, subjects, tokens
 from citeloom.session import table
 from citeloom.staging import stage
 
@@ -16,10 +16,25 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return components.connected_components(table(spark, d, "relate").where("kind = 'duplicates'"), "src_node_id", "dst_node_id")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.best_records(table(spark, d, "cards"), p1_found(spark, d)).select("group_id", "card_id", "cite_card_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return names.name_pairs(names.link_names(names.card_spellings(table(spark, d, "cards"))))
 
 
+def _card_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(field, key, text) of both card texts."""
+    cards = table(spark, d, "cards")
+    both = F.array(*[F.struct(F.lit(f"cards.{c}").alias("field"), F.col(c).alias("text")) for c in ("body", "read_text")])
+    return cards.select("card_id", F.explode(both).alias("x")).select("x.field", "card_id", "x.text")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(_card_texts(spark, d), "field", "card_id", "text")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "opendebate_rows").select("id", "markup", "fulltext")
     weights = markup.fit_weights(rows, "markup", "fulltext")
@@ -45,7 +60,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p6_found, p7_containers, p8_found, p9_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p6_found, p7_containers, p8_found, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:

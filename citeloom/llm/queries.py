@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import components, consensus, leakage, markup, names, packing, spans, subjects, tokens
+from citeloom.llm import components, consensus, leakage, markup, names, neardup, packing, spans, subjects, tokens
 from citeloom.session import table
 from citeloom.staging import stage
 
@@ -31,6 +31,11 @@ def _card_texts(spark: SparkSession, d: str) -> DataFrame:
     return cards.select("card_id", F.explode(both).alias("x")).select("x.field", "card_id", "x.text")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    dataset = table(spark, d, "opendebate_rows").select(F.lit("opendebate_rows.fulltext").alias("field"), F.col("id").cast("string").alias("card_id"), F.col("fulltext").alias("text"))
+    return neardup.near_duplicates(_card_texts(spark, d).unionByName(dataset), "field", "card_id", "text", width=3, least=0.7, least_words=20)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(_card_texts(spark, d), "field", "card_id", "text")
 
@@ -60,7 +65,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p6_found, p7_containers, p8_found, p9_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_containers, p8_found, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.skew import lookup_join
-from citeloom.staging import drop_staged, stage
+from citeloom.staging import stage
 
 #: Words in an anchor.
 GRAM = 8
-#: Contexts compiled into one automaton, and contexts from which an anchor is split by run.
-SHARD_CONTEXTS, HOT_CONTEXTS = 2_000, 20_000
+#: Contexts compiled into one automaton, and occurrences from which an anchor is split by run.
+SHARD_CONTEXTS, HOT_CONTEXTS = 2_000, 50_000
 _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
 
 
@@ -121,12 +121,18 @@ def _shards(batches, span: int):
     held: list = []
 
     def flush(rows):
-        found = locate([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], span, [r[5] for r in rows])
-        out = [(r[4], [a for a, _ in f], [b for _, b in f]) for r, f in zip(rows, found) if f]
-        return pd.DataFrame(out, columns=["context_id", "starts", "ends"])
+        # equal contexts of a field are looked at once
+        distinct: dict[tuple, list] = {}
+        for r in rows:
+            d = distinct.setdefault((r[1], r[2]), [r[3], r[3]])
+            d[0], d[1] = min(d[0], r[3]), max(d[1], r[3])
+        keys = list(distinct)
+        found = dict(zip(keys, locate([k[1] for k in keys], [distinct[k][0] for k in keys], [distinct[k][1] for k in keys], span, [k[0] for k in keys])))
+        out = [(r[3], r[4] + a, r[4] + b) for r in rows for a, b in found[r[1], r[2]]]
+        return pd.DataFrame(out, columns=["class", "s", "e"])
 
     for pdf in batches:
-        for row in zip(pdf["key"], pdf["context"], pdf["lo"], pdf["hi"], pdf["context_id"], pdf["field"]):
+        for row in zip(pdf["anchor"], pdf["field"], pdf["context"], pdf["class"], pdf["first"]):
             if len(held) >= SHARD_CONTEXTS and row[0] != held[-1][0]:
                 yield flush(held)
                 held = []
@@ -135,6 +141,30 @@ def _shards(batches, span: int):
         yield flush(held)
 
 
+def _cut(batches, span: int):
+    """The contexts of a text's recurring anchors; a text is looked at once however many rows have it."""
+    seen: set = set()
+    for pdf in batches:
+        out = []
+        for f, c, t, rs in zip(pdf["field"], pdf["class"], pdf["text"], pdf["runs"]):
+            if c in seen:
+                continue
+            seen.add(c)
+            words = t.split()
+            for r in rs:
+                out.append((f, c, r["anchor"], r["first"], " ".join(words[r["first"] : r["last"] + span])))
+        yield pd.DataFrame(out, columns=["field", "class", "anchor", "first", "context"])
+
+
+def _single_runs(contexts: DataFrame, hot: DataFrame, span: int) -> DataFrame:
+    """Contexts of hot anchors, run by run: distinct runs come with the smallest and largest class, which is all that confirms them."""
+    w = F.split("context", " ")
+    runs = contexts.join(F.broadcast(hot), "anchor").withColumn("shift", F.explode(F.sequence(F.lit(0), F.size(w) - span)))
+    runs = runs.select("field", "class", (F.col("first") + F.col("shift")).alias("s"), F.array_join(F.slice(w, F.col("shift") + 1, span), " ").alias("run"))
+    confirmed = runs.groupBy("field", "run").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("field", "run")
+    return lookup_join(runs, confirmed, ["field", "run"]).select("class", "s", (F.col("s") + span - 1).alias("e"))
+
+
 def shared_spans(records: DataFrame, field: str, key: str, text: str, span: int = 25, gram: int = GRAM) -> DataFrame:
     """(field, key, first_word, last_word): maximal stretches of words shared with another key of the same field.
 
@@ -144,8 +174,7 @@ def shared_spans(records: DataFrame, field: str, key: str, text: str, span: int
     inside one record is not shared.
     """
     rows = records.select(F.col(field).alias("field"), F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
-    rows = rows.withColumn("class", F.unhex(F.md5(F.concat_ws("\u0001", "field", "text"))))
-    cells = "class binary, anchor bigint, first int, last int, words int"
+    rows = rows.withColumn("class", F.xxhash64("field", "text"))
 
     def find(batches):
         for pdf in batches:
@@ -154,45 +183,22 @@ def shared_spans(records: DataFrame, field: str, key: str, text: str, span: int
             salt = pd.util.hash_array(pdf["field"].to_numpy(dtype=object)) if len(pdf) else np.empty(0, dtype=np.uint64)
             with np.errstate(over="ignore"):
                 a = mix(a + salt[t]) if len(t) else a
-            yield pd.DataFrame({"class": pdf["class"].to_numpy(dtype=object)[t], "anchor": a.view(np.int64), "first": first.astype(np.int32), "last": last.astype(np.int32), "words": counts[t].astype(np.int32)})
-
-    found = stage(rows.select("field", "class", "text").mapInPandas(find, cells), "anchors")
-    recurring = found.groupBy("anchor").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("anchor")
-    runs = lookup_join(found, recurring, ["anchor"]).groupBy("class").agg(F.collect_set(F.struct("first", "last", "anchor")).alias("runs"))
-    one = rows.join(runs, "class")  # the texts that hold a recurring anchor
-
-    def cut(batches):
-        for pdf in batches:
-            out, seen = [], set()
-            for f, c, t, rs in zip(pdf["field"], pdf["class"], pdf["text"], pdf["runs"]):
-                if c in seen:
-                    continue
-                seen.add(c)
-                words = t.split()
-                for r in rs:
-                    out.append((f, c, r["anchor"], r["first"], " ".join(words[r["first"] : r["last"] + span])))
-            yield pd.DataFrame(out, columns=["field", "class", "anchor", "first", "context"])
-
-    contexts = one.select("field", "class", "text", "runs").mapInPandas(cut, "field string, class binary, anchor bigint, first int, context string")
-    contexts = stage(contexts.withColumn("context_id", F.unhex(F.md5(F.concat_ws("\u0001", "anchor", "context")))), "contexts")
-    drop_staged(found)
-    distinct = contexts.groupBy("field", "anchor", "context", "context_id").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
-    distinct = stage(distinct, "distinct-contexts")
-    hot = distinct.groupBy("anchor").count().where(F.col("count") >= HOT_CONTEXTS).select("anchor")
-    plain = distinct.join(hot, "anchor", "left_anti").select("field", F.col("anchor").alias("key"), "context", "lo", "hi", "context_id", F.lit(0).alias("shift"))
-    # runs of a hot anchor are looked at one by one, so that they spread over shards
-    w = F.split("context", " ")
-    single = distinct.join(hot, "anchor", "left_semi").withColumn("shift", F.explode(F.sequence(F.lit(0), F.size(w) - span)))
-    single = single.withColumn("context", F.array_join(F.slice(w, F.col("shift") + 1, span), " "))
-    single = single.select("field", F.xxhash64("anchor", "context").alias("key"), "context", "lo", "hi", "context_id", "shift")
-    ordered = plain.unionByName(single).withColumn("context_id", F.struct("context_id", "shift"))
-    ordered = ordered.repartition("key").sortWithinPartitions("key")
-    hits = ordered.select("field", "key", "context", "lo", "hi", F.concat(F.col("context_id.context_id"), F.encode(F.col("context_id.shift").cast("string"), "utf-8")).alias("context_id"))
-    hits = hits.mapInPandas(lambda b: _shards(b, span), "context_id binary, starts array<int>, ends array<int>")
-    split = hits.select(F.substring("context_id", 1, 16).alias("context_id"), F.decode(F.substring("context_id", 17, 12), "utf-8").cast("int").alias("shift"), F.explode(F.arrays_zip("starts", "ends")).alias("x"))
-    split = split.groupBy("context_id").agg(F.collect_set(F.struct((F.col("x.starts") + F.col("shift")).alias("s"), (F.col("x.ends") + F.col("shift")).alias("e"))).alias("x"))
-    placed = lookup_join(contexts.select("class", "first", "context_id"), split, ["context_id"]).select("class", F.explode(F.transform("x", lambda y: F.struct((y["s"] + F.col("first")).alias("s"), (y["e"] + F.col("first")).alias("e")))).alias("x"))
-    per = placed.groupBy("class").agg(F.collect_set("x").alias("x"))
+            yield pd.DataFrame({"class": pdf["class"].to_numpy()[t], "anchor": a.view(np.int64), "first": first.astype(np.int32), "last": last.astype(np.int32), "words": counts[t].astype(np.int32)})
+
+    found = stage(rows.select("field", "class", "text").mapInPandas(find, "class bigint, anchor bigint, first int, last int, words int"), "anchors")
+    classes = F.min("class").alias("lo"), F.max("class").alias("hi")
+    recurring = stage(found.groupBy("anchor").agg(*classes, F.count("*").alias("n")).where("lo <> hi").select("anchor", "n"), "recurring")
+    # at most (all anchors / HOT_CONTEXTS) of them
+    hot = stage(recurring.where(F.col("n") >= HOT_CONTEXTS).select("anchor"), "hot-anchors")
+    runs = found.join(recurring.select("anchor"), "anchor").groupBy("class").agg(F.collect_set(F.struct("first", "last", "anchor")).alias("runs"))
+    contexts = rows.join(runs, "class").select("field", "class", "text", "runs").mapInPandas(lambda b: _cut(b, span), "field string, class bigint, anchor bigint, first int, context string")
+    extra = None
+    if not hot.isEmpty():
+        contexts = stage(contexts, "contexts")
+        extra = _single_runs(contexts, hot, span)
+        contexts = contexts.join(F.broadcast(hot), "anchor", "left_anti")
+    hits = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(lambda b: _shards(b, span), "class bigint, s int, e int")
+    per = (hits if extra is None else hits.unionByName(extra)).groupBy("class").agg(F.collect_set(F.struct("s", "e")).alias("x"))
 
     def unite(batches):
         for pdf in batches:
@@ -202,16 +208,12 @@ def shared_spans(records: DataFrame, field: str, key: str, text: str, span: int
                 out.append((c, [a for a, _ in got], [b for _, b in got]))
             yield pd.DataFrame(out, columns=["class", "starts", "ends"])
 
-    partial = per.mapInPandas(unite, "class binary, starts array<int>, ends array<int>")
+    partial = stage(per.mapInPandas(unite, "class bigint, starts array<int>, ends array<int>"), "stretches")
     # a text that two records have in full is shared from its first word to its last
-    owners = rows.select("field", "key", "class", F.size(F.split(F.trim(F.regexp_replace("text", WHITE, " ")), " ")).alias("words")).where(F.col("words") >= span).distinct()
-    owners = stage(owners, "owners")
-    copied = owners.groupBy("class").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.min("words").alias("words")).where("lo <> hi")
-    whole = copied.select("class", F.array(F.lit(0)).alias("starts"), F.array(F.col("words") - 1).alias("ends"))
-    spans = partial.join(whole.select("class"), "class", "left_anti").unionByName(whole)
-    out = lookup_join(owners.drop("words"), spans, ["class"]).select("field", "key", F.explode(F.arrays_zip("starts", "ends")).alias("x"))
+    owners = stage(rows.select("field", "key", "class").distinct(), "owners")
+    copied = stage(owners.groupBy("class").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("class"), "copied")
+    length = found.select("class", "words").join(copied, "class").distinct()
+    whole = length.select("class", F.array(F.lit(0)).alias("starts"), F.array(F.col("words") - 1).alias("ends"))
+    spans = partial.join(copied, "class", "left_anti").unionByName(whole)
+    out = lookup_join(owners, spans, ["class"]).select("field", "key", F.explode(F.arrays_zip("starts", "ends")).alias("x"))
     return out.select("field", F.col("key").alias(key), F.col("x.starts").alias("first_word"), F.col("x.ends").alias("last_word"))
-
-
-#: White space as ``str.split`` sees it.
-WHITE = "[\\x09-\\x0d\\x1c-\\x20\\x85\\xa0  -     　]+"

@@ -24,14 +24,16 @@ from citeloom.llm.words import plain_words
 from citeloom.skew import lookup_join
 from citeloom.staging import drop_staged, stage
 
-#: Buckets of the frequency sketch (4 MB whatever the corpus), and slices it is summed in.
-BUCKETS, SLICES = 1 << 20, 16
+#: Bits of the frequency sketch's buckets (a byte each, 64 MB whatever the corpus), and slices it is summed in.
+BUCKET_BITS, SLICES = 26, 16
 #: Least overlap (of the larger set) for joining a cluster, most members of one, leaders tried.
 ALIKE, MOST_MEMBERS, LEADERS = 0.75, 32, 8
 #: Entries of a posting list compared at once; lists from ``HOT_LIST`` on are joined on the JVM.
 BLOCK, HOT_LIST = 64, 3_000
 #: Copies of one set up to which all their pairs are listed; beyond, each is paired with the smallest key.
 MOST_COPIES = 32
+#: Largest size that a posting tells from others.
+WIDEST = (1 << 21) - 1
 
 
 def prefix_length(n: int, least: float) -> int:
@@ -90,110 +92,160 @@ def _build(batches, width: int, least_words: int):
 
 
 def _sketch(batches):
-    total = np.zeros(BUCKETS, dtype=np.int64)
+    """Counts of the buckets that a batch touches, slice by slice."""
+    per = (1 << BUCKET_BITS) // SLICES
     for b in batches:
         _, tokens = _flat(b["tokens"])
-        total += np.bincount(tokens >> np.uint32(12), minlength=BUCKETS)
-    parts = np.split(total, SLICES)
-    yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), type=pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], type=pa.binary())], names=["slice", "counts"])
+        at, n = np.unique(tokens >> np.uint32(32 - BUCKET_BITS), return_counts=True)
+        cuts = np.searchsorted(at, np.arange(1, SLICES) * per)
+        parts = list(zip(np.split(at, cuts), np.split(n, cuts)))
+        steps = [zlib.compress(np.diff(p, prepend=0).astype(np.uint32).tobytes(), 1) for p, _ in parts]
+        counts = [zlib.compress(np.minimum(c, 65535).astype(np.uint16).tobytes(), 1) for _, c in parts]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), type=pa.int32()), pa.array(steps, type=pa.binary()), pa.array(counts, type=pa.binary())], names=["slice", "steps", "counts"])
 
 
 def _sum_slices(batches):
-    """Sum the count vectors of each slice, whatever the number of tasks that counted."""
+    """The sums of each slice as one byte a bucket: exact up to 127, a logarithm beyond."""
+    per = (1 << BUCKET_BITS) // SLICES
     totals: dict[int, np.ndarray] = {}
     for pdf in batches:
-        for s, c in zip(pdf["slice"], pdf["counts"]):
-            v = np.frombuffer(zlib.decompress(c), dtype=np.int64)
-            totals[s] = totals[s] + v if s in totals else v
-    yield pd.DataFrame([(s, zlib.compress(v.tobytes(), 1)) for s, v in totals.items()], columns=["slice", "counts"])
-
-
-def frequency_ranks(sets: DataFrame) -> np.ndarray:
-    """One small number per bucket of tokens: how frequent they are (a coarse logarithm)."""
-    parts = sets.select("tokens").mapInArrow(_sketch, "slice int, counts binary").repartition(SLICES, "slice").mapInPandas(_sum_slices, "slice int, counts binary")
-    total = np.zeros((SLICES, BUCKETS // SLICES), dtype=np.int64)
-    for r in parts.collect():  # SLICES rows
-        total[r["slice"]] += np.frombuffer(zlib.decompress(r["counts"]), dtype=np.int64)
-    return np.minimum(255, 2 * np.log2(total.ravel() + 1)).astype(np.uint8)
-
-
-def _order(batches, ranks):
-    """Tokens of each set from rare to frequent, and the key under which alike sets are likely to meet."""
+        for s, steps, counts in zip(pdf["slice"], pdf["steps"], pdf["counts"]):
+            at = np.cumsum(np.frombuffer(zlib.decompress(steps), dtype=np.uint32)) - s * per
+            if s not in totals:
+                totals[s] = np.zeros(per, dtype=np.uint32)
+            totals[s][at] += np.frombuffer(zlib.decompress(counts), dtype=np.uint16)
+    done = []
+    for s, v in totals.items():
+        code = np.where(v < 128, v, 128 + 5 * np.log2(np.maximum(v, 128) / 128)).clip(0, 255).astype(np.uint8)
+        done.append((s, zlib.compress(code.tobytes(), 1)))
+    yield pd.DataFrame(done, columns=["slice", "codes"])
+
+
+def frequency_codes(sets: DataFrame) -> np.ndarray:
+    """One byte per bucket of tokens: how often they occur.  1 proves that a token occurs once."""
+    parts = sets.select("tokens").mapInArrow(_sketch, "slice int, steps binary, counts binary").repartition(SLICES, "slice").mapInPandas(_sum_slices, "slice int, codes binary")
+    out = np.zeros((SLICES, (1 << BUCKET_BITS) // SLICES), dtype=np.uint8)
+    for r in parts.toLocalIterator():  # SLICES rows
+        out[r["slice"]] = np.frombuffer(zlib.decompress(r["codes"]), dtype=np.uint8)
+    return out.ravel()
+
+
+def _order(batches, codes, least: float):
+    """Tokens of each set from rare to frequent without those that occur once, and a key under which alike sets are likely to meet.
+
+    ``size`` counts all tokens, ``lone`` those left out.  A set with so many of them that
+    no other can reach ``least`` is left out as a whole.
+    """
     for b in batches:
         rows, tokens = _flat(b["tokens"])
+        if not len(rows):
+            continue
+        n = len(b["tokens"])
+        code = codes[tokens >> np.uint32(32 - BUCKET_BITS)]
+        size = np.bincount(rows, minlength=n)
+        lone = np.bincount(rows[code == 1], minlength=n)
+        usable = size - lone >= np.ceil(least * size - 1e-9)
+        keep = (code != 1) & usable[rows]
+        rows, tokens, code = rows[keep], tokens[keep], code[keep]
         if not len(rows):
             continue
         wide = tokens.astype(np.uint64)
-        key = np.sort((rows.astype(np.uint64) << np.uint64(40)) | (ranks[tokens >> np.uint32(12)].astype(np.uint64) << np.uint64(32)) | wide)
+        key = np.sort((rows.astype(np.uint64) << np.uint64(40)) | (code.astype(np.uint64) << np.uint64(32)) | wide)
         own, ordered = _lists((key >> np.uint64(40)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         with np.errstate(over="ignore"):
-            least = np.minimum.reduceat(mix(wide), np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1]))))
-        take = pa.array(own)
-        yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), b["class"].take(take), ordered], names=["meet", "class", "tokens"])
+            meet = np.minimum.reduceat(mix(wide), np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1]))))
+        arrays = [pa.array(meet.view(np.int64)), b["class"].take(pa.array(own)), pa.array(size[own].astype(np.int32)), pa.array(lone[own].astype(np.int32)), ordered]
+        yield pa.RecordBatch.from_arrays(arrays, names=["meet", "class", "size", "lone", "tokens"])
 
 
-_CLUSTERS = "cid bigint, leader array<int>, classes array<binary>, adds array<array<int>>, lacks array<array<int>>, tokens array<int>, places array<int>, low int, high int"
+_INTS = pa.list_(pa.int32())
+_SCHEMA = pa.schema([("cid", pa.int64()), ("leader", _INTS), ("classes", pa.list_(pa.binary())), ("sizes", _INTS), ("adds", pa.list_(_INTS)), ("lacks", pa.list_(_INTS)), ("tokens", _INTS), ("places", _INTS), ("low", pa.int32()), ("high", pa.int32())])
+_CLUSTERS = "cid bigint, leader array<int>, classes array<binary>, sizes array<int>, adds array<array<int>>, lacks array<array<int>>, tokens array<int>, places array<int>, low int, high int"
 
 
 def _cluster_run(run: list, least: float) -> list[dict]:
-    """Clusters of the sets (class, ordered tokens) that met under one key."""
+    """Clusters of the sets (class, size, lone, ordered tokens) that met under one key."""
     clusters: list[dict] = []
     seen = set()
-    for cls, tokens in run:
+    for cls, size, lone, tokens in run:
         if cls in seen:
             continue
         seen.add(cls)
-        own = None
-        if clusters:
-            own = set(tokens)
-            for c in clusters[-LEADERS:]:
-                if len(c["classes"]) < MOST_MEMBERS and len(own & c["set"]) >= ALIKE * max(len(own), len(c["set"])):
-                    c["classes"].append(cls)
-                    c["adds"].append([t for t in tokens if t not in c["set"]])
-                    c["lacks"].append([t for t in c["leader"] if t not in own])
-                    break
-            else:
-                c = None
-        else:
-            c = None
-        if c is None:
-            c = {"leader": tokens, "set": own if own is not None else set(tokens) if len(run) > 1 else None, "classes": [cls], "adds": [[]], "lacks": [[]], "posts": {}, "low": len(tokens), "high": 0}
-            clusters.append(c)
-        n = len(tokens)
-        c["low"], c["high"] = min(c["low"], n), max(c["high"], n)
-        posts = c["posts"]
-        for p, t in enumerate(tokens[: prefix_length(n, least)]):
-            if p < posts.get(t, 1 << 30):
-                posts[t] = p
+        own = set(tokens)
+        home = None
+        for c in clusters[-LEADERS:]:
+            if len(c["classes"]) < MOST_MEMBERS and len(own & c["set"]) >= ALIKE * max(size, c["sizes"][0]):
+                home = c
+                c["adds"].append([t for t in tokens if t not in c["set"]])
+                c["lacks"].append([t for t in c["leader"] if t not in own])
+                break
+        if home is None:
+            home = {"leader": tokens, "set": own, "classes": [], "sizes": [], "adds": [[]], "lacks": [[]], "posts": {}, "low": size, "high": size}
+            clusters.append(home)
+        home["classes"].append(cls)
+        home["sizes"].append(size)
+        home["low"], home["high"] = min(home["low"], size), max(home["high"], size)
+        posts = home["posts"]
+        for p, t in enumerate(tokens[: max(0, prefix_length(size, least) - lone)]):
+            if lone + p < posts.get(t, 1 << 30):
+                posts[t] = lone + p
     return clusters
 
 
-def _cluster(batches, least: float):
-    """Clusters of sets, in rows sorted by the key they meet under."""
-    at, run = None, []
+def _lone_clusters(b, least: float):
+    """Clusters of one set each, column by column."""
+    rows, tokens = _flat(b["tokens"])
+    size, lone = b["size"].to_numpy(), b["lone"].to_numpy()
+    n = len(size)
+    starts = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=n))))
+    place = np.arange(len(rows)) - starts[:-1][rows] + lone[rows]
+    keep = place < (size - np.ceil(least * size - 1e-9) + 1)[rows]
+    offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(rows[keep], minlength=n)))).astype(np.int32))
+    one = pa.array(np.arange(n + 1, dtype=np.int32))
+    none = pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, dtype=np.int32)), pa.array([], type=pa.int32()))
+    cid = np.frombuffer(b"".join(x[:8] for x in b["class"].to_pylist()), dtype=np.int64)
+    arrays = [
+        pa.array(cid), b["tokens"], pa.ListArray.from_arrays(one, b["class"]), pa.ListArray.from_arrays(one, b["size"]), pa.ListArray.from_arrays(one, none), pa.ListArray.from_arrays(one, none),
+        pa.ListArray.from_arrays(offsets, pa.array(tokens[keep].view(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(place[keep].astype(np.int32))), b["size"], b["size"],
+    ]
+    return pa.RecordBatch.from_arrays([x.cast(f.type) if x.type != f.type else x for x, f in zip(arrays, _SCHEMA)], schema=_SCHEMA)
 
-    def frame(done):
-        rows = []
-        for c in done:
-            cid = int.from_bytes(c["classes"][0][:8], "little", signed=True)
-            rows.append((cid, c["leader"], c["classes"], c["adds"], c["lacks"], list(c["posts"]), list(c["posts"].values()), c["low"], c["high"]))
-        return pd.DataFrame(rows, columns=["cid", "leader", "classes", "adds", "lacks", "tokens", "places", "low", "high"])
 
-    for b in batches:
+def _cluster(batches, least: float):
+    """Clusters of sets, in rows sorted by the key they meet under."""
+    held = None
+
+    def rows_of(b):
+        return list(zip(b["class"].to_pylist(), b["size"].to_pylist(), b["lone"].to_pylist(), b["tokens"].to_pylist()))
+
+    def emit(b):
+        meet = b["meet"].to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], meet[1:] != meet[:-1])))
+        ends = np.concatenate((starts[1:], [len(meet)]))
+        single = starts[ends - starts == 1]
+        if len(single):
+            yield _lone_clusters(b.take(pa.array(single)), least)
         done = []
-        for key, cls, tokens in zip(b["meet"].to_pylist(), b["class"].to_pylist(), b["tokens"].to_pylist()):
+        for s, e in zip(starts, ends):
             # a key under which very many sets meet is cut: clusters may be formed in any way
-            if key != at or len(run) >= 512:
-                done += _cluster_run(run, least)
-                at, run = key, []
-            run.append((cls, tokens))
-        yield pa.RecordBatch.from_pandas(frame(done), schema=_SCHEMA, preserve_index=False)
-    if run:
-        yield pa.RecordBatch.from_pandas(frame(_cluster_run(run, least)), schema=_SCHEMA, preserve_index=False)
+            for k in range(s, e, 512) if e - s > 1 else ():
+                done += _cluster_run(rows_of(b.slice(k, min(512, e - k))), least)
+        if done:
+            rows = [(int.from_bytes(c["classes"][0][:8], "little", signed=True), c["leader"], c["classes"], c["sizes"], c["adds"], c["lacks"], list(c["posts"]), list(c["posts"].values()), c["low"], c["high"]) for c in done]
+            yield pa.RecordBatch.from_pydict({f.name: [r[i] for r in rows] for i, f in enumerate(_SCHEMA)}, schema=_SCHEMA)
 
-
-_INTS = pa.list_(pa.int32())
-_SCHEMA = pa.schema([("cid", pa.int64()), ("leader", _INTS), ("classes", pa.list_(pa.binary())), ("adds", pa.list_(_INTS)), ("lacks", pa.list_(_INTS)), ("tokens", _INTS), ("places", _INTS), ("low", pa.int32()), ("high", pa.int32())])
+    for b in batches:
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        meet = b["meet"].to_numpy()
+        cut = int(np.searchsorted(meet, meet[-1], side="left")) if len(meet) else 0
+        if cut == 0 and len(meet) > 50_000:
+            cut = len(meet)
+        if cut:
+            yield from emit(b.slice(0, cut))
+        held = b.slice(cut) if cut < len(meet) else None
+    if held is not None and held.num_rows:
+        yield from emit(held)
 
 
 def join_list(cid: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, least: float) -> np.ndarray:
@@ -222,30 +274,29 @@ def join_list(cid: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndar
 
 
 def _join_lists(batches, least: float):
-    """Candidate pairs of clusters from postings sorted by token and size."""
+    """Candidate pairs of clusters from postings sorted by token and packed sizes."""
     held: list[np.ndarray] = []
-    names = ("token", "cid", "place", "low", "high")
 
-    def flush(cols):
-        token = cols[0]
+    def flush(token, cid, packed):
         starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         ends = np.concatenate((starts[1:], [len(token)]))
-        found = [join_list(*[c[s:e] for c in cols[1:]], least) for s, e in zip(starts, ends) if e - s > 1]
+        low, high, place = packed >> 42, (packed >> 21) & WIDEST, packed & WIDEST
+        found = [join_list(cid[s:e], place[s:e], low[s:e], high[s:e], least) for s, e in zip(starts, ends) if e - s > 1]
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), dtype=np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["c1", "c2"])
 
     for b in batches:
-        cols = [b[n].to_numpy(zero_copy_only=False).astype(np.int64) for n in names]
+        cols = [b[n].to_numpy(zero_copy_only=False) for n in ("token", "cid", "packed")]
         if held:
             cols = [np.concatenate((h, c)) for h, c in zip(held, cols)]
         if not len(cols[0]):
             continue
         cut = int(np.searchsorted(cols[0], cols[0][-1], side="left"))  # the last list may go on
         if cut:
-            yield flush([c[:cut] for c in cols])
+            yield flush(*[c[:cut] for c in cols])
         held = [c[cut:] for c in cols]
     if held:
-        yield flush(held)
+        yield flush(*held)
 
 
 def _member_overlap(base: int, adds, lacks, other: set) -> int:
@@ -253,17 +304,15 @@ def _member_overlap(base: int, adds, lacks, other: set) -> int:
     return base + sum(t in other for t in adds) - sum(t in other for t in lacks)
 
 
-def compare_clusters(l1: set, adds1, lacks1, l2: set, adds2, lacks2, least: float, within: bool = False):
+def compare_clusters(l1: set, sizes1, adds1, lacks1, l2: set, sizes2, adds2, lacks2, least: float, within: bool = False):
     """(i, j, Jaccard) of the members of two clusters (or of one, i < j) that reach ``least``."""
     base = len(l1) if within else len(l1 & l2)
     out = []
-    for i, (a, d) in enumerate(zip(adds1, lacks1)):
-        n1 = len(l1) + len(a) - len(d)
+    for i, (n1, a, d) in enumerate(zip(sizes1, adds1, lacks1)):
         first = _member_overlap(base, a, d, l2)
         plus, minus = set(a), set(d)
         for j in range(i + 1 if within else 0, len(adds2)):
-            a2, d2 = adds2[j], lacks2[j]
-            n2 = len(l2) + len(a2) - len(d2)
+            a2, d2, n2 = adds2[j], lacks2[j], sizes2[j]
             if min(n1, n2) < least * max(n1, n2) - 1e-9:
                 continue
             both = first
@@ -289,7 +338,7 @@ def _verify(batches, least: float):
             l2 = known.get(r.c2)
             if l2 is None:
                 l2 = known[r.c2] = set(r.leader2.tolist())
-            for i, j, s in compare_clusters(l1, r.adds1, r.lacks1, l2, r.adds2, r.lacks2, least):
+            for i, j, s in compare_clusters(l1, r.sizes1, r.adds1, r.lacks1, l2, r.sizes2, r.adds2, r.lacks2, least):
                 a, b = r.classes1[i], r.classes2[j]
                 out.append((min(a, b), max(a, b), s))
         yield pd.DataFrame(out, columns=["a", "b", "jaccard"])
@@ -300,7 +349,7 @@ def _verify_within(batches, least: float):
         out = []
         for r in pdf.itertuples(index=False):
             own = set(r.leader.tolist())
-            for i, j, s in compare_clusters(own, r.adds, r.lacks, own, r.adds, r.lacks, least, within=True):
+            for i, j, s in compare_clusters(own, r.sizes, r.adds, r.lacks, own, r.sizes, r.adds, r.lacks, least, within=True):
                 a, b = r.classes[i], r.classes[j]
                 out.append((min(a, b), max(a, b), s))
         yield pd.DataFrame(out, columns=["a", "b", "jaccard"])
@@ -311,30 +360,37 @@ def similar_classes(records: DataFrame, field: str, key: str, text: str, width:
 
     Shingles are ``width`` consecutive words (runs of a-z and 0-9 after lower-casing).
     Texts under ``width`` or ``least_words`` words, null texts and null keys take no part.
+    Tokens are 32-bit hashes salted by field: two sets of 100 tokens have a false common
+    one with a chance of two in a million.
     """
     rows = records.select(F.col(field).alias("field"), F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where("text is not null and key is not null")
     sets = stage(rows.mapInArrow(lambda b: _build(b, width, least_words), "field string, key string, class binary, tokens array<int>"), "sets")
-    members = sets.select("field", "key", "class").distinct()
-    ranks = rows.sparkSession.sparkContext.broadcast(frequency_ranks(sets))
+    codes = rows.sparkSession.sparkContext.broadcast(frequency_codes(sets))
     hot = sets.groupBy("class").agg(F.count("*").alias("n"), F.min("key").alias("least_key")).where(f"n >= {HOT_LIST}").select("class", "least_key")
     first = sets
     if not hot.isEmpty():  # of a set with very many copies one is enough
         first = sets.join(hot, "class", "left").where("least_key is null or key = least_key")
-    ordered = first.select("class", "tokens").mapInArrow(lambda b: _order(b, ranks.value), "meet bigint, class binary, tokens array<int>")
+    ordered = first.select("class", "tokens").mapInArrow(lambda b: _order(b, codes.value, least), "meet bigint, class binary, size int, lone int, tokens array<int>")
     clusters = stage(ordered.repartition("meet").sortWithinPartitions("meet", "class").mapInArrow(lambda b: _cluster(b, least), _CLUSTERS), "clusters")
-    posts = clusters.select("cid", "low", "high", F.explode(F.arrays_zip("tokens", "places")).alias("p")).select(F.col("p.tokens").alias("token"), "cid", F.col("p.places").alias("place"), "low", "high")
+    members = stage(sets.select("field", "key", "class").distinct(), "members")
+    drop_staged(sets)
+    # sizes beyond 21 bits are all the largest, and stand first in their lists, so that no bound is too tight
+    low, high = (F.least(F.col(c), F.lit(WIDEST)).cast("bigint") for c in ("low", "high"))
+    packed = F.shiftleft(low, 42) + F.shiftleft(high, 21) + F.when(F.col("high") >= WIDEST, 0).otherwise(F.col("p.places"))
+    posts = clusters.select("cid", "low", "high", F.explode(F.arrays_zip("tokens", "places")).alias("p")).select(F.col("p.tokens").alias("token"), "cid", packed.alias("packed"))
     long = posts.groupBy("token").count().where(F.col("count") >= HOT_LIST).select("token")
     hot_tokens = not (long := stage(long, "long")).isEmpty()
-    usual = posts.join(long, "token", "left_anti") if hot_tokens else posts
-    cand = usual.repartition("token").sortWithinPartitions("token", "low").mapInArrow(lambda b: _join_lists(b, least), "c1 bigint, c2 bigint")
+    usual = posts.join(F.broadcast(long), "token", "left_anti") if hot_tokens else posts
+    cand = usual.repartition("token").sortWithinPartitions("token", "packed").mapInArrow(lambda b: _join_lists(b, least), "c1 bigint, c2 bigint")
     if hot_tokens:
-        mine = posts.join(long, "token", "left_semi")
+        parts = [F.shiftright("packed", 42).alias("low"), F.shiftright("packed", 21).bitwiseAND(WIDEST).alias("high"), F.col("packed").bitwiseAND(WIDEST).alias("place")]
+        mine = posts.join(F.broadcast(long), "token", "left_semi").select("token", "cid", *parts)
         other = mine.select("token", *[F.col(c).alias(c + "_") for c in ("cid", "place", "low", "high")])
         need = F.lit(least / (1 + least)) * (F.col("low") + F.col("low_")) - 1e-9
         fits = (F.col("cid") < F.col("cid_")) & (F.col("high") >= least * F.col("low_") - 1e-9) & (F.col("high_") >= least * F.col("low") - 1e-9) & (F.least(F.col("high") - F.col("place"), F.col("high_") - F.col("place_")) >= need)
         cand = cand.unionByName(mine.join(other, "token").where(fits).select(F.col("cid").alias("c1"), F.col("cid_").alias("c2")))
     cand = stage(cand.distinct(), "candidates")
-    cols = ["leader", "classes", "adds", "lacks"]
+    cols = ["leader", "classes", "sizes", "adds", "lacks"]
     one = clusters.select(F.col("cid").alias("c1"), *[F.col(c).alias(c + "1") for c in cols])
     two = clusters.select(F.col("cid").alias("c2"), *[F.col(c).alias(c + "2") for c in cols])
     both = lookup_join(lookup_join(cand, one, ["c1"]), two, ["c2"])
@@ -342,10 +398,9 @@ def similar_classes(records: DataFrame, field: str, key: str, text: str, width:
     between = both.mapInPandas(lambda b: _verify(b, least), schema)
     within = clusters.where(F.size("classes") > 1).select(*cols).mapInPandas(lambda b: _verify_within(b, least), schema)
     pairs = stage(between.unionByName(within), "pairs")
-    out = stage(members, "members")
-    for t in (sets, cand, long):
+    for t in (clusters, cand, long):
         drop_staged(t)
-    return out, pairs
+    return members, pairs
 
 
 def near_duplicates(records: DataFrame, field: str, key: str, text: str, width: int = 5, least: float = 0.8, least_words: int = 0) -> DataFrame:

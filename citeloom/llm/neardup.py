@@ -1,16 +1,15 @@
 """Records that are nearly the same text: an exact set-similarity self-join by set relations.
 
-Texts become sets of word shingles.  Sets that are much alike share a cluster, in which
-one set leads and the others are kept as what they add to it and lack of it.  The index
-has one posting per cluster and prefix token (all members' prefixes together, so no pair
-is lost); posting lists are sorted by size and joined block by block, and blocks whose
-sizes or positions cannot reach the threshold are skipped.  Answers of members are derived
-from the leader's overlap by counting their few differing tokens.
+Texts become sets of word shingles.  An index has a posting per prefix token of each set;
+its lists are sorted by size, and what lies beyond the last size or position that can
+still reach the threshold is skipped as a block.  Two sets are candidates if they share
+``SHARED`` tokens there.  Candidate sets that are much alike form clusters, in which one
+set leads and the others are kept as what they add to it and lack of it: their answers
+are derived from the leader's overlap by counting their few differing tokens.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 
 import numpy as np
@@ -28,19 +27,16 @@ from citeloom.staging import drop_staged, stage
 BUCKET_BITS, SLICES = 26, 16
 #: Least overlap (of the larger set) for joining a cluster, most members of one, leaders tried.
 ALIKE, MOST_MEMBERS, LEADERS = 0.75, 32, 8
-#: Entries of a posting list compared at once; lists from ``HOT_LIST`` on are joined on the JVM.
-BLOCK, HOT_LIST = 64, 3_000
+#: Prefix tokens that candidates must share.
+SHARED = 4
+#: Posting lists from this length on are joined on the JVM, which spreads them over tasks.
+HOT_LIST = 3_000
 #: Copies of one set up to which all their pairs are listed; beyond, each is paired with the smallest key.
 MOST_COPIES = 32
 #: Largest size that a posting tells from others.
 WIDEST = (1 << 21) - 1
 
 
-def prefix_length(n: int, least: float) -> int:
-    """Tokens of which two sets with Jaccard ``least`` must share one, in any common order."""
-    return n - math.ceil(least * n - 1e-9) + 1
-
-
 def shingle_sets(texts: list, fields: list, width: int, least_words: int):
     """(row, token) arrays, sorted by both: the distinct 32-bit shingle hashes of each text, and rows that have any."""
     words = [plain_words(t) for t in texts]
@@ -88,7 +84,7 @@ def _build(batches, width: int, least_words: int):
                 ids[:, k] = mix(np.add.reduceat(mix(tokens.astype(np.uint64) + np.uint64(k << 40)), starts)) if len(own) else 0
         take = pa.array(own)
         classes = pa.array([x.tobytes() for x in ids], type=pa.binary())
-        yield pa.RecordBatch.from_arrays([b["field"].take(take), b["key"].take(take), classes, sets], names=["field", "key", "class", "tokens"])
+        yield pa.RecordBatch.from_arrays([b["field"].take(take), b["key"].take(take), classes, pa.array(ids[:, 0].view(np.int64)), sets], names=["field", "key", "class", "cid", "tokens"])
 
 
 def _sketch(batches):
@@ -130,44 +126,68 @@ def frequency_codes(sets: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _order(batches, codes, least: float):
+def _ranked(rows, tokens, code):
+    """Rows and tokens, the tokens of each row from rare to frequent."""
+    key = np.sort((rows.astype(np.uint64) << np.uint64(40)) | (code.astype(np.uint64) << np.uint64(32)) | tokens.astype(np.uint64))
+    return (key >> np.uint64(40)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _tokens_of(b, codes):
+    """(rows, tokens, code, size and number of lone tokens per row) of a batch of sets."""
+    rows, tokens = _flat(b["tokens"])
+    code = codes[tokens >> np.uint32(32 - BUCKET_BITS)]
+    n = len(b["tokens"])
+    return rows, tokens, code, np.bincount(rows, minlength=n), np.bincount(rows[code == 1], minlength=n)
+
+
+def _postings(batches, codes, least: float):
+    """(token, cid, place): the prefix of each set, with its size and the token's place in one number.
+
+    Tokens are ordered from rare to frequent.  Those that occur once come first and have no
+    posting; a set with so many of them that no other can reach ``least`` has none at all.
+    """
+    for b in batches:
+        rows, tokens, code, size, lone = _tokens_of(b, codes)
+        keep = (code != 1) & (size - lone >= np.ceil(least * size - 1e-9))[rows]
+        rows, tokens = _ranked(rows[keep], tokens[keep], code[keep])
+        starts = np.searchsorted(rows, np.arange(len(size)))
+        place = np.arange(len(rows)) - starts[rows] + lone[rows]
+        keep = place < (size - np.ceil(least * size - 1e-9) + SHARED)[rows]
+        rows, place = rows[keep], place[keep]
+        # sizes beyond 21 bits count as the largest, and their tokens as first, so that no bound is too tight
+        wide = size[rows] >= WIDEST
+        packed = (np.minimum(size[rows], WIDEST) << 21) | np.where(wide, 0, np.minimum(place, WIDEST))
+        yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int32)), pa.array(b["cid"].to_numpy()[rows]), pa.array(packed)], names=["token", "cid", "packed"])
+
+
+def _order(batches, codes):
     """Tokens of each set from rare to frequent without those that occur once, and a key under which alike sets are likely to meet.
 
-    ``size`` counts all tokens, ``lone`` those left out.  A set with so many of them that
-    no other can reach ``least`` is left out as a whole.
+    ``size`` counts all tokens.
     """
     for b in batches:
-        rows, tokens = _flat(b["tokens"])
+        rows, tokens, code, size, lone = _tokens_of(b, codes)
+        keep = code != 1
+        rows, tokens = _ranked(rows[keep], tokens[keep], code[keep])
         if not len(rows):
             continue
-        n = len(b["tokens"])
-        code = codes[tokens >> np.uint32(32 - BUCKET_BITS)]
-        size = np.bincount(rows, minlength=n)
-        lone = np.bincount(rows[code == 1], minlength=n)
-        usable = size - lone >= np.ceil(least * size - 1e-9)
-        keep = (code != 1) & usable[rows]
-        rows, tokens, code = rows[keep], tokens[keep], code[keep]
-        if not len(rows):
-            continue
-        wide = tokens.astype(np.uint64)
-        key = np.sort((rows.astype(np.uint64) << np.uint64(40)) | (code.astype(np.uint64) << np.uint64(32)) | wide)
-        own, ordered = _lists((key >> np.uint64(40)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        own, ordered = _lists(rows, tokens)
         with np.errstate(over="ignore"):
-            meet = np.minimum.reduceat(mix(wide), np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1]))))
-        arrays = [pa.array(meet.view(np.int64)), b["class"].take(pa.array(own)), pa.array(size[own].astype(np.int32)), pa.array(lone[own].astype(np.int32)), ordered]
-        yield pa.RecordBatch.from_arrays(arrays, names=["meet", "class", "size", "lone", "tokens"])
+            meet = np.minimum.reduceat(mix(tokens.astype(np.uint64)), np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1]))))
+        arrays = [pa.array(meet.view(np.int64)), b["class"].take(pa.array(own)), pa.array(size[own].astype(np.int32)), ordered]
+        yield pa.RecordBatch.from_arrays(arrays, names=["meet", "class", "size", "tokens"])
 
 
 _INTS = pa.list_(pa.int32())
-_SCHEMA = pa.schema([("cid", pa.int64()), ("leader", _INTS), ("classes", pa.list_(pa.binary())), ("sizes", _INTS), ("adds", pa.list_(_INTS)), ("lacks", pa.list_(_INTS)), ("tokens", _INTS), ("places", _INTS), ("low", pa.int32()), ("high", pa.int32())])
-_CLUSTERS = "cid bigint, leader array<int>, classes array<binary>, sizes array<int>, adds array<array<int>>, lacks array<array<int>>, tokens array<int>, places array<int>, low int, high int"
+_SCHEMA = pa.schema([("cluster", pa.int64()), ("leader", _INTS), ("classes", pa.list_(pa.binary())), ("cids", pa.list_(pa.int64())), ("sizes", _INTS), ("adds", pa.list_(_INTS)), ("lacks", pa.list_(_INTS))])
+_CLUSTERS = "cluster bigint, leader array<int>, classes array<binary>, cids array<bigint>, sizes array<int>, adds array<array<int>>, lacks array<array<int>>"
 
 
-def _cluster_run(run: list, least: float) -> list[dict]:
-    """Clusters of the sets (class, size, lone, ordered tokens) that met under one key."""
+def _cluster_run(run: list) -> list[dict]:
+    """Clusters of the sets (class, size, tokens) that met under one key."""
     clusters: list[dict] = []
     seen = set()
-    for cls, size, lone, tokens in run:
+    for cls, size, tokens in run:
         if cls in seen:
             continue
         seen.add(cls)
@@ -180,123 +200,95 @@ def _cluster_run(run: list, least: float) -> list[dict]:
                 c["lacks"].append([t for t in c["leader"] if t not in own])
                 break
         if home is None:
-            home = {"leader": tokens, "set": own, "classes": [], "sizes": [], "adds": [[]], "lacks": [[]], "posts": {}, "low": size, "high": size}
+            home = {"leader": tokens, "set": own, "classes": [], "sizes": [], "adds": [[]], "lacks": [[]]}
             clusters.append(home)
         home["classes"].append(cls)
         home["sizes"].append(size)
-        home["low"], home["high"] = min(home["low"], size), max(home["high"], size)
-        posts = home["posts"]
-        for p, t in enumerate(tokens[: max(0, prefix_length(size, least) - lone)]):
-            if lone + p < posts.get(t, 1 << 30):
-                posts[t] = lone + p
     return clusters
 
 
-def _lone_clusters(b, least: float):
-    """Clusters of one set each, column by column."""
-    rows, tokens = _flat(b["tokens"])
-    size, lone = b["size"].to_numpy(), b["lone"].to_numpy()
-    n = len(size)
-    starts = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=n))))
-    place = np.arange(len(rows)) - starts[:-1][rows] + lone[rows]
-    keep = place < (size - np.ceil(least * size - 1e-9) + 1)[rows]
-    offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(rows[keep], minlength=n)))).astype(np.int32))
-    one = pa.array(np.arange(n + 1, dtype=np.int32))
-    none = pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, dtype=np.int32)), pa.array([], type=pa.int32()))
-    cid = np.frombuffer(b"".join(x[:8] for x in b["class"].to_pylist()), dtype=np.int64)
-    arrays = [
-        pa.array(cid), b["tokens"], pa.ListArray.from_arrays(one, b["class"]), pa.ListArray.from_arrays(one, b["size"]), pa.ListArray.from_arrays(one, none), pa.ListArray.from_arrays(one, none),
-        pa.ListArray.from_arrays(offsets, pa.array(tokens[keep].view(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(place[keep].astype(np.int32))), b["size"], b["size"],
-    ]
-    return pa.RecordBatch.from_arrays([x.cast(f.type) if x.type != f.type else x for x, f in zip(arrays, _SCHEMA)], schema=_SCHEMA)
-
-
-def _cluster(batches, least: float):
+def _cluster(batches):
     """Clusters of sets, in rows sorted by the key they meet under."""
-    held = None
-
-    def rows_of(b):
-        return list(zip(b["class"].to_pylist(), b["size"].to_pylist(), b["lone"].to_pylist(), b["tokens"].to_pylist()))
-
-    def emit(b):
-        meet = b["meet"].to_numpy()
-        starts = np.flatnonzero(np.concatenate(([True], meet[1:] != meet[:-1])))
-        ends = np.concatenate((starts[1:], [len(meet)]))
-        single = starts[ends - starts == 1]
-        if len(single):
-            yield _lone_clusters(b.take(pa.array(single)), least)
+    at, run = None, []
+
+    def rows(done):
+        for c in done:
+            c["cids"] = [int.from_bytes(x[:8], "little", signed=True) for x in c["classes"]]
+            c["cluster"] = c["cids"][0]
+        return pa.RecordBatch.from_pydict({f.name: [c[f.name] for c in done] for f in _SCHEMA}, schema=_SCHEMA)
+
+    for b in batches:
         done = []
-        for s, e in zip(starts, ends):
+        for key, cls, size, tokens in zip(*(b[n].to_pylist() for n in ("meet", "class", "size", "tokens"))):
             # a key under which very many sets meet is cut: clusters may be formed in any way
-            for k in range(s, e, 512) if e - s > 1 else ():
-                done += _cluster_run(rows_of(b.slice(k, min(512, e - k))), least)
-        if done:
-            rows = [(int.from_bytes(c["classes"][0][:8], "little", signed=True), c["leader"], c["classes"], c["sizes"], c["adds"], c["lacks"], list(c["posts"]), list(c["posts"].values()), c["low"], c["high"]) for c in done]
-            yield pa.RecordBatch.from_pydict({f.name: [r[i] for r in rows] for i, f in enumerate(_SCHEMA)}, schema=_SCHEMA)
+            if key != at or len(run) >= 512:
+                done += _cluster_run(run)
+                at, run = key, []
+            run.append((cls, size, tokens))
+        yield rows(done)
+    if run:
+        yield rows(_cluster_run(run))
 
-    for b in batches:
-        if held is not None:
-            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-        meet = b["meet"].to_numpy()
-        cut = int(np.searchsorted(meet, meet[-1], side="left")) if len(meet) else 0
-        if cut == 0 and len(meet) > 50_000:
-            cut = len(meet)
-        if cut:
-            yield from emit(b.slice(0, cut))
-        held = b.slice(cut) if cut < len(meet) else None
-    if held is not None and held.num_rows:
-        yield from emit(held)
 
+def join_lists(token: np.ndarray, cid: np.ndarray, size: np.ndarray, place: np.ndarray, least: float):
+    """(a, b, shared, need) of pairs in posting lists sorted by token and size.
 
-def join_list(cid: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, least: float) -> np.ndarray:
-    """Pairs of clusters of one posting list (sorted by ``low``) that can reach ``least``, block by block."""
-    out = []
-    room = high - place
-    need = least / (1 + least)
-    n = len(cid)
-    for i in range(0, n, BLOCK):
-        a = slice(i, i + BLOCK)
-        for j in range(i, n, BLOCK):
-            b = slice(j, j + BLOCK)
-            # sizes only grow from here on, so later blocks cannot match either
-            if high[a].max() < least * low[j] - 1e-9:
-                break
-            if min(room[a].max(), room[b].max()) < need * (low[i] + low[j]) - 1e-9:
-                continue
-            x, y = np.nonzero((high[a][:, None] >= least * low[b][None, :] - 1e-9) & (np.minimum(room[a][:, None], room[b][None, :]) >= need * (low[a][:, None] + low[b][None, :]) - 1e-9))
-            x, y = cid[a][x], cid[b][y]
-            keep = x < y if i == j else x != y
-            out.append(np.stack((np.minimum(x, y)[keep], np.maximum(x, y)[keep]), axis=1))
-            if i == j:
-                swap = x > y
-                out.append(np.stack((y[swap], x[swap]), axis=1))
-    return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), dtype=np.int64)
+    Every entry walks down its list until sizes are too large for ``least``: the rest of
+    the list is skipped.  A token counts for a pair if it lies in both sets' prefixes for
+    the overlap that this pair needs; such a pair shares ``need`` of them or more.
+    """
+    n = len(token)
+    left, right, short = [], [], []
+    at = np.arange(n)
+    k = 1
+    while True:
+        at = at[at + k < n]
+        b = at + k
+        alive = (token[at] == token[b]) & (size[at] >= least * size[b] - 1e-9)
+        at = at[alive]
+        if not len(at):
+            break
+        b = at + k
+        overlap = np.ceil(least / (1 + least) * (size[at] + size[b]) - 1e-9)
+        need = np.minimum(SHARED, overlap)
+        hit = (place[at] < size[at] - overlap + need) & (place[b] < size[b] - overlap + need)
+        left.append(cid[at[hit]])
+        right.append(cid[b[hit]])
+        short.append(need[hit].astype(np.int64))
+        k += 1
+    if not left:
+        return (np.empty(0, dtype=np.int64),) * 4
+    a, b, need = np.concatenate(left), np.concatenate(right), np.concatenate(short)
+    keep = a != b
+    a, b, need = np.minimum(a, b)[keep], np.maximum(a, b)[keep], need[keep]
+    order = np.lexsort((b, a))
+    a, b, need = a[order], b[order], need[order]
+    new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.empty(0, dtype=np.int64)
+    return a[new], b[new], np.diff(np.concatenate((new, [len(a)]))), need[new]
 
 
 def _join_lists(batches, least: float):
-    """Candidate pairs of clusters from postings sorted by token and packed sizes."""
+    """Pairs of sets with the number of prefix tokens they share, from postings sorted by token and packed sizes."""
     held: list[np.ndarray] = []
 
     def flush(token, cid, packed):
-        starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        ends = np.concatenate((starts[1:], [len(token)]))
-        low, high, place = packed >> 42, (packed >> 21) & WIDEST, packed & WIDEST
-        found = [join_list(cid[s:e], place[s:e], low[s:e], high[s:e], least) for s, e in zip(starts, ends) if e - s > 1]
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["c1", "c2"])
+        a, b, shared, need = join_lists(token, cid, packed >> 21, packed & WIDEST, least)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(shared.astype(np.int32)), pa.array(need.astype(np.int32))], names=["c1", "c2", "shared", "need"])
 
+    size = 0
     for b in batches:
-        cols = [b[n].to_numpy(zero_copy_only=False) for n in ("token", "cid", "packed")]
-        if held:
-            cols = [np.concatenate((h, c)) for h, c in zip(held, cols)]
-        if not len(cols[0]):
+        held.append([b[n].to_numpy(zero_copy_only=False) for n in ("token", "cid", "packed")])
+        size += b.num_rows
+        if size < 500_000:
             continue
+        cols = [np.concatenate(c) for c in zip(*held)]
         cut = int(np.searchsorted(cols[0], cols[0][-1], side="left"))  # the last list may go on
         if cut:
             yield flush(*[c[:cut] for c in cols])
-        held = [c[cut:] for c in cols]
+        held = [[c[cut:] for c in cols]]
+        size = len(cols[0]) - cut
     if held:
-        yield flush(*held)
+        yield flush(*[np.concatenate(c) for c in zip(*held)])
 
 
 def _member_overlap(base: int, adds, lacks, other: set) -> int:
@@ -355,6 +347,27 @@ def _verify_within(batches, least: float):
         yield pd.DataFrame(out, columns=["a", "b", "jaccard"])
 
 
+def _candidates(posts: DataFrame, least: float) -> DataFrame:
+    """(c1, c2), c1 < c2: sets that share enough prefix tokens."""
+    posts = stage(posts, "postings")
+    long = stage(posts.groupBy("token").count().where(F.col("count") >= HOT_LIST).select("token"), "long")
+    hot = not long.isEmpty()
+    usual = posts.join(F.broadcast(long), "token", "left_anti") if hot else posts
+    found = usual.repartition("token").sortWithinPartitions("token", "packed").mapInArrow(lambda b: _join_lists(b, least), "c1 bigint, c2 bigint, shared int, need int")
+    if hot:  # at most (all postings / HOT_LIST) tokens
+        mine = posts.join(F.broadcast(long), "token", "left_semi").select("token", "cid", F.shiftright("packed", 21).alias("n"), F.col("packed").bitwiseAND(WIDEST).alias("p"))
+        other = mine.select("token", *[F.col(c).alias(c + "_") for c in ("cid", "n", "p")])
+        overlap = F.ceil(F.lit(least / (1 + least)) * (F.col("n") + F.col("n_")) - 1e-9)
+        need = F.least(F.lit(SHARED), overlap)
+        fits = (F.col("cid") < F.col("cid_")) & (F.least("n", "n_") >= least * F.greatest("n", "n_") - 1e-9) & (F.col("p") < F.col("n") - overlap + need) & (F.col("p_") < F.col("n_") - overlap + need)
+        pairs = mine.join(other, "token").where(fits)
+        found = found.unionByName(pairs.select(F.col("cid").alias("c1"), F.col("cid_").alias("c2"), F.lit(1).alias("shared"), need.cast("int").alias("need")))
+    counted = found.groupBy("c1", "c2").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"))
+    out = stage(counted.where("shared >= need").select("c1", "c2"), "candidates")
+    drop_staged(posts)
+    return out
+
+
 def similar_classes(records: DataFrame, field: str, key: str, text: str, width: int = 5, least: float = 0.8, least_words: int = 0) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): members (field, key, class) of the classes of equal sets; pairs (a, b, jaccard) of classes, a < b.
 
@@ -364,41 +377,33 @@ def similar_classes(records: DataFrame, field: str, key: str, text: str, width:
     one with a chance of two in a million.
     """
     rows = records.select(F.col(field).alias("field"), F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where("text is not null and key is not null")
-    sets = stage(rows.mapInArrow(lambda b: _build(b, width, least_words), "field string, key string, class binary, tokens array<int>"), "sets")
+    sets = stage(rows.mapInArrow(lambda b: _build(b, width, least_words), "field string, key string, class binary, cid bigint, tokens array<int>"), "sets")
     codes = rows.sparkSession.sparkContext.broadcast(frequency_codes(sets))
     hot = sets.groupBy("class").agg(F.count("*").alias("n"), F.min("key").alias("least_key")).where(f"n >= {HOT_LIST}").select("class", "least_key")
     first = sets
     if not hot.isEmpty():  # of a set with very many copies one is enough
         first = sets.join(hot, "class", "left").where("least_key is null or key = least_key")
-    ordered = first.select("class", "tokens").mapInArrow(lambda b: _order(b, codes.value, least), "meet bigint, class binary, size int, lone int, tokens array<int>")
-    clusters = stage(ordered.repartition("meet").sortWithinPartitions("meet", "class").mapInArrow(lambda b: _cluster(b, least), _CLUSTERS), "clusters")
+    posts = first.select("cid", "tokens").mapInArrow(lambda b: _postings(b, codes.value, least), "token int, cid bigint, packed bigint")
+    cand = _candidates(posts, least)
     members = stage(sets.select("field", "key", "class").distinct(), "members")
+    involved = cand.select(F.col("c1").alias("cid")).unionByName(cand.select(F.col("c2").alias("cid"))).distinct()
+    some = first.select("class", "cid", "tokens").join(involved, "cid", "left_semi").select("class", "tokens")
+    ordered = some.mapInArrow(lambda b: _order(b, codes.value), "meet bigint, class binary, size int, tokens array<int>")
+    clusters = stage(ordered.repartition("meet").sortWithinPartitions("meet", "class").mapInArrow(_cluster, _CLUSTERS), "clusters")
     drop_staged(sets)
-    # sizes beyond 21 bits are all the largest, and stand first in their lists, so that no bound is too tight
-    low, high = (F.least(F.col(c), F.lit(WIDEST)).cast("bigint") for c in ("low", "high"))
-    packed = F.shiftleft(low, 42) + F.shiftleft(high, 21) + F.when(F.col("high") >= WIDEST, 0).otherwise(F.col("p.places"))
-    posts = clusters.select("cid", "low", "high", F.explode(F.arrays_zip("tokens", "places")).alias("p")).select(F.col("p.tokens").alias("token"), "cid", packed.alias("packed"))
-    long = posts.groupBy("token").count().where(F.col("count") >= HOT_LIST).select("token")
-    hot_tokens = not (long := stage(long, "long")).isEmpty()
-    usual = posts.join(F.broadcast(long), "token", "left_anti") if hot_tokens else posts
-    cand = usual.repartition("token").sortWithinPartitions("token", "packed").mapInArrow(lambda b: _join_lists(b, least), "c1 bigint, c2 bigint")
-    if hot_tokens:
-        parts = [F.shiftright("packed", 42).alias("low"), F.shiftright("packed", 21).bitwiseAND(WIDEST).alias("high"), F.col("packed").bitwiseAND(WIDEST).alias("place")]
-        mine = posts.join(F.broadcast(long), "token", "left_semi").select("token", "cid", *parts)
-        other = mine.select("token", *[F.col(c).alias(c + "_") for c in ("cid", "place", "low", "high")])
-        need = F.lit(least / (1 + least)) * (F.col("low") + F.col("low_")) - 1e-9
-        fits = (F.col("cid") < F.col("cid_")) & (F.col("high") >= least * F.col("low_") - 1e-9) & (F.col("high_") >= least * F.col("low") - 1e-9) & (F.least(F.col("high") - F.col("place"), F.col("high_") - F.col("place_")) >= need)
-        cand = cand.unionByName(mine.join(other, "token").where(fits).select(F.col("cid").alias("c1"), F.col("cid_").alias("c2")))
-    cand = stage(cand.distinct(), "candidates")
+    home = clusters.select("cluster", F.explode("cids").alias("cid"))
+    linked = lookup_join(cand.withColumnRenamed("c1", "cid"), home.withColumnRenamed("cluster", "k1"), ["cid"]).drop("cid")
+    linked = lookup_join(linked.withColumnRenamed("c2", "cid"), home.withColumnRenamed("cluster", "k2"), ["cid"])
+    linked = linked.where("k1 <> k2").select(F.least("k1", "k2").alias("c1"), F.greatest("k1", "k2").alias("c2")).distinct()
     cols = ["leader", "classes", "sizes", "adds", "lacks"]
-    one = clusters.select(F.col("cid").alias("c1"), *[F.col(c).alias(c + "1") for c in cols])
-    two = clusters.select(F.col("cid").alias("c2"), *[F.col(c).alias(c + "2") for c in cols])
-    both = lookup_join(lookup_join(cand, one, ["c1"]), two, ["c2"])
+    one = clusters.select(F.col("cluster").alias("c1"), *[F.col(c).alias(c + "1") for c in cols])
+    two = clusters.select(F.col("cluster").alias("c2"), *[F.col(c).alias(c + "2") for c in cols])
+    both = lookup_join(lookup_join(linked, one, ["c1"]), two, ["c2"])
     schema = "a binary, b binary, jaccard double"
     between = both.mapInPandas(lambda b: _verify(b, least), schema)
     within = clusters.where(F.size("classes") > 1).select(*cols).mapInPandas(lambda b: _verify_within(b, least), schema)
     pairs = stage(between.unionByName(within), "pairs")
-    for t in (clusters, cand, long):
+    for t in (clusters, cand):
         drop_staged(t)
     return members, pairs
 

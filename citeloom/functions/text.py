@@ -244,7 +244,8 @@ def evidence_status(cite: Column, source_id: Column, read: Column, disclosed: Co
 def age_days(fetched_at: Column, now: Column) -> Column:
     """Whole days since an ISO time, never below 0; null where it is no time."""
     t = F.try_to_timestamp(F.nullif(F.trim(fetched_at), F.lit("")))
-    return F.greatest(F.lit(0).cast("bigint"), F.floor((F.unix_timestamp(now) - F.unix_timestamp(t)) / 86400))
+    days = F.floor((F.unix_timestamp(now) - F.unix_timestamp(t)) / 86400)
+    return F.when(days < 0, F.lit(0)).otherwise(days)
 
 
 def source_freshness(fetched_at: Column, failed_at: Column, slow: Column, now: Column) -> Column:

@@ -129,9 +129,9 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, key: str, query_key: str,
 
     ``queries`` is a stated, small set; it meets the vectors block by block.
     """
-    q = queries.select(F.col(query_key), F.col(vector).alias("q"))
+    q = queries.select(F.col(query_key), F.col(vector).alias("_query"))
     pairs = vectors.select(F.col(key), F.col(vector).alias("v")).crossJoin(q).where(F.col(key) != F.col(query_key))
-    scored = pairs.select(query_key, key, cosine(F.col("v"), F.col("q")).alias("score")).where(F.col("score") > floor)
+    scored = pairs.select(query_key, key, cosine(F.col("v"), F.col("_query")).alias("score")).where(F.col("score") > floor)
     return top_per(scored, query_key, key, k)
 
 

@@ -235,7 +235,7 @@ def find_elements(records: DataFrame, key: str, text: str, weights: dict[str, fl
                     keys.append(k)
                     kinds.append(kind)
                     seqs.append(seq)
-            yield pd.DataFrame({"rec_key": keys, "element": kinds, "seq": pd.Series(seqs, dtype="int32")})
+            yield pd.DataFrame({"rec_key": pd.Series(keys, dtype=object), "element": pd.Series(kinds, dtype=object), "seq": pd.Series(seqs, dtype="int32")})
 
     rows = records.select(F.col(key).cast("string").alias("rec_key"), F.col(text).alias("text")).where("text is not null and text <> ''")
     return rows.mapInPandas(elements, "rec_key string, element string, seq int")

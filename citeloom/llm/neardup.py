@@ -27,6 +27,8 @@ from citeloom.staging import drop_staged, stage
 BUCKET_BITS, SLICES = 26, 16
 #: Least overlap (of the larger set) for joining a cluster, most members of one, leaders tried.
 ALIKE, MOST_MEMBERS, LEADERS = 0.75, 32, 8
+#: Tokens that are counted at once.
+SKETCHED = 8_000_000
 #: Prefix tokens that candidates must share.
 SHARED = 4
 #: Posting lists from this length on are joined on the JVM, which spreads them over tasks.
@@ -84,20 +86,29 @@ def _build(batches, width: int, least_words: int):
                 ids[:, k] = mix(np.add.reduceat(mix(tokens.astype(np.uint64) + np.uint64(k << 40)), starts)) if len(own) else 0
         take = pa.array(own)
         classes = pa.array([x.tobytes() for x in ids], type=pa.binary())
-        yield pa.RecordBatch.from_arrays([b["field"].take(take), b["key"].take(take), classes, pa.array(ids[:, 0].view(np.int64)), sets], names=["field", "key", "class", "cid", "tokens"])
+        yield pa.RecordBatch.from_arrays([b["field"].take(take), b["key"].take(take), classes, sets], names=["field", "key", "class", "tokens"])
 
 
 def _sketch(batches):
-    """Counts of the buckets that a batch touches, slice by slice."""
+    """Counts of the buckets that a task touches, slice by slice."""
     per = (1 << BUCKET_BITS) // SLICES
-    for b in batches:
-        _, tokens = _flat(b["tokens"])
-        at, n = np.unique(tokens >> np.uint32(32 - BUCKET_BITS), return_counts=True)
+    held: list[np.ndarray] = []
+
+    def flush():
+        at, n = np.unique(np.concatenate(held), return_counts=True)
         cuts = np.searchsorted(at, np.arange(1, SLICES) * per)
         parts = list(zip(np.split(at, cuts), np.split(n, cuts)))
         steps = [zlib.compress(np.diff(p, prepend=0).astype(np.uint32).tobytes(), 1) for p, _ in parts]
         counts = [zlib.compress(np.minimum(c, 65535).astype(np.uint16).tobytes(), 1) for _, c in parts]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), type=pa.int32()), pa.array(steps, type=pa.binary()), pa.array(counts, type=pa.binary())], names=["slice", "steps", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array(range(SLICES), type=pa.int32()), pa.array(steps, type=pa.binary()), pa.array(counts, type=pa.binary())], names=["slice", "steps", "counts"])
+
+    for b in batches:
+        held.append(_flat(b["tokens"])[1] >> np.uint32(32 - BUCKET_BITS))
+        if sum(map(len, held)) > SKETCHED:
+            yield flush()
+            held = []
+    if held:
+        yield flush()
 
 
 def _sum_slices(batches):
@@ -112,7 +123,7 @@ def _sum_slices(batches):
             totals[s][at] += np.frombuffer(zlib.decompress(counts), dtype=np.uint16)
     done = []
     for s, v in totals.items():
-        code = np.where(v < 128, v, 128 + 5 * np.log2(np.maximum(v, 128) / 128)).clip(0, 255).astype(np.uint8)
+        code = np.where(v < 128, v, 128 + 5 * np.log2(np.maximum(v, 128) / 128)).clip(0, 255).astype(np.uint8)  # as code_of
         done.append((s, zlib.compress(code.tobytes(), 1)))
     yield pd.DataFrame(done, columns=["slice", "codes"])
 
@@ -126,6 +137,11 @@ def frequency_codes(sets: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def code_of(count: int) -> int:
+    """The byte of a bucket with so many tokens."""
+    return int(count if count < 128 else min(255, 128 + 5 * np.log2(count / 128)))
+
+
 def _ranked(rows, tokens, code):
     """Rows and tokens, the tokens of each row from rare to frequent."""
     key = np.sort((rows.astype(np.uint64) << np.uint64(40)) | (code.astype(np.uint64) << np.uint64(32)) | tokens.astype(np.uint64))
@@ -157,7 +173,8 @@ def _postings(batches, codes, least: float):
         # sizes beyond 21 bits count as the largest, and their tokens as first, so that no bound is too tight
         wide = size[rows] >= WIDEST
         packed = (np.minimum(size[rows], WIDEST) << 21) | np.where(wide, 0, np.minimum(place, WIDEST))
-        yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int32)), pa.array(b["cid"].to_numpy()[rows]), pa.array(packed)], names=["token", "cid", "packed"])
+        often = codes[tokens[keep] >> np.uint32(32 - BUCKET_BITS)] >= code_of(HOT_LIST)
+        yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int32)), pa.array(b["cid"].to_numpy()[rows]), pa.array(packed), pa.array(often)], names=["token", "cid", "packed", "often"])
 
 
 def _order(batches, codes):
@@ -174,8 +191,8 @@ def _order(batches, codes):
         own, ordered = _lists(rows, tokens)
         with np.errstate(over="ignore"):
             meet = np.minimum.reduceat(mix(tokens.astype(np.uint64)), np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1]))))
-        arrays = [pa.array(meet.view(np.int64)), b["class"].take(pa.array(own)), pa.array(size[own].astype(np.int32)), ordered]
-        yield pa.RecordBatch.from_arrays(arrays, names=["meet", "class", "size", "tokens"])
+        arrays = [pa.array(meet.view(np.int64)), b["cid"].take(pa.array(own)), b["class"].take(pa.array(own)), pa.array(size[own].astype(np.int32)), ordered]
+        yield pa.RecordBatch.from_arrays(arrays, names=["meet", "cid", "class", "size", "tokens"])
 
 
 _INTS = pa.list_(pa.int32())
@@ -184,13 +201,9 @@ _CLUSTERS = "cluster bigint, leader array<int>, classes array<binary>, cids arra
 
 
 def _cluster_run(run: list) -> list[dict]:
-    """Clusters of the sets (class, size, tokens) that met under one key."""
+    """Clusters of the sets (cid, class, size, tokens) that met under one key."""
     clusters: list[dict] = []
-    seen = set()
-    for cls, size, tokens in run:
-        if cls in seen:
-            continue
-        seen.add(cls)
+    for cid, cls, size, tokens in run:
         own = set(tokens)
         home = None
         for c in clusters[-LEADERS:]:
@@ -200,9 +213,10 @@ def _cluster_run(run: list) -> list[dict]:
                 c["lacks"].append([t for t in c["leader"] if t not in own])
                 break
         if home is None:
-            home = {"leader": tokens, "set": own, "classes": [], "sizes": [], "adds": [[]], "lacks": [[]]}
+            home = {"leader": tokens, "set": own, "classes": [], "cids": [], "sizes": [], "adds": [[]], "lacks": [[]]}
             clusters.append(home)
         home["classes"].append(cls)
+        home["cids"].append(cid)
         home["sizes"].append(size)
     return clusters
 
@@ -213,32 +227,32 @@ def _cluster(batches):
 
     def rows(done):
         for c in done:
-            c["cids"] = [int.from_bytes(x[:8], "little", signed=True) for x in c["classes"]]
             c["cluster"] = c["cids"][0]
         return pa.RecordBatch.from_pydict({f.name: [c[f.name] for c in done] for f in _SCHEMA}, schema=_SCHEMA)
 
     for b in batches:
         done = []
-        for key, cls, size, tokens in zip(*(b[n].to_pylist() for n in ("meet", "class", "size", "tokens"))):
+        for key, cid, cls, size, tokens in zip(*(b[n].to_pylist() for n in ("meet", "cid", "class", "size", "tokens"))):
             # a key under which very many sets meet is cut: clusters may be formed in any way
             if key != at or len(run) >= 512:
                 done += _cluster_run(run)
                 at, run = key, []
-            run.append((cls, size, tokens))
+            run.append((cid, cls, size, tokens))
         yield rows(done)
     if run:
         yield rows(_cluster_run(run))
 
 
 def join_lists(token: np.ndarray, cid: np.ndarray, size: np.ndarray, place: np.ndarray, least: float):
-    """(a, b, shared, need) of pairs in posting lists sorted by token and size.
+    """(a, b, shared) of pairs in posting lists sorted by token and size.
 
     Every entry walks down its list until sizes are too large for ``least``: the rest of
     the list is skipped.  A token counts for a pair if it lies in both sets' prefixes for
-    the overlap that this pair needs; such a pair shares ``need`` of them or more.
+    the overlap that this pair needs; such a pair shares ``SHARED`` of them or more.  For
+    sets too small for that, tokens count more than once.
     """
     n = len(token)
-    left, right, short = [], [], []
+    left, right, worth = [], [], []
     at = np.arange(n)
     k = 1
     while True:
@@ -254,17 +268,16 @@ def join_lists(token: np.ndarray, cid: np.ndarray, size: np.ndarray, place: np.n
         hit = (place[at] < size[at] - overlap + need) & (place[b] < size[b] - overlap + need)
         left.append(cid[at[hit]])
         right.append(cid[b[hit]])
-        short.append(need[hit].astype(np.int64))
+        worth.append(np.ceil(SHARED / need[hit]).astype(np.int64))
         k += 1
     if not left:
-        return (np.empty(0, dtype=np.int64),) * 4
-    a, b, need = np.concatenate(left), np.concatenate(right), np.concatenate(short)
-    keep = a != b
-    a, b, need = np.minimum(a, b)[keep], np.maximum(a, b)[keep], need[keep]
+        return (np.empty(0, dtype=np.int64),) * 3
+    a, b, w = np.concatenate(left), np.concatenate(right), np.concatenate(worth)
+    a, b = np.minimum(a, b), np.maximum(a, b)
     order = np.lexsort((b, a))
-    a, b, need = a[order], b[order], need[order]
-    new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.empty(0, dtype=np.int64)
-    return a[new], b[new], np.diff(np.concatenate((new, [len(a)]))), need[new]
+    a, b, w = a[order], b[order], w[order]
+    new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    return a[new], b[new], np.add.reduceat(w, new)
 
 
 def _join_lists(batches, least: float):
@@ -272,8 +285,8 @@ def _join_lists(batches, least: float):
     held: list[np.ndarray] = []
 
     def flush(token, cid, packed):
-        a, b, shared, need = join_lists(token, cid, packed >> 21, packed & WIDEST, least)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(shared.astype(np.int32)), pa.array(need.astype(np.int32))], names=["c1", "c2", "shared", "need"])
+        a, b, shared = join_lists(token, cid, packed >> 21, packed & WIDEST, least)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(shared.astype(np.int32))], names=["c1", "c2", "shared"])
 
     size = 0
     for b in batches:
@@ -348,22 +361,23 @@ def _verify_within(batches, least: float):
 
 
 def _candidates(posts: DataFrame, least: float) -> DataFrame:
-    """(c1, c2), c1 < c2: sets that share enough prefix tokens."""
+    """(c1, c2), c1 < c2: sets that share enough prefix tokens; ``posts`` marks tokens that may have long lists."""
     posts = stage(posts, "postings")
-    long = stage(posts.groupBy("token").count().where(F.col("count") >= HOT_LIST).select("token"), "long")
+    long = stage(posts.where("often").groupBy("token").count().where(F.col("count") >= HOT_LIST).select("token"), "long")
     hot = not long.isEmpty()
-    usual = posts.join(F.broadcast(long), "token", "left_anti") if hot else posts
-    found = usual.repartition("token").sortWithinPartitions("token", "packed").mapInArrow(lambda b: _join_lists(b, least), "c1 bigint, c2 bigint, shared int, need int")
+    posts_ = posts.drop("often")
+    usual = posts_.join(F.broadcast(long), "token", "left_anti") if hot else posts_
+    found = usual.repartition("token").sortWithinPartitions("token", "packed").mapInArrow(lambda b: _join_lists(b, least), "c1 bigint, c2 bigint, shared int")
     if hot:  # at most (all postings / HOT_LIST) tokens
-        mine = posts.join(F.broadcast(long), "token", "left_semi").select("token", "cid", F.shiftright("packed", 21).alias("n"), F.col("packed").bitwiseAND(WIDEST).alias("p"))
+        mine = posts_.join(F.broadcast(long), "token", "left_semi").select("token", "cid", F.shiftright("packed", 21).alias("n"), F.col("packed").bitwiseAND(WIDEST).alias("p"))
         other = mine.select("token", *[F.col(c).alias(c + "_") for c in ("cid", "n", "p")])
         overlap = F.ceil(F.lit(least / (1 + least)) * (F.col("n") + F.col("n_")) - 1e-9)
         need = F.least(F.lit(SHARED), overlap)
         fits = (F.col("cid") < F.col("cid_")) & (F.least("n", "n_") >= least * F.greatest("n", "n_") - 1e-9) & (F.col("p") < F.col("n") - overlap + need) & (F.col("p_") < F.col("n_") - overlap + need)
         pairs = mine.join(other, "token").where(fits)
-        found = found.unionByName(pairs.select(F.col("cid").alias("c1"), F.col("cid_").alias("c2"), F.lit(1).alias("shared"), need.cast("int").alias("need")))
-    counted = found.groupBy("c1", "c2").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"))
-    out = stage(counted.where("shared >= need").select("c1", "c2"), "candidates")
+        found = found.unionByName(pairs.select(F.col("cid").alias("c1"), F.col("cid_").alias("c2"), F.ceil(F.lit(SHARED) / need).cast("int").alias("shared")))
+    counted = found.groupBy("c1", "c2").agg(F.sum("shared").alias("shared"))
+    out = stage(counted.where(F.col("shared") >= SHARED).select("c1", "c2"), "candidates")
     drop_staged(posts)
     return out
 
@@ -377,18 +391,20 @@ def similar_classes(records: DataFrame, field: str, key: str, text: str, width:
     one with a chance of two in a million.
     """
     rows = records.select(F.col(field).alias("field"), F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where("text is not null and key is not null")
-    sets = stage(rows.mapInArrow(lambda b: _build(b, width, least_words), "field string, key string, class binary, cid bigint, tokens array<int>"), "sets")
+    built = rows.mapInArrow(lambda b: _build(b, width, least_words), "field string, key string, class binary, tokens array<int>")
+    # small numbers for sets: they are written out, so they stay the same
+    sets = stage(built.withColumn("cid", F.monotonically_increasing_id()), "sets")
     codes = rows.sparkSession.sparkContext.broadcast(frequency_codes(sets))
-    hot = sets.groupBy("class").agg(F.count("*").alias("n"), F.min("key").alias("least_key")).where(f"n >= {HOT_LIST}").select("class", "least_key")
-    first = sets
-    if not hot.isEmpty():  # of a set with very many copies one is enough
-        first = sets.join(hot, "class", "left").where("least_key is null or key = least_key")
-    posts = first.select("cid", "tokens").mapInArrow(lambda b: _postings(b, codes.value, least), "token int, cid bigint, packed bigint")
+    # of equal sets one is compared
+    several = sets.groupBy("class").agg(F.min("cid").alias("one"), F.count("*").alias("n")).where("n > 1").select("class", "one")
+    extra = stage(sets.select("class", "cid").join(several, "class").where("cid <> one").select("cid"), "extra")
+    first = sets.join(extra, "cid", "left_anti")
+    posts = first.select("cid", "tokens").mapInArrow(lambda b: _postings(b, codes.value, least), "token int, cid bigint, packed bigint, often boolean")
     cand = _candidates(posts, least)
     members = stage(sets.select("field", "key", "class").distinct(), "members")
     involved = cand.select(F.col("c1").alias("cid")).unionByName(cand.select(F.col("c2").alias("cid"))).distinct()
-    some = first.select("class", "cid", "tokens").join(involved, "cid", "left_semi").select("class", "tokens")
-    ordered = some.mapInArrow(lambda b: _order(b, codes.value), "meet bigint, class binary, size int, tokens array<int>")
+    some = first.join(involved, "cid", "left_semi").select("cid", "class", "tokens")
+    ordered = some.mapInArrow(lambda b: _order(b, codes.value), "meet bigint, cid bigint, class binary, size int, tokens array<int>")
     clusters = stage(ordered.repartition("meet").sortWithinPartitions("meet", "class").mapInArrow(_cluster, _CLUSTERS), "clusters")
     drop_staged(sets)
     home = clusters.select("cluster", F.explode("cids").alias("cid"))
@@ -416,8 +432,10 @@ def near_duplicates(records: DataFrame, field: str, key: str, text: str, width:
     group in pairs with other texts.  Null and short texts, see ``similar_classes``.
     """
     members, pairs = similar_classes(records, field, key, text, width, least, least_words)
-    groups = members.groupBy("class").agg(F.count("*").alias("n"), F.min("key").alias("first"), F.min("field").alias("field"))
-    small = lookup_join(members.select("class", "key"), groups.select("class", "n", "first", "field"), ["class"])
+    groups = members.groupBy("class").agg(F.count("*").alias("n"), F.min("key").alias("first"))
+    met = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct().withColumn("met", F.lit(True))
+    wanted = stage(groups.join(met, "class", "left").where("n > 1 or met").select("class", "n", "first"), "wanted")
+    small = stage(lookup_join(members, wanted, ["class"]), "wanted-members")
     listed = small.where((F.col("n") <= MOST_COPIES) | (F.col("key") == F.col("first")))
     left = listed.select(F.col("class").alias("a"), F.col("key").alias("ka"), "field")
     right = listed.select(F.col("class").alias("b"), F.col("key").alias("kb"))

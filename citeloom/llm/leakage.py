@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.llm.frames import nonempty
 from citeloom.llm.words import normal_words
 
 #: Characters of evaluation text in one searched block.
@@ -119,6 +120,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, it
     for block in _blocks(rows):
         shared = spark.sparkContext.broadcast(ItemIndex(block, least))
 
+        @nonempty
         def shards(batches, shared=shared):
             index = shared.value
             for pdf in batches:

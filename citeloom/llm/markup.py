@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.llm.frames import nonempty
+
 _SIGNS = re.compile(r"[<\\`*_~^$={}&#|+]|\[\[|\]\(|''|^(?:[-+*] |\d{1,3}[.)] |-{3,}|    |\t)", re.M)
 _CODE = re.compile(
     r"<pre\b[^>]*>.*?</pre\s*>|<(syntaxhighlight|source)\b[^>]*>.*?</\1\s*>"
@@ -227,6 +229,7 @@ def find_elements(records: DataFrame, key: str, text: str, weights: dict[str, fl
     Null and empty texts have no elements.  Repeated records give repeated rows.
     """
 
+    @nonempty
     def elements(batches):
         for pdf in batches:
             keys, kinds, seqs = [], [], []

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.llm.frames import nonempty
 from citeloom.llm.spans import mix
 from citeloom.llm.words import plain_words
 from citeloom.skew import lookup_join
@@ -75,6 +76,7 @@ def _flat(column) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(arr)), np.diff(offsets)), arr.flatten().to_numpy().view(np.uint32)
 
 
+@nonempty
 def _build(batches, width: int, least_words: int):
     for b in batches:
         rows, tokens = shingle_sets(b["text"].to_pylist(), b["field"].to_pylist(), width, least_words)
@@ -89,6 +91,7 @@ def _build(batches, width: int, least_words: int):
         yield pa.RecordBatch.from_arrays([b["field"].take(take), b["key"].take(take), classes, sets], names=["field", "key", "class", "tokens"])
 
 
+@nonempty
 def _sketch(batches):
     """Counts of the buckets that a task touches, slice by slice."""
     per = (1 << BUCKET_BITS) // SLICES
@@ -111,6 +114,7 @@ def _sketch(batches):
         yield flush()
 
 
+@nonempty
 def _sum_slices(batches):
     """The sums of each slice as one byte a bucket: exact up to 127, a logarithm beyond."""
     per = (1 << BUCKET_BITS) // SLICES
@@ -156,6 +160,7 @@ def _tokens_of(b, codes):
     return rows, tokens, code, np.bincount(rows, minlength=n), np.bincount(rows[code == 1], minlength=n)
 
 
+@nonempty
 def _postings(batches, codes, least: float):
     """(token, cid, place): the prefix of each set, with its size and the token's place in one number.
 
@@ -177,6 +182,7 @@ def _postings(batches, codes, least: float):
         yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int32)), pa.array(b["cid"].to_numpy()[rows]), pa.array(packed), pa.array(often)], names=["token", "cid", "packed", "often"])
 
 
+@nonempty
 def _order(batches, codes):
     """Tokens of each set from rare to frequent without those that occur once, and a key under which alike sets are likely to meet.
 
@@ -221,6 +227,7 @@ def _cluster_run(run: list) -> list[dict]:
     return clusters
 
 
+@nonempty
 def _cluster(batches):
     """Clusters of sets, in rows sorted by the key they meet under."""
     at, run = None, []
@@ -280,6 +287,7 @@ def join_lists(token: np.ndarray, cid: np.ndarray, size: np.ndarray, place: np.n
     return a[new], b[new], np.add.reduceat(w, new)
 
 
+@nonempty
 def _join_lists(batches, least: float):
     """Pairs of sets with the number of prefix tokens they share, from postings sorted by token and packed sizes."""
     held: list[np.ndarray] = []
@@ -330,6 +338,7 @@ def compare_clusters(l1: set, sizes1, adds1, lacks1, l2: set, sizes2, adds2, lac
     return out
 
 
+@nonempty
 def _verify(batches, least: float):
     known: dict[int, set] = {}
     for pdf in batches:
@@ -349,6 +358,7 @@ def _verify(batches, least: float):
         yield pd.DataFrame(out, columns=["a", "b", "jaccard"])
 
 
+@nonempty
 def _verify_within(batches, least: float):
     for pdf in batches:
         out = []

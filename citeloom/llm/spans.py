@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.llm.frames import nonempty
 from citeloom.skew import lookup_join
 from citeloom.staging import stage
 
@@ -116,6 +117,7 @@ def locate(contexts: list[str], low: list, high: list, span: int, fields: list |
     return [merge_intervals([a for a, _ in h], [b for _, b in h]) for h in hits]
 
 
+@nonempty
 def _shards(batches, span: int):
     """Locate in shards: whole keys, about ``SHARD_CONTEXTS`` contexts at a time, in rows sorted by key."""
     held: list = []
@@ -141,6 +143,7 @@ def _shards(batches, span: int):
         yield flush(held)
 
 
+@nonempty
 def _cut(batches, span: int):
     """The contexts of a text's recurring anchors; a text is looked at once however many rows have it."""
     seen: set = set()
@@ -176,6 +179,7 @@ def shared_spans(records: DataFrame, field: str, key: str, text: str, span: int
     rows = records.select(F.col(field).alias("field"), F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
     rows = rows.withColumn("class", F.xxhash64("field", "text"))
 
+    @nonempty
     def find(batches):
         for pdf in batches:
             hashes, counts = word_hashes(pdf["text"].tolist())
@@ -200,6 +204,7 @@ def shared_spans(records: DataFrame, field: str, key: str, text: str, span: int
     hits = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(lambda b: _shards(b, span), "class bigint, s int, e int")
     per = (hits if extra is None else hits.unionByName(extra)).groupBy("class").agg(F.collect_set(F.struct("s", "e")).alias("x"))
 
+    @nonempty
     def unite(batches):
         for pdf in batches:
             out = []

@@ -32,3 +32,17 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
     spread = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     copies = right.join(keys, on, "left").withColumn("_salt", F.explode(spread)).drop("_hot")
     return marked.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+#: Rows up to which the looked-up side is sent to every task.
+SMALL_ROWS = 500_000
+
+
+def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", most: int = SMALL_ROWS) -> DataFrame:
+    """``lookup_join``, but a ``right`` of at most ``most`` rows is counted and broadcast, so that ``left`` stays where it is.
+
+    For a ``right`` that is already written out and narrow.
+    """
+    if right.limit(most + 1).count() <= most:
+        return left.join(F.broadcast(right), on, how)
+    return lookup_join(left, right, on, how)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from citeloom.llm.frames import nonempty
 from citeloom.llm.spans import mix
 from citeloom.llm.words import plain_words
-from citeloom.skew import lookup_join
+from citeloom.skew import lookup_join, small_join
 from citeloom.staging import drop_staged, stage
 
 #: Bits of the frequency sketch's buckets (a byte each, 64 MB whatever the corpus), and slices it is summed in.
@@ -412,8 +412,8 @@ def similar_classes(records: DataFrame, field: str, key: str, text: str, width:
     posts = first.select("cid", "tokens").mapInArrow(lambda b: _postings(b, codes.value, least), "token int, cid bigint, packed bigint, often boolean")
     cand = _candidates(posts, least)
     members = stage(sets.select("field", "key", "class").distinct(), "members")
-    involved = cand.select(F.col("c1").alias("cid")).unionByName(cand.select(F.col("c2").alias("cid"))).distinct()
-    some = first.join(involved, "cid", "left_semi").select("cid", "class", "tokens")
+    involved = stage(cand.select(F.col("c1").alias("cid")).unionByName(cand.select(F.col("c2").alias("cid"))).distinct(), "involved")
+    some = small_join(first, involved, ["cid"], "left_semi").select("cid", "class", "tokens")
     ordered = some.mapInArrow(lambda b: _order(b, codes.value), "meet bigint, cid bigint, class binary, size int, tokens array<int>")
     clusters = stage(ordered.repartition("meet").sortWithinPartitions("meet", "class").mapInArrow(_cluster, _CLUSTERS), "clusters")
     drop_staged(sets)
@@ -445,7 +445,7 @@ def near_duplicates(records: DataFrame, field: str, key: str, text: str, width:
     groups = members.groupBy("class").agg(F.count("*").alias("n"), F.min("key").alias("first"))
     met = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct().withColumn("met", F.lit(True))
     wanted = stage(groups.join(met, "class", "left").where("n > 1 or met").select("class", "n", "first"), "wanted")
-    small = stage(lookup_join(members, wanted, ["class"]), "wanted-members")
+    small = stage(small_join(members, wanted, ["class"]), "wanted-members")
     listed = small.where((F.col("n") <= MOST_COPIES) | (F.col("key") == F.col("first")))
     left = listed.select(F.col("class").alias("a"), F.col("key").alias("ka"), "field")
     right = listed.select(F.col("class").alias("b"), F.col("key").alias("kb"))

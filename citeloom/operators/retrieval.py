@@ -246,11 +246,11 @@ def smart_search(cards: DataFrame, query: str, k: int = 25, **filters) -> DataFr
     """(card_id, score, confidence, variants): every variant of a request searched under its filters, and fused."""
     from citeloom.functions.text import match_quality, matched_terms
 
-    _, stated = smart_request(query)
+    plain, stated = smart_request(query)
     stated |= {n: v for n, v in filters.items() if v is not None}
     allowed = metadata_filter(cards, None, **stated).select("card_id") if stated else None
     out = None
-    for i, text in enumerate(query_variants(query)):
+    for i, text in enumerate(query_variants(plain)):
         hits = hybrid_search(cards, text, max(2 * k, 25), allowed=allowed).join(cards.select("card_id", "tag", "read_text", "cite_raw"), "card_id")
         q = match_quality(matched_terms(text, F.col("tag"), F.col("read_text"), F.col("cite_raw")), F.col("lexical_rank"), F.col("vector_rank"))
         hits = hits.select(F.lit(i).alias("variant"), "card_id", "score", q["confidence"].alias("confidence"))

@@ -2,7 +2,8 @@
 
 One join of nodes and cards and one grouped pass give every aggregate of a position; each
 check is a projection of that wide row.  Findings have the columns kind, severity,
-node_id, title, confidence, card_ids.
+node_id, title, confidence, cards (how many); ``finding_cards`` lists the cards themselves
+as rows, so that no position's cards are ever gathered in one place.
 """
 
 from __future__ import annotations
@@ -18,7 +19,16 @@ from citeloom.functions import text as T
 # Weights of severities in the exposure, and their order.
 EXPOSURE = {"critical": 1.0, "major": 0.45, "minor": 0.15, "info": 0.0}
 SEVERITY_RANK = {"critical": 3, "major": 2, "minor": 1, "info": 0}
-COLUMNS = ["kind", "severity", "node_id", "title", "confidence", "card_ids"]
+COLUMNS = ["kind", "severity", "node_id", "title", "confidence", "cards"]
+
+
+#: Which cards a kind of finding is about, where it isn't all of a position.
+FLAGGED = {
+    "qualification_gap": "unqualified",
+    "no_read_text": "not disclosed and unread",
+    "thin_read": "not disclosed and not unread and rr > 0 and rr < 0.12",
+    "power_tagging": "size(overclaims) > 0",
+}
 
 
 def clean_ratio(c="read_ratio"):
@@ -75,33 +85,37 @@ def positions(nodes: DataFrame, scope: DataFrame | None = None, templates: DataF
 
 
 def position_facts(places: DataFrame, facts: DataFrame) -> DataFrame:
-    """One row per position with every aggregate the checks need.  A card belongs to the node at its source and path."""
-    at = places.join(facts.drop("title"), ["source_id", "path"])
-
-    def ids(cond):
-        return F.array_sort(F.collect_list(F.when(cond, F.col("card_id"))))
+    """One row per position with every aggregate the checks need.  A card belongs to the node at its source and path.
 
-    known = F.col("side").isin("aff", "neg")
+    All are counts that combine before the shuffle, but for the distinct author keys.
+    """
+    at = places.join(facts.drop("title"), ["source_id", "path"])
     return at.groupBy("node_id", "title").agg(
         F.count("*").alias("n"),
         F.collect_set("author").alias("authors"),
         F.count_if(F.col("author").isNull()).alias("anonymous"),
-        ids(F.col("unqualified")).alias("unqualified"),
-        F.count_if("disclosed").alias("disclosed"),
-        ids(~F.col("disclosed") & F.col("unread")).alias("unread"),
-        ids(~F.col("disclosed") & ~F.col("unread") & (F.col("rr") > 0) & (F.col("rr") < 0.12)).alias("thin"),
+        F.count_if(F.expr(FLAGGED["qualification_gap"])).alias("unqualified"),
+        F.count_if(F.expr(FLAGGED["no_read_text"])).alias("unread"),
+        F.count_if(F.expr(FLAGGED["thin_read"])).alias("thin"),
         F.count_if(~F.col("unread")).alias("read"),
         F.max("cite_year").alias("newest"),
         F.median(F.when(F.col("rr") > 0, F.col("rr"))).alias("median_ratio"),
-        ids(F.lit(True)).alias("cards"),
-        F.count_if(known & (F.col("side") == "aff")).alias("aff"),
-        F.count_if(known & (F.col("side") == "neg")).alias("neg"),
     )
 
 
-def _findings(rows: DataFrame, kind: str, severity, cards=None, confidence: float = 1.0) -> DataFrame:
+def _findings(rows: DataFrame, kind: str, severity, cards="n", confidence: float = 1.0) -> DataFrame:
     out = rows.withColumn("severity", severity).where(F.col("severity").isNotNull())
-    return out.select(F.lit(kind).alias("kind"), "severity", "node_id", "title", F.lit(confidence).alias("confidence"), (F.col(cards) if cards else F.col("cards")).alias("card_ids"))
+    return out.select(F.lit(kind).alias("kind"), "severity", "node_id", "title", F.lit(confidence).alias("confidence"), F.col(cards).cast("bigint").alias("cards"))
+
+
+def finding_cards(findings: DataFrame, places: DataFrame, facts: DataFrame) -> DataFrame:
+    """(kind, node_id, card_id): the cards that findings speak of."""
+    at = places.select("node_id", "source_id", "path").join(facts, ["source_id", "path"])
+    rows = findings.select("kind", "node_id").distinct().join(at, "node_id")
+    hit = F.lit(True)
+    for kind, cond in FLAGGED.items():
+        hit &= (F.col("kind") != kind) | F.expr(cond)
+    return rows.where(hit & ~F.col("kind").isin("answer_gap")).select("kind", "node_id", "card_id")
 
 
 def source_concentration(p: DataFrame) -> DataFrame:
@@ -117,17 +131,17 @@ def single_card(p: DataFrame) -> DataFrame:
 
 def qualification_gap(p: DataFrame) -> DataFrame:
     """Most cards name no qualification and no publication."""
-    share = F.size("unqualified") / F.col("n")
-    wide = (F.size("unqualified") > 0) & ((F.col("n") == 1) | (share >= 0.75))
+    share = F.col("unqualified") / F.col("n")
+    wide = (F.col("unqualified") > 0) & ((F.col("n") == 1) | (share >= 0.75))
     return _findings(p, "qualification_gap", F.when(wide, F.when(F.col("n") <= 2, "major").otherwise("minor")).when(share >= 0.5, "minor"), "unqualified")
 
 
 def no_read_text(p: DataFrame) -> DataFrame:
-    return _findings(p, "no_read_text", F.when(F.size("unread") > 0, "major"), "unread")
+    return _findings(p, "no_read_text", F.when(F.col("unread") > 0, "major"), "unread")
 
 
 def thin_read(p: DataFrame) -> DataFrame:
-    return _findings(p, "thin_read", F.when(F.size("thin") > 0, "minor"), "thin")
+    return _findings(p, "thin_read", F.when(F.col("thin") > 0, "minor"), "thin")
 
 
 def recency_decay(p: DataFrame, facts: DataFrame) -> DataFrame:
@@ -138,11 +152,11 @@ def recency_decay(p: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def power_tagging(places: DataFrame, facts: DataFrame) -> DataFrame:
-    """One finding per card whose tag claims more than its read text gives."""
+    """One finding per card whose tag claims more than its read text gives (``finding_cards`` names it)."""
     hits = facts.where(F.size("overclaims") > 0).select("card_id", "source_id", "path", "overclaims", "unread")
     rows = places.join(hits, ["source_id", "path"])
     sev = F.when((F.size("overclaims") > 1) | F.col("unread"), "major").otherwise("minor")
-    return _findings(rows.withColumn("cards", F.array("card_id")), "power_tagging", sev)
+    return _findings(rows.withColumn("n", F.lit(1)), "power_tagging", sev)
 
 
 def answer_gap(places: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -151,7 +165,7 @@ def answer_gap(places: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFra
     answered = edges.where("kind = 'answers'").select(F.col("dst_node_id").alias("attacker")).distinct()
     open_ones = answers.join(answered, "attacker", "left_anti").join(nodes.select(F.col("node_id").alias("attacker"), F.lower("title").alias("name")).distinct(), "attacker")
     per = open_ones.groupBy("node_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
-    rows = places.join(per, "node_id").withColumn("cards", F.array().cast("array<string>"))
+    rows = places.join(per, "node_id").withColumn("n", F.lit(0))
     return _findings(rows, "answer_gap", F.when(F.size("names") >= 2, "major").otherwise("minor"))
 
 

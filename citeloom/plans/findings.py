@@ -34,7 +34,7 @@ def _inputs(spark, d):
 
 
 def _slim(findings):
-    return findings.select("kind", "severity", "node_id", F.size("card_ids").alias("cards"))
+    return findings.select("kind", "severity", "node_id", "cards")
 
 
 @query(
@@ -56,11 +56,22 @@ def position_checks(spark, d):
     return _slim(out)
 
 
-@query(f"WITH {_FACTS} SELECT 'power_tagging' AS kind, CASE WHEN overclaims > 1 OR unread THEN 'major' ELSE 'minor' END AS severity, node_id, card_id FROM loc WHERE overclaims > 0")
+@query(f"WITH {_FACTS} SELECT 'power_tagging' AS kind, CASE WHEN overclaims > 1 OR unread THEN 'major' ELSE 'minor' END AS severity, node_id FROM loc WHERE overclaims > 0")
 def power_tagging(spark, d):
     """Q-3: tags that claim more than the read text gives."""
     _, places, facts = _inputs(spark, d)
-    return checks.power_tagging(places, facts).select("kind", "severity", "node_id", F.col("card_ids")[0].alias("card_id"))
+    return checks.power_tagging(places, facts).select("kind", "severity", "node_id")
+
+
+@query(
+    f"""WITH {_FACTS} SELECT kind, node_id, card_id FROM (SELECT 'no_read_text' AS kind, node_id, card_id FROM loc WHERE NOT disclosed AND unread
+    UNION ALL SELECT 'thin_read', node_id, card_id FROM loc WHERE NOT disclosed AND NOT unread AND rr > 0 AND rr < 0.12)"""
+)
+def finding_cards(spark, d):
+    """Q-5, Q-6: the cards that findings about read text speak of, as rows."""
+    _, places, facts = _inputs(spark, d)
+    p = checks.position_facts(places, facts)
+    return checks.finding_cards(checks.no_read_text(p).unionByName(checks.thin_read(p)), places, facts)
 
 
 @query()
@@ -89,7 +100,7 @@ def unanswered_positions(spark, d):
     """Q-10, J10: positions with cards that no answer points at."""
     _, places, facts = _inputs(spark, d)
     found = checks.unanswered_positions(places, checks.position_facts(places, facts), spark.read.parquet(f"{d}/relate.parquet"))
-    return found.select("node_id", F.size("card_ids").cast("bigint").alias("n"))
+    return found.select("node_id", F.col("cards").alias("n"))
 
 
 @query(

@@ -160,6 +160,7 @@ def test_answers_recency_scores(spark):
     _, _, got = position(spark, [{"author": a} for a in ("Adams", "Brown")], [far], [("x", "m", "answers")])
     assert got == {"unanswered_position": "info"}
     p, found, _ = position(spark, [{"author": "Adams", "year": 2000}])
+    assert checks.finding_cards(found, spark.createDataFrame([("n", "s", ["P"])], "node_id string, source_id string, path array<string>"), checks.card_facts(spark.createDataFrame([("c0", "s", None, ["P"], None, 2020, "t", 0.05, "r", "b", None, "A", None, "P")], CARDS))).count() == 1
     s = checks.scores(p, found).first()
     assert 0 <= s.support <= 1 and s.exposure == round(1 - 1 / 1.45, 3) and s.priority == round(0.65 * (1 - 1 / 1.45) + 0.35 / 6, 3)
     assert checks.first_findings(found.unionByName(found)).count() == found.count()

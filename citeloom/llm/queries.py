@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm import components, consensus, leakage, markup, names, neardup, packing, spans, subjects, tokens
+from citeloom.llm.sql import ORACLE
 from citeloom.session import table
 from citeloom.staging import stage
 
@@ -69,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)

@@ -142,3 +142,14 @@ def fallback_cards(paragraphs: DataFrame) -> DataFrame:
     body = F.array_sort(F.collect_list(F.when(~F.col("is_cite"), F.struct("ordinal", "text"))))
     out = rows.groupBy("source_id", "card_no").agg(F.max(F.when(F.col("is_cite"), F.col("tag"))).alias("tag"), F.max(F.when(F.col("is_cite"), F.col("text"))).alias("cite"), body.alias("b"))
     return out.select("source_id", "card_no", "tag", "cite", F.array_join(F.transform("b", lambda x: x["text"]), "\n").alias("body"))
+
+
+# Named places from which files come: origin and how it is read.
+ADAPTERS = {"local": scan, "git": git_files, "zip": archive_members}
+
+
+def adapter(name: str):
+    """The scan of a named adapter; ValueError for an unknown one."""
+    if name not in ADAPTERS:
+        raise ValueError(f"unknown adapter {name}; there are {', '.join(sorted(ADAPTERS))}")
+    return ADAPTERS[name]

@@ -355,3 +355,32 @@ def test_dataset_stream_restarts(spark, tmp_path):
     assert dataset.filter_rows(dataset.read_rows(spark, str(src)), limit=2).count() == 2
     jobs = spark.createDataFrame([("j", 2.0, "b", 1, 1, None), ("j", 1.0, "a", 0, 0, None)], "job_id string, updated_at double, state string, processed int, imported int, error string")
     assert rows(ingest.job_states(jobs), "job_id", "state") == [("j", "b")]
+
+
+def test_index_and_reports(spark, tmp_path):
+    from citeloom.operators import index, report
+
+    d = docs(spark).withColumn("source_id", F.lit("s")).withColumn("path", F.array(F.lit("P"))).withColumn("ordinal", F.lit(1))
+    folder = str(tmp_path / "index")
+    v = index.current(d, folder)
+    assert v.count() > 0 and index.load(spark, folder, index.corpus_mark(d)).count() == v.count()
+    assert index.load(spark, folder, index.corpus_mark(d.limit(1))) is None
+    (tmp_path / "index" / "manifest.json").write_text("{")
+    (tmp_path / "index" / ".manifest.json.crc").unlink(missing_ok=True)
+    assert index.load(spark, folder, index.corpus_mark(d)) is None and index.load(spark, str(tmp_path / "none"), "x") is None
+    sources = spark.createDataFrame([("s", "o", "2020-01-01"), ("r", "o", "no date"), ("q", "o", "2021-01-01")], "source_id string, origin string, fetched_at string")
+    edges = spark.createDataFrame([("b", "a", "duplicates"), ("a", "c", "duplicates")], "src_node_id string, dst_node_id string, kind string")
+    got = report.card_detail(d, sources, edges, "a", 2)
+    assert rows(got["duplicates"], "other") == [("b",), ("c",)] and got["source"].count() == 1 and "a" not in {r.card_id for r in got["similar"].collect()}
+    assert [r.source_id for r in report.newest_sources(sources, "o").collect()] == ["q", "s", "r"]
+    nodes = spark.createDataFrame([("n", None, "s", ["P"], "T", 3), ("k", "n", "s", ["P", "Q"], "U", 0)], "node_id string, parent_id string, source_id string, path array<string>, title string, card_count int")
+    n = report.node_detail(nodes, d, edges, "n")
+    assert n["cards"].count() == 4 and [r.node_id for r in n["children"].collect()] == ["k"]
+    _, found, _ = position(spark, [{"author": "Adams", "year": 2000}])
+    p, found, _ = position(spark, [{"author": "Adams"}] * 4)
+    t = report.text(found.unionByName(found.withColumn("title", F.lit("z"))), checks.scores(p, found), most=1)
+    assert "SOURCE_CONCENTRATION" in t and "... and 1 more" in t
+    assert rows(report.totals(found)) == [("major", 1, 1)]
+    with pytest.raises(ValueError):
+        files.adapter("unheard")
+    assert files.adapter("local") is files.scan

@@ -194,10 +194,19 @@ def shared_spans(records: DataFrame, field: str, key: str, text: str, span: int
     recurring = stage(found.groupBy("anchor").agg(*classes, F.count("*").alias("n")).where("lo <> hi").select("anchor", "n"), "recurring")
     # at most (all anchors / HOT_CONTEXTS) of them
     hot = stage(recurring.where(F.col("n") >= HOT_CONTEXTS).select("anchor"), "hot-anchors")
-    runs = found.join(recurring.select("anchor"), "anchor").groupBy("class").agg(F.collect_set(F.struct("first", "last", "anchor")).alias("runs"))
-    contexts = rows.join(runs, "class").select("field", "class", "text", "runs").mapInPandas(lambda b: _cut(b, span), "field string, class bigint, anchor bigint, first int, context string")
+    some_hot = not hot.isEmpty()
+    if some_hot:  # anchors that recur very often are known: their rows stay where they are
+        often = found.join(F.broadcast(hot), "anchor")
+        seldom = found.join(F.broadcast(hot), "anchor", "left_anti").join(recurring.select("anchor"), "anchor")
+        kept = often.unionByName(seldom)
+    else:
+        kept = found.join(recurring.select("anchor"), "anchor")
+    runs = kept.groupBy("class").agg(F.collect_set(F.struct("first", "last", "anchor")).alias("runs"))
+    # many rows may have one text; they are spread, and each task looks at a text once
+    texts = lookup_join(rows.select("field", "class", "text"), runs, ["class"])
+    contexts = texts.select("field", "class", "text", "runs").mapInPandas(lambda b: _cut(b, span), "field string, class bigint, anchor bigint, first int, context string")
     extra = None
-    if not hot.isEmpty():
+    if some_hot:
         contexts = stage(contexts, "contexts")
         extra = _single_runs(contexts, hot, span)
         contexts = contexts.join(F.broadcast(hot), "anchor", "left_anti")

@@ -74,7 +74,8 @@ def build() -> argparse.ArgumentParser:
     return p
 
 
-def main(argv: list[str] | None = None) -> int:
+def main(argv: list[str] | None = None, spark=None) -> int:
+    """Run a command; with a session given, that is used and left open."""
     parser = build()
     a = parser.parse_args(argv)
     if getattr(a, "year_min", None) and getattr(a, "year_max", None) and a.year_min > a.year_max:
@@ -82,7 +83,8 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "bundle-inspect":
         print(json.dumps(bundle.inspect_bundle(a.folder)["tables"]))
         return 0
-    spark = local_session("*")
+    own = spark is None
+    spark = spark or local_session("*")
     spark.sparkContext.setLogLevel("ERROR")
     if a.command == "bundle-import":
         tables, _, dropped = bundle.restore_bundle(spark, a.folder, a.out)
@@ -125,7 +127,8 @@ def main(argv: list[str] | None = None) -> int:
         elif a.command == "packet":
             ids = spark.createDataFrame(list(enumerate(a.cards)), "pos int, card_id string")
             Path(a.out).write_bytes(packet.write_packet(cards, sources, ids))
-    spark.stop()
+    if own:
+        spark.stop()
     return 0
 
 

@@ -54,3 +54,22 @@ def test_core_does_not_need_llm():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert not re.search(r"^\s*(from|import)\s+citeloom\.llm", f.read_text(), re.M), f
+
+
+def test_views_and_commands(spark, tmp_path, capsys):
+    from citeloom import views
+    from citeloom.__main__ import main
+
+    assert {"cards", "card_flags"} <= set(views.register(spark, DATA))
+    assert spark.sql("SELECT count(*) FROM card_flags WHERE array_contains(flags, 'undated')").first()[0] > 0
+    assert main(["stats", DATA], spark) == 0 and main(["search", DATA, "carbon sinks", "-k", "2", "--side", "aff"], spark) == 0
+    report = tmp_path / "r.json"
+    assert main(["analyze", DATA, "--report", str(report)], spark) == 0 and report.read_text().startswith("[")
+    card = spark.table("cards").select("card_id").first()[0]
+    assert main(["packet", DATA, str(tmp_path / "p.zip"), card], spark) == 0
+    assert main(["bundle-export", DATA, str(tmp_path / "b.zip")], spark) == 0 and main(["bundle-inspect", str(tmp_path / "b.zip")]) == 0
+    assert main(["bundle-import", str(tmp_path / "b.zip"), str(tmp_path / "out")], spark) == 0
+    assert main(["graph", DATA, str(tmp_path / "g")], spark) == 0 and spark.read.parquet(str(tmp_path / "g" / "answers")).count() > 0
+    for bad in (["search", DATA, "x", "-k", "0"], ["search", DATA, "x", "--year-min", "2020", "--year-max", "2010"], ["unheard"]):
+        with pytest.raises(SystemExit):
+            main(bad, spark)

@@ -56,6 +56,8 @@ _COMMENT = re.compile(r"<!--.*?-->", re.S)
 _LATEX_ENV = re.compile(r"\\(?:begin|end)\{[^{}\n]*\}(?:\[[^\]\n]*\])?")
 _TOKEN = re.compile(r"</?([A-Za-z][A-Za-z0-9]*)(?:[\s/][^<>]*)?>|\w+")
 
+#: Words of a heading after a single "#" at most.
+TITLE_WORDS = 14
 #: Scores of the scan where none are fitted: a word, and a tag of any kind.
 WORD_SCORE, TAG_SCORE = 1.0, -0.25
 
@@ -90,8 +92,8 @@ def parse(text: str) -> tuple[list[tuple[str, int, int, str]], bool]:
         found += [("list_item", m.start(), m.end(), m[1]) for m in _LATEX_ITEM.finditer(text)]
     for m in _LINE.finditer(text):
         if m["atx"]:
-            # "# " also numbers wiki list items, which are sentences; "## " and longer do so only there
-            sentence = m["atxt"].rstrip()[-1:] in ".!?" and len(m["atx"]) == 1
+            # "# " also numbers wiki list items, which are sentences, if cut off at times
+            sentence = len(m["atx"]) == 1 and (m["atxt"].rstrip()[-1:] in ".!?" or len(m["atxt"].split()) > TITLE_WORDS)
             found.append(("list_item" if sentence else "heading", m.start(), m.end(), m["atxt"]))
         elif m["wiki"]:
             found.append(("heading", m.start(), m.end(), m["wtxt"]))

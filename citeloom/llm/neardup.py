@@ -393,7 +393,7 @@ def _candidates(posts: DataFrame, least: float) -> DataFrame:
 
 
 def similar_classes(records: DataFrame, field: str, key: str, text: str, width: int = 5, least: float = 0.8, least_words: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): members (field, key, class) of the classes of equal sets; pairs (a, b, jaccard) of classes, a < b.
+    """(members, pairs): pairs (a, b, jaccard) of classes of equal sets, a < b; members (field, key, class) of classes with a pair or several rows.
 
     Shingles are ``width`` consecutive words (runs of a-z and 0-9 after lower-casing).
     Texts under ``width`` or ``least_words`` words, null texts and null keys take no part.
@@ -406,17 +406,15 @@ def similar_classes(records: DataFrame, field: str, key: str, text: str, width:
     sets = stage(built.withColumn("cid", F.monotonically_increasing_id()), "sets")
     codes = rows.sparkSession.sparkContext.broadcast(frequency_codes(sets))
     # of equal sets one is compared
-    several = sets.groupBy("class").agg(F.min("cid").alias("one"), F.count("*").alias("n")).where("n > 1").select("class", "one")
-    extra = stage(sets.select("class", "cid").join(several, "class").where("cid <> one").select("cid"), "extra")
+    several = stage(sets.groupBy("class").agg(F.min("cid").alias("one"), F.count("*").alias("n")).where("n > 1").select("class", "one"), "several")
+    extra = stage(small_join(sets.select("class", "cid"), several, ["class"]).where("cid <> one").select("cid"), "extra")
     first = sets.join(extra, "cid", "left_anti")
     posts = first.select("cid", "tokens").mapInArrow(lambda b: _postings(b, codes.value, least), "token int, cid bigint, packed bigint, often boolean")
     cand = _candidates(posts, least)
-    members = stage(sets.select("field", "key", "class").distinct(), "members")
     involved = stage(cand.select(F.col("c1").alias("cid")).unionByName(cand.select(F.col("c2").alias("cid"))).distinct(), "involved")
     some = small_join(first, involved, ["cid"], "left_semi").select("cid", "class", "tokens")
     ordered = some.mapInArrow(lambda b: _order(b, codes.value), "meet bigint, cid bigint, class binary, size int, tokens array<int>")
     clusters = stage(ordered.repartition("meet").sortWithinPartitions("meet", "class").mapInArrow(_cluster, _CLUSTERS), "clusters")
-    drop_staged(sets)
     home = clusters.select("cluster", F.explode("cids").alias("cid"))
     linked = lookup_join(cand.withColumnRenamed("c1", "cid"), home.withColumnRenamed("cluster", "k1"), ["cid"]).drop("cid")
     linked = lookup_join(linked.withColumnRenamed("c2", "cid"), home.withColumnRenamed("cluster", "k2"), ["cid"])
@@ -429,7 +427,9 @@ def similar_classes(records: DataFrame, field: str, key: str, text: str, width:
     between = both.mapInPandas(lambda b: _verify(b, least), schema)
     within = clusters.where(F.size("classes") > 1).select(*cols).mapInPandas(lambda b: _verify_within(b, least), schema)
     pairs = stage(between.unionByName(within), "pairs")
-    for t in (clusters, cand):
+    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).unionByName(several.select("class")).distinct()
+    members = stage(small_join(sets.select("field", "key", "class"), stage(wanted, "wanted"), ["class"], "left_semi").distinct(), "members")
+    for t in (sets, clusters, cand):
         drop_staged(t)
     return members, pairs
 
@@ -442,10 +442,8 @@ def near_duplicates(records: DataFrame, field: str, key: str, text: str, width:
     group in pairs with other texts.  Null and short texts, see ``similar_classes``.
     """
     members, pairs = similar_classes(records, field, key, text, width, least, least_words)
-    groups = members.groupBy("class").agg(F.count("*").alias("n"), F.min("key").alias("first"))
-    met = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct().withColumn("met", F.lit(True))
-    wanted = stage(groups.join(met, "class", "left").where("n > 1 or met").select("class", "n", "first"), "wanted")
-    small = stage(small_join(members, wanted, ["class"]), "wanted-members")
+    groups = stage(members.groupBy("class").agg(F.count("*").alias("n"), F.min("key").alias("first")), "groups")
+    small = stage(small_join(members, groups, ["class"]), "grouped")
     listed = small.where((F.col("n") <= MOST_COPIES) | (F.col("key") == F.col("first")))
     left = listed.select(F.col("class").alias("a"), F.col("key").alias("ka"), "field")
     right = listed.select(F.col("class").alias("b"), F.col("key").alias("kb"))

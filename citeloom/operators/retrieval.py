@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from citeloom.staging import stage
+
 #: Weights of the searched fields, and BM25's two constants.
 FIELD_WEIGHTS = {"tag": 8.0, "read_text": 4.0, "cite_raw": 2.0, "body": 1.0}
 K1, B = 1.2, 0.75
@@ -99,6 +101,7 @@ def tfidf_vectors(docs: DataFrame, key: str, text: str, max_df: float = 0.85, ma
     rows = docs.select(key, toks.alias("t"))
     pairs = F.when(F.size("t") > 1, F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.concat_ws(" ", F.element_at("t", i), F.element_at("t", i + 1)))).otherwise(F.array().cast("array<string>"))
     counts = rows.select(key, F.explode(F.concat("t", pairs)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("c"))
+    counts = stage(counts, "term-counts")  # read three times below
     n = docs.select(key).distinct().agg(F.count("*").alias("n"))
     df = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("c").alias("total")).crossJoin(F.broadcast(n))
     kept = df.where(F.col("df") <= max_df * F.col("n"))
@@ -116,12 +119,19 @@ def sparse_cosine(vectors: DataFrame, queries: DataFrame, key: str, query_key: s
     return vectors.join(q, "term").groupBy(query_key, key).agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
 
 
-def cosine(a, b):
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def unit(a: Column) -> Column:
+    """An array column as a vector of length 1; null where all is zero."""
+    n = F.nullif(F.sqrt(dot(a, a)), F.lit(0.0))
+    return F.transform(a, lambda x: x.cast("double") / n)
+
+
+def cosine(a: Column, b: Column) -> Column:
     """Of two array columns; null where either is zero."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    na = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    nb = F.sqrt(F.aggregate(b, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    return dot / F.nullif(na * nb, F.lit(0.0))
+    return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, key: str, query_key: str, vector: str = "embedding", k: int = 10, floor: float = 0.0) -> DataFrame:
@@ -129,9 +139,9 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, key: str, query_key: str,
 
     ``queries`` is a stated, small set; it meets the vectors block by block.
     """
-    q = queries.select(F.col(query_key), F.col(vector).alias("_query"))
-    pairs = vectors.select(F.col(key), F.col(vector).alias("v")).crossJoin(q).where(F.col(key) != F.col(query_key))
-    scored = pairs.select(query_key, key, cosine(F.col("v"), F.col("_query")).alias("score")).where(F.col("score") > floor)
+    q = queries.select(F.col(query_key), unit(F.col(vector)).alias("_query"))
+    pairs = vectors.select(F.col(key), unit(F.col(vector)).alias("v")).crossJoin(q).where(F.col(key) != F.col(query_key))
+    scored = pairs.select(query_key, key, dot(F.col("v"), F.col("_query")).alias("score")).where(F.col("score") > floor)
     return top_per(scored, query_key, key, k)
 
 

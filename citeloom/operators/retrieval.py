@@ -181,7 +181,8 @@ def hybrid_search(cards: DataFrame, query: str, k: int = 25, mode: str = "balanc
     spark = cards.sparkSession
     texts = rows.select("card_id", vector_text(F.col("tag"), F.col("read_text"), F.col("body")).alias("text"))
     ask = spark.createDataFrame([("?", query)], "card_id string, text string")
-    vec = tfidf_vectors(texts.unionByName(ask), "card_id", "text") if vectors is None else vectors
+    # read twice: for the query's terms and for theirs in the cards
+    vec = stage(tfidf_vectors(texts.unionByName(ask), "card_id", "text"), "vectors") if vectors is None else vectors
     q = vec.where("card_id = '?'").select(F.lit("?").alias("q"), "term", "w")
     near = sparse_cosine(vec.where("card_id <> '?'"), q, "card_id", "q").where(F.col("score") > FLOORS[mode])
     vector = ranked(near.orderBy(F.desc("score"), "card_id").limit(pool), "card_id")

@@ -8,6 +8,7 @@ from citeloom.functions import text as T
 from citeloom.operators import retrieval as R
 from citeloom.plans.evidence import _CARDS, NOW, SLOW
 from citeloom.plans.registry import cards, query
+from citeloom.staging import stage
 
 QUERY = "carbon sinks OR interest rates"
 _TERMS = {"carbon": 0, "sinks": 1, "interest": 2, "rates": 3}
@@ -35,16 +36,21 @@ def bm25_sql(match: str, limit: int) -> str:
 _COLS = ("tag", "read_text", "cite_raw", "body")
 
 
+def corpus(spark, d, *columns):
+    """The cards without re-deliveries, written out once: a search reads them several times."""
+    return stage(cards(spark, d, *_COLS, *columns), "corpus")
+
+
 @query(bm25_sql("(tf0 > 0 AND tf1 > 0) OR (tf2 > 0 AND tf3 > 0)", 25))
 def bm25_topk(spark, d):
     """The 25 best cards for a query, by BM25 with weighted fields (top-k is the feature)."""
-    return R.bm25(cards(spark, d, *_COLS), "card_id", QUERY, 25).select("card_id", F.round("score", 6).alias("score"))
+    return R.bm25(corpus(spark, d), "card_id", QUERY, 25).select("card_id", F.round("score", 6).alias("score"))
 
 
 @query()
 def flagship_hits(spark, d):
     """Hybrid hits with match labels, source, traceability and freshness."""
-    own = cards(spark, d, *_COLS, "source_id", "disclosed_only", "side", "cite_year")
+    own = corpus(spark, d, "source_id", "disclosed_only")
     hits = R.hybrid_search(own, QUERY, 25)
     s = spark.read.parquet(f"{d}/sources.parquet").select("source_id", F.col("title").alias("source_title"), "origin", "fetched_at", "last_refresh_failed_at")
     rows = hits.join(own, "card_id").join(s, "source_id", "left")
@@ -61,7 +67,7 @@ def flagship_hits(spark, d):
 @query()
 def tfidf_topk(spark, d):
     """The cards nearest to one card by TF-IDF cosine (top-k is the feature)."""
-    own = cards(spark, d, *_COLS)
+    own = corpus(spark, d)
     vec = R.tfidf_vectors(own.select("card_id", T.vector_text(F.col("tag"), F.col("read_text"), F.col("body")).alias("text")), "card_id", "text")
     first = own.where("length(read_text) > 200").agg(F.min("card_id")).first()[0]
     q = vec.where(F.col("card_id") == first).select(F.col("card_id").alias("q"), "term", "w")
@@ -108,7 +114,7 @@ def rrf_fusion(spark, d):
 @query()
 def smart_search(spark, d):
     """A conversational request, its variants searched and fused."""
-    own = cards(spark, d, *_COLS, "side", "cite_year")
+    own = corpus(spark, d, "side", "cite_year")
     return R.smart_search(own, "please find negative cards from 2015 about household savings", 25).select("card_id", F.round("score", 6).alias("score"), "confidence", F.array_join("variants", ",").alias("variants"))
 
 

@@ -10,17 +10,19 @@ one fits them.
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.frames import nonempty
 from citeloom.llm.components import connected_components
-from citeloom.staging import stage
+from citeloom.skew import lookup_join
+from citeloom.staging import drop_staged, stage
 
 #: Short forms of given names (fixed values of common English usage).
 NICKNAMES = {
@@ -62,6 +64,8 @@ COSINE, LINK = 0.40, 0.35
 PART_COSINE = 0.30
 #: Pairs of a component up to which it is clustered in one task.
 MOST_PAIRS = 20_000
+#: Scores are summed in these units.
+TENTHS = 10
 
 
 def fold(text: str) -> str:
@@ -191,30 +195,46 @@ def average_linkage(n: int, scores: dict[tuple[int, int], float], least: float,
     An item stands for ``weights`` spellings, over whose pairs the mean is taken.  Pairs
     without a score count 0.  Ties go to the smaller numbers.
     """
-    members = {i: [i] for i in range(n)}
-    mass = dict(enumerate(weights or [1.0] * n))
-    total: dict[int, dict[int, float]] = {i: {} for i in range(n)}
-    for (i, j), s in scores.items():
-        total[i][j] = total[j][i] = s * mass[i] * mass[j]
-    while True:
-        best = None
-        for i, row in total.items():
-            for j, s in row.items():
-                if i < j:
-                    mean = s / (mass[i] * mass[j])
-                    if mean >= least and (best is None or mean > best[0]):
-                        best = (mean, i, j)
-        if best is None:
-            break
-        _, i, j = best
+    mass = list(weights or [1.0] * n)
+    return merge_closest({(i, j): s * mass[i] * mass[j] for (i, j), s in scores.items()}, mass, least)
+
+
+def merge_closest(sums: dict[tuple[int, int], float], mass: list[float], least: float, fixed: frozenset[int] = frozenset()) -> list[int]:
+    """Cluster numbers by average linkage of clusters with ``mass`` spellings and ``sums`` of scores between them.
+
+    ``fixed`` ones are merged elsewhere, so their present means bound those to come: whose
+    closest partner is fixed stays as it is, and all merges done are merges of the whole.
+    """
+    mass, held = list(mass), set(fixed)
+    members = {i: [i] for i in range(len(mass))}
+    total: dict[int, dict[int, float]] = {i: {} for i in members}
+    for (i, j), s in sums.items():
+        total[i][j] = total[j][i] = s
+
+    def entry(i, j):
+        return -total[i][j] / (mass[i] * mass[j]), min(i, j), max(i, j)
+
+    heap = [e for e in (entry(i, j) for i, j in sums) if -e[0] >= least]
+    heapq.heapify(heap)
+    while heap:
+        top = heapq.heappop(heap)
+        _, i, j = top
+        if j not in total.get(i, ()) or entry(i, j) != top:
+            continue
+        if i in held or j in held:
+            held |= {i, j}
+            continue
         members[i] += members.pop(j)
         mass[i] += mass[j]
         for k, s in total.pop(j).items():
+            del total[k][j]
             if k != i:
-                total[i][k] = total[i].get(k, 0.0) + s
-                total[k][i] = total[i][k]
-            total[k].pop(j, None)
-    out = [0] * n
+                total[i][k] = total[k][i] = total[i].get(k, 0) + s
+        for k in total[i]:
+            e = entry(i, k)
+            if -e[0] >= least:
+                heapq.heappush(heap, e)
+    out = [0] * len(mass)
     for c, own in members.items():
         for i in own:
             out[i] = c
@@ -324,32 +344,109 @@ def _scored(pairs: DataFrame, parsed: DataFrame) -> DataFrame:
 def _cluster(pairs: DataFrame, least: float) -> DataFrame:
     """(name, cluster) by average linkage inside the connected components of scored pairs.
 
-    A component of more than ``MOST_PAIRS`` pairs is too large for one task; there the
-    pairs without any doubt (score 1) alone make the clusters.
+    A component of more than ``MOST_PAIRS`` pairs is clustered in rounds of many tasks
+    (``_merge_round``) until it has no more; the clusters are the same either way.
     """
     comp = connected_components(pairs, "a", "b")
-    placed = pairs.join(comp.select(F.col("node_id").alias("a"), "group_id"), "a")
+    # whole tenths, so that sums and means don't depend on the order of addition
+    least *= TENTHS
+    total = F.round(F.col("score") * TENTHS).cast("bigint") * F.col("na") * F.col("nb")
+    placed = pairs.join(comp.select(F.col("node_id").alias("a"), "group_id"), "a").select("group_id", "a", "b", total.alias("total"), "na", "nb")
     large = stage(placed.groupBy("group_id").count().where(F.col("count") > MOST_PAIRS).select("group_id"), "large")
-    rows = placed.join(large, "group_id", "left_anti").groupBy("group_id").agg(F.collect_list(F.struct("a", "b", "score", "na", "nb")).alias("p"))
+    out = _merge_groups(placed.join(large, "group_id", "left_anti"), least)
+    if large.isEmpty():
+        return out
+    edges = stage(placed.join(large, "group_id", "left_semi"), "large-pairs")
+    labels = stage(edges.select(F.explode(F.array("a", "b")).alias("name")).distinct().withColumn("cluster", F.col("name")), "large-labels")
+    while True:
+        size = edges.groupBy("group_id").agg(F.count("*").alias("k"), F.max(_mean("total", "na", "nb")).alias("best"))
+        size = stage(size.where(F.col("best") >= least), "large-sizes")
+        if size.isEmpty():
+            return out.unionByName(labels)
+        last = edges.join(size.where(F.col("k") <= MOST_PAIRS), "group_id", "left_semi")
+        more = stage(edges.join(size.where(F.col("k") > MOST_PAIRS), "group_id", "left_semi"), "large-open")
+        moved = stage(_merge_round(more, least), "large-moved")
+        steps = moved.select("name", "cluster").unionByName(_merge_groups(last, least))
+        new = lookup_join(labels.withColumnRenamed("name", "own"), steps.select(F.col("name").alias("cluster"), F.col("cluster").alias("to")), ["cluster"], "left")
+        new = stage(new.select(F.col("own").alias("name"), F.coalesce("to", "cluster").alias("cluster")), "large-labels")
+        ends = more
+        for c in "ab":
+            ends = lookup_join(ends, moved.select(F.col("name").alias(c), F.col("cluster").alias("c" + c), F.col("mass").alias("m" + c)), [c], "left")
+        ends = ends.select("group_id", *[F.coalesce("c" + c, c).alias(c) for c in "ab"], "total", *[F.coalesce("m" + c, "n" + c).alias("n" + c) for c in "ab"]).where("a <> b")
+        turned = F.col("a") > F.col("b")
+        ends = ends.select("group_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "total", F.when(turned, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(turned, F.col("na")).otherwise(F.col("nb")).alias("nb"))
+        nxt = stage(ends.groupBy("group_id", "a", "b").agg(F.sum("total").alias("total"), F.first("na").alias("na"), F.first("nb").alias("nb")), "large-pairs")
+        for t in (edges, labels, size, more, moved):
+            drop_staged(t)
+        edges, labels = nxt, new
+
+
+def _mean(total: str, na: str, nb: str) -> Column:
+    return F.col(total).cast("double") / (F.col(na) * F.col(nb))
+
+
+def _merge_groups(edges: DataFrame, least: float) -> DataFrame:
+    """(name, cluster): average linkage of each group in one task."""
+    rows = edges.groupBy("group_id").agg(F.collect_list(F.struct("a", "b", "total", "na", "nb")).alias("p"))
 
     @nonempty
     def run(batches):
         for pdf in batches:
             names, clusters = [], []
             for p in pdf["p"]:
-                own = sorted({x["a"] for x in p} | {x["b"] for x in p})
+                count = {x["a"]: int(x["na"]) for x in p} | {x["b"]: int(x["nb"]) for x in p}
+                own = sorted(count)
                 at = {n: i for i, n in enumerate(own)}
-                count = {x["a"]: x["na"] for x in p} | {x["b"]: x["nb"] for x in p}
-                got = average_linkage(len(own), {(at[x["a"]], at[x["b"]]): x["score"] for x in p}, least, [float(count[n]) for n in own])
+                got = merge_closest({(at[x["a"]], at[x["b"]]): int(x["total"]) for x in p}, [count[n] for n in own], least)
                 names += own
                 clusters += [own[c] for c in got]
             yield pd.DataFrame({"name": names, "cluster": clusters})
 
-    out = rows.mapInPandas(run, "name string, cluster string")
-    if large.isEmpty():
-        return out
-    sure = connected_components(placed.join(large, "group_id", "left_semi").where("score >= 1.0"), "a", "b")
-    return out.unionByName(sure.select(F.col("node_id").alias("name"), F.col("group_id").alias("cluster")))
+    return rows.mapInPandas(run, "name string, cluster string")
+
+
+def _merge_round(edges: DataFrame, least: float) -> DataFrame:
+    """(name, cluster, mass) of clusters that some merges of the average linkage change.
+
+    Two clusters that are each other's closest, and those whose closest partner is one of
+    the two, make a block.  A task has all pairs of a block's clusters, with those outside
+    held fixed; a block takes its closest clusters until they have ``MOST_PAIRS`` pairs.
+    """
+    pairs = edges.select("a", "b", (-_mean("total", "na", "nb")).alias("m"))
+    ways = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("w"), F.struct("m", "a", "b").alias("s"))
+    best = ways.groupBy("w.node").agg(F.min(F.struct("s", "w.other")).alias("x"), F.count("*").alias("degree"))
+    best = stage(best.where(F.col("x.s.m") <= -least).select("node", F.col("x.other").alias("other"), F.col("x.s").alias("s"), "degree"), "closest")
+    # pairs of mutual closest clusters have the same best pair
+    roots = best.groupBy("s").agg(F.count("*").alias("k"), F.min("node").alias("root"), F.collect_list("node").alias("ends")).where("k = 2")
+    roots = stage(roots.select("root", F.explode("ends").alias("node")), "mutual")
+    leaves = lookup_join(best.join(roots, "node", "left_anti").withColumnRenamed("node", "leaf"), roots.withColumnRenamed("node", "other"), ["other"])
+    reach = F.sum("degree").over(Window.partitionBy("root").orderBy("s", "leaf").rowsBetween(Window.unboundedPreceding, 0))
+    leaves = leaves.withColumn("reach", reach).where(F.col("reach") <= MOST_PAIRS).select("root", F.col("leaf").alias("node"))
+    block = stage(roots.unionByName(leaves), "blocks")
+    rows = edges
+    for c in "ab":
+        rows = lookup_join(rows, block.select(F.col("node").alias(c), F.col("root").alias("r" + c)), [c], "left")
+    rows = rows.withColumn("root", F.explode(F.array_distinct(F.filter(F.array("ra", "rb"), lambda r: r.isNotNull()))))
+    rows = rows.select("root", "a", "b", "total", "na", "nb", F.coalesce(F.col("ra") == F.col("root"), F.lit(False)).alias("ia"), F.coalesce(F.col("rb") == F.col("root"), F.lit(False)).alias("ib"))
+
+    def run(pdf):
+        own = sorted(set(pdf["a"]) | set(pdf["b"]))
+        at = {n: i for i, n in enumerate(own)}
+        mass, fixed = [0] * len(own), set(range(len(own)))
+        sums = {}
+        for a, b, total, na, nb, ia, ib in zip(*(pdf[c].tolist() for c in ("a", "b", "total", "na", "nb", "ia", "ib"))):
+            i, j = at[a], at[b]
+            sums[i, j] = total
+            mass[i], mass[j] = na, nb
+            fixed -= {k for k, inside in ((i, ia), (j, ib)) if inside}
+        got = merge_closest(sums, mass, least, frozenset(fixed))
+        whole: dict[int, int] = {}
+        for i, c in enumerate(got):
+            whole[c] = whole.get(c, 0) + mass[i]
+        rows = [(own[i], own[c], whole[c]) for i, c in enumerate(got) if whole[c] != mass[i]]
+        return pd.DataFrame(rows, columns=["name", "cluster", "mass"])
+
+    return rows.groupBy("root").applyInPandas(run, "name string, cluster string, mass bigint")
 
 
 def link_names(names: DataFrame, cosine: float = COSINE, link: float = LINK) -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+from itertools import combinations
+
 from citeloom.llm import names as N
 
 
@@ -52,3 +55,41 @@ def test_large_component_keeps_sure_links(spark, monkeypatch):
     monkeypatch.setattr(N, "MOST_PAIRS", 1)
     got = clusters(spark, ["Ann Calloway", "Calloway, Ann", "Ann B. Calloway", "Ann Callowya", "Ann Calowlay"])
     assert frozenset({"Ann Calloway", "Calloway, Ann", "Ann B. Calloway"}) in got
+
+
+def test_large_component_is_clustered_as_a_small_one(spark, monkeypatch):
+    rng = random.Random(5)
+    people = [f"{g} {i}{s}" for g in ("Ann", "Annabel") for i in ("", "B. ", "C. ", "Q. ", "B. C. ") for s in ("Calloway", "Callowya", "Caloway", "Callowey")]
+    score = {p: rng.choice((0.9, 1.0)) for p in combinations(people, 2) if rng.random() < 0.15}
+    n = {p: rng.randrange(1, 5) for p in people}
+    # a star: one name is close to most, of which few are close to each other
+    score |= {("Ann Hub", p): 1.0 for p in people[:30]}
+    n["Ann Hub"] = 4
+    pairs = spark.createDataFrame([(*sorted(p), s, n[min(p)], n[max(p)]) for p, s in score.items()], "a string, b string, score double, na bigint, nb bigint")
+    whole = {(r.name, r.cluster) for r in N._cluster(pairs, 0.35).collect()}
+    own = sorted(n)
+    at = {p: i for i, p in enumerate(own)}
+    plain = naive_linkage(len(own), {tuple(sorted((at[a], at[b]))): round(10 * s) for (a, b), s in score.items()}, 3.5, [n[p] for p in own])
+    assert whole == {(p, own[plain[i]]) for i, p in enumerate(own)} and 1 < len(set(plain)) < len(own)
+    for most in (1, 100):
+        monkeypatch.setattr(N, "MOST_PAIRS", most)
+        assert {(r.name, r.cluster) for r in N._cluster(pairs, 0.35).collect()} == whole
+
+
+def naive_linkage(n, scores, least, mass):
+    own = {i: [i] for i in range(n)}
+    while True:
+        best = None
+        for i, j in combinations(sorted(own), 2):
+            mean = sum(scores.get((min(x, y), max(x, y)), 0) * mass[x] * mass[y] for x in own[i] for y in own[j]) / (sum(mass[x] for x in own[i]) * sum(mass[y] for y in own[j]))
+            if mean >= least and (best is None or mean > best[0]):
+                best = mean, i, j
+        if best is None:
+            return [next(c for c, m in own.items() if i in m) for i in range(n)]
+        own[best[1]] += own.pop(best[2])
+
+
+def test_large_component_keeps_typing_errors(spark, monkeypatch):
+    names = ["Ann Calloway", "Calloway, Ann", "Ann B. Calloway", "Ann Callowya"]
+    monkeypatch.setattr(N, "MOST_PAIRS", 1)
+    assert clusters(spark, names) == [frozenset(names)]

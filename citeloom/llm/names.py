@@ -62,6 +62,10 @@ _ACRONYM = re.compile(r"^(?=(?:[^A-Z]*[A-Z]){3})[A-Z][A-Za-z&]{1,8}[A-Z]$")
 COSINE, LINK = 0.40, 0.35
 #: The same for parts of names, before their letters are compared.
 PART_COSINE = 0.30
+#: Spellings up to which a name may be another's typing error, however often it is given.
+FEW_SPELLINGS = 2
+#: Beyond, the largest share that its records or its spellings may be of the other's: what names one typing error apart have is measured in the README.
+RARE_ROWS, RARE_SPELLINGS = 0.05, 0.4
 #: Pairs of a component up to which it is clustered in one task.
 MOST_PAIRS = 20_000
 #: Scores are summed in these units.
@@ -241,24 +245,38 @@ def merge_closest(sums: dict[tuple[int, int], float], mass: list[float], least:
     return out
 
 
-_PARSED = "name string, form string, kind string, parts array<string>, initials array<string>, compact string, grams array<string>"
+_PARSED = "name string, rows bigint, form string, kind string, parts array<string>, initials array<string>, compact string, grams array<string>"
 
 
 def parsed_spellings(names: DataFrame) -> DataFrame:
-    """One row per distinct spelling that names somebody; ``form`` is equal where the parts and initials are."""
+    """One row per distinct spelling that names somebody; ``form`` is equal where the parts and initials are.
+
+    ``rows``: the sum of that column of ``names``, without one the rows that have the spelling.
+    """
 
     @nonempty
     def run(batches):
         for pdf in batches:
             rows = []
-            for n in pdf["name"]:
+            for n, k in zip(pdf["name"], pdf["rows"]):
                 p = parse(n)
                 if p:
                     form = "|".join((p[0], " ".join(p[1]), " ".join(p[2])))
-                    rows.append((n, form, *p, grams(n, p)))
-            yield pd.DataFrame(rows, columns=["name", "form", "kind", "parts", "initials", "compact", "grams"])
+                    rows.append((n, k, form, *p, grams(n, p)))
+            yield pd.DataFrame(rows, columns=["name", "rows", "form", "kind", "parts", "initials", "compact", "grams"])
+
+    rows = F.sum("rows") if "rows" in names.columns else F.count("*")
+    return names.where("name is not null").groupBy("name").agg(rows.alias("rows")).mapInPandas(run, _PARSED)
 
-    return names.select("name").where("name is not null").distinct().mapInPandas(run, _PARSED)
+
+def erroneous(s1: str, s2: str, r1: str, r2: str) -> Column:
+    """Whether the rarer of two names one typing error apart may be the other's error, by their spellings and records.
+
+    A name with hardly any spelling may; others by their share of the more frequent name,
+    which stays as it is when there are ten times the records.
+    """
+    few = F.least(s1, s2) <= FEW_SPELLINGS
+    return few | (F.least(r1, r2) <= RARE_ROWS * F.greatest(r1, r2)) | (F.least(s1, s2) <= RARE_SPELLINGS * F.greatest(s1, s2))
 
 
 def cosine_pairs(vectors: DataFrame, key: str, features: str, least: float, power: float = 1.0, keep=None) -> DataFrame:
@@ -452,8 +470,9 @@ def _merge_round(edges: DataFrame, least: float) -> DataFrame:
 def link_names(names: DataFrame, cosine: float = COSINE, link: float = LINK) -> DataFrame:
     """(name, cluster) for every spelling that is linked to another one.
 
-    ``names`` has a column name; null, blank and repeated spellings, and words that name
-    nobody, are left out.  No spelling at all gives an empty table.
+    ``names`` has a column name, and may have the number of records as rows; null, blank
+    and repeated spellings, and words that name nobody, are left out.  No spelling at all
+    gives an empty table.
     """
     spelled = stage(parsed_spellings(names), "spellings")
     # spellings with the same parts and initials are one form, and forms are what is compared
@@ -463,13 +482,14 @@ def link_names(names: DataFrame, cosine: float = COSINE, link: float = LINK) ->
     pairs = stage(_scored(whole_names.unionByName(part_pairs(parsed)).distinct(), parsed), "name-pairs")
     # a typing error is a rare spelling of an established name: of two established names neither is the other's error
     key = F.concat_ws(" ", "kind", F.array_join("parts", " "))
-    support = spelled.groupBy(key.alias("key")).agg(F.count("*").alias("support"))
+    support = spelled.groupBy(key.alias("key")).agg(F.count("*").alias("support"), F.sum("rows").alias("records"))
     whole = (F.col("kind") == "org") | ((F.col("kind") == "person") & (F.size("parts") >= 2))
     info = stage(parsed.select("name", "kind", whole.alias("whole"), key.alias("key"), F.col("parts")[0].alias("part"), F.size("initials").alias("n_initials"), "n").join(support, "key"), "name-info")
-    ia = info.select(F.col("name").alias("a"), F.col("whole").alias("wa"), F.col("support").alias("sa"), F.col("n").alias("na"))
-    ib = info.select(F.col("name").alias("b"), F.col("whole").alias("wb"), F.col("support").alias("sb"), F.col("n").alias("nb"))
+    ia = info.select(F.col("name").alias("a"), F.col("whole").alias("wa"), F.col("support").alias("sa"), F.col("records").alias("ra"), F.col("n").alias("na"))
+    ib = info.select(F.col("name").alias("b"), F.col("whole").alias("wb"), F.col("support").alias("sb"), F.col("records").alias("rb"), F.col("n").alias("nb"))
     known = stage(pairs.join(ia, "a").join(ib, "b"), "name-known")
-    strong = known.where("wa and wb and (how = 'same' or how = 'typo' and least(sa, sb) <= 2)").select("a", "b", "score", "na", "nb")
+    linked = (F.col("how") == "same") | ((F.col("how") == "typo") & erroneous("sa", "sb", "ra", "rb"))
+    strong = known.where("wa and wb").where(linked).select("a", "b", "score", "na", "nb")
     clusters = _cluster(stage(strong, "strong"), link)
     alone = info.where("whole").select("name").join(clusters, "name", "left_anti").select("name", F.col("name").alias("cluster"))
     clusters = stage(clusters.unionByName(alone), "clusters")
@@ -485,7 +505,7 @@ def link_names(names: DataFrame, cosine: float = COSINE, link: float = LINK) ->
     taken = stage(taken, "taken")
     # parts that no cluster takes are grouped among themselves
     open_parts = info.where("not whole").select("name").join(per.select(F.col("part_name").alias("name")), "name", "left_anti")
-    rest = known.where("not wa and not wb and (how = 'same' or how = 'typo' and least(sa, sb) <= 2)").select("a", "b", "score", "na", "nb")
+    rest = known.where("not wa and not wb").where(linked).select("a", "b", "score", "na", "nb")
     rest = rest.join(open_parts.select(F.col("name").alias("a")), "a").join(open_parts.select(F.col("name").alias("b")), "b")
     grouped = _cluster(stage(rest, "rest"), link)
     out = clusters.unionByName(taken).unionByName(grouped)
@@ -502,6 +522,6 @@ def name_pairs(linked: DataFrame) -> DataFrame:
 
 
 def card_spellings(cards: DataFrame) -> DataFrame:
-    """Distinct column name: the author as stored, else the head of the raw cite (see ``head_spelling``)."""
+    """Distinct column name: the author as stored, else the head of the raw cite (see ``head_spelling``); rows: how often."""
     head = F.regexp_replace(F.regexp_extract("cite_raw", r"^([^0-9]*)", 1), r"^[\s,'’]+|[\s,'’]+$", "")
-    return cards.select(F.coalesce("cite_author", head).alias("name")).where("name is not null").distinct()
+    return cards.select(F.coalesce("cite_author", head).alias("name")).where("name is not null").groupBy("name").agg(F.count("*").alias("rows"))

@@ -93,3 +93,11 @@ def test_large_component_keeps_typing_errors(spark, monkeypatch):
     names = ["Ann Calloway", "Calloway, Ann", "Ann B. Calloway", "Ann Callowya"]
     monkeypatch.setattr(N, "MOST_PAIRS", 1)
     assert clusters(spark, names) == [frozenset(names)]
+
+
+def test_typing_errors_of_a_frequent_author(spark):
+    right = ["Ann Calloway", "Calloway, Ann", "Dr. Ann Calloway", "ANN CALLOWAY"]
+    wrong = ["Ann Callowya", "Callowya, Ann", "Dr. Ann Callowya"]
+    noke = ["Robert Nokemarsh", "Nokemarsh, Robert", "Dr. Robert Nokemarsh"]
+    nose = ["Robert Nosemarsh", "Nosemarsh, Robert", "Dr. Robert Nosemarsh"]
+    assert clusters(spark, [*right * 20, *wrong, *noke, *nose]) == sorted([frozenset(right + wrong), frozenset(noke), frozenset(nose)], key=sorted)

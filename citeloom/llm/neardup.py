@@ -34,8 +34,10 @@ SKETCHED = 8_000_000
 SHARED = 4
 #: Posting lists from this length on are joined on the JVM, which spreads them over tasks.
 HOT_LIST = 3_000
-#: Copies of one set up to which all their pairs are listed; beyond, each is paired with the smallest key.
+#: Records of exactly one text up to which all their pairs are listed; beyond, each is paired with the smallest key.
 MOST_COPIES = 32
+#: Members of a class of equal sets that one task pairs with others.
+MEMBERS_A_TASK = 500
 #: Largest size that a posting tells from others.
 WIDEST = (1 << 21) - 1
 
@@ -88,7 +90,7 @@ def _build(batches, width: int, least_words: int):
                 ids[:, k] = mix(np.add.reduceat(mix(tokens.astype(np.uint64) + np.uint64(k << 40)), starts)) if len(own) else 0
         take = pa.array(own)
         classes = pa.array([x.tobytes() for x in ids], type=pa.binary())
-        yield pa.RecordBatch.from_arrays([b["field"].take(take), b["key"].take(take), classes, sets], names=["field", "key", "class", "tokens"])
+        yield pa.RecordBatch.from_arrays([b["field"].take(take), b["key"].take(take), b["copy"].take(take), classes, sets], names=["field", "key", "copy", "class", "tokens"])
 
 
 @nonempty
@@ -393,15 +395,16 @@ def _candidates(posts: DataFrame, least: float) -> DataFrame:
 
 
 def similar_classes(records: DataFrame, field: str, key: str, text: str, width: int = 5, least: float = 0.8, least_words: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): pairs (a, b, jaccard) of classes of equal sets, a < b; members (field, key, class) of classes with a pair or several rows.
+    """(members, pairs): pairs (a, b, jaccard) of classes of equal sets, a < b; members (field, key, copy, class) of classes with a pair or several rows.
 
     Shingles are ``width`` consecutive words (runs of a-z and 0-9 after lower-casing).
     Texts under ``width`` or ``least_words`` words, null texts and null keys take no part.
     Tokens are 32-bit hashes salted by field: two sets of 100 tokens have a false common
-    one with a chance of two in a million.
+    one with a chance of two in a million.  Members of a class whose texts are exactly
+    equal have one number ``copy``.
     """
-    rows = records.select(F.col(field).alias("field"), F.col(key).cast("string").alias("key"), F.col(text).alias("text")).where("text is not null and key is not null")
-    built = rows.mapInArrow(lambda b: _build(b, width, least_words), "field string, key string, class binary, tokens array<int>")
+    rows = records.select(F.col(field).alias("field"), F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("copy")).where("text is not null and key is not null")
+    built = rows.mapInArrow(lambda b: _build(b, width, least_words), "field string, key string, copy bigint, class binary, tokens array<int>")
     # small numbers for sets: they are written out, so they stay the same
     sets = stage(built.withColumn("cid", F.monotonically_increasing_id()), "sets")
     codes = rows.sparkSession.sparkContext.broadcast(frequency_codes(sets))
@@ -428,7 +431,7 @@ def similar_classes(records: DataFrame, field: str, key: str, text: str, width:
     within = clusters.where(F.size("classes") > 1).select(*cols).mapInPandas(lambda b: _verify_within(b, least), schema)
     pairs = stage(between.unionByName(within), "pairs")
     wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).unionByName(several.select("class")).distinct()
-    members = stage(small_join(sets.select("field", "key", "class"), stage(wanted, "wanted"), ["class"], "left_semi").distinct(), "members")
+    members = stage(small_join(sets.select("field", "key", "copy", "class"), stage(wanted, "wanted"), ["class"], "left_semi").distinct(), "members")
     for t in (sets, clusters, cand):
         drop_staged(t)
     return members, pairs
@@ -437,19 +440,37 @@ def similar_classes(records: DataFrame, field: str, key: str, text: str, width:
 def near_duplicates(records: DataFrame, field: str, key: str, text: str, width: int = 5, least: float = 0.8, least_words: int = 0) -> DataFrame:
     """(field, key_a, key_b), key_a < key_b: records of one field whose shingle sets have Jaccard >= ``least``.
 
-    Records with equal sets are copies: up to ``MOST_COPIES`` all their pairs are listed,
-    larger groups of copies pair each with the smallest key, which alone stands for the
-    group in pairs with other texts.  Null and short texts, see ``similar_classes``.
+    Records with exactly equal texts are copies: up to ``MOST_COPIES`` all their pairs are
+    listed, larger groups of copies pair each with the smallest key, which alone stands for
+    the group in pairs with other texts, those with an equal set among them.  Null and
+    short texts, see ``similar_classes``.
     """
     members, pairs = similar_classes(records, field, key, text, width, least, least_words)
-    groups = stage(members.groupBy("class").agg(F.count("*").alias("n"), F.min("key").alias("first")), "groups")
-    small = stage(small_join(members, groups, ["class"]), "grouped")
-    listed = small.where((F.col("n") <= MOST_COPIES) | (F.col("key") == F.col("first")))
-    left = listed.select(F.col("class").alias("a"), F.col("key").alias("ka"), "field")
-    right = listed.select(F.col("class").alias("b"), F.col("key").alias("kb"))
-    across = pairs.select("a", "b").join(left, "a").join(right, "b").select("field", "ka", "kb")
-    several = small.where(f"n > 1 and n <= {MOST_COPIES}")
-    copies = several.select("class", "field", F.col("key").alias("ka")).join(several.select("class", F.col("key").alias("kb")), "class").where("ka < kb").select("field", "ka", "kb")
-    stars = small.where(f"n > {MOST_COPIES} and key <> first").select("field", F.col("first").alias("ka"), F.col("key").alias("kb"))
-    out = across.unionByName(copies).unionByName(stars)
+    groups = stage(members.groupBy("class", "copy").agg(F.count("*").alias("n"), F.min("key").alias("first")), "groups")
+    known = stage(small_join(members, groups, ["class", "copy"]), "grouped")
+    listed = stage(known.where((F.col("n") <= MOST_COPIES) | (F.col("key") == F.col("first"))).select("class", "field", "key"), "listed")
+    sizes = listed.groupBy("class").agg(F.count("*").alias("size"))
+    sizes = stage(sizes.where("size > 1").select("class", F.ceil(F.col("size") / MEMBERS_A_TASK).cast("int").alias("salts")), "class-sizes")
+    across = _with_members(_with_members(pairs.select("a", "b"), listed, sizes, "a"), listed.drop("field"), sizes, "b").select("field", "ka", "kb")
+    own = small_join(listed, sizes.select("class"), ["class"], "left_semi").select(F.col("class").alias("b"), F.col("key").alias("ka"))
+    equal = _with_members(own, listed, sizes, "b").where("ka < kb").select("field", "ka", "kb")
+    stars = known.where(f"n > {MOST_COPIES} and key <> first").select("field", F.col("first").alias("ka"), F.col("key").alias("kb"))
+    out = across.unionByName(equal).unionByName(stars)
     return out.select("field", F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))
+
+
+def _with_members(rows: DataFrame, listed: DataFrame, sizes: DataFrame, side: str) -> DataFrame:
+    """``rows`` once for each member of the class in column ``side``; its key is k``side``.
+
+    The members of a large class are salted and its rows repeated for each salt (``sizes``
+    has the salts of classes with several members), so that no task holds a class.
+    """
+    many = sizes.where("salts > 1")
+    right = listed.select(F.col("class").alias(side), F.col("key").alias("k" + side), *[c for c in listed.columns if c == "field"])
+    if many.isEmpty():
+        return rows.join(right, side)
+    # at most (all members / MEMBERS_A_TASK) classes
+    many = F.broadcast(many.withColumnRenamed("class", side))
+    left = rows.join(many, side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    right = right.join(many, side, "left").withColumn("salt", F.pmod(F.xxhash64("k" + side), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    return left.join(right, [side, "salt"]).drop("salt")

@@ -66,6 +66,19 @@ def test_near_duplicates_hot_lists_and_copies(spark, monkeypatch):
     assert got == {("c00", f"c{i:02d}") for i in range(1, 40)} | {("c00", "z")}
 
 
+@pytest.mark.parametrize("a_task", [500, 7])
+def test_near_duplicates_of_recuts_with_equal_sets(spark, monkeypatch, a_task):
+    monkeypatch.setattr(neardup, "MEMBERS_A_TASK", a_task)
+    rng = random.Random(9)
+    base = texts(rng, 2)
+    # one set of sequences, no two texts exactly equal
+    rows = [("f", f"r{i:02d}", base[0].replace(" ", ", ", i) + "." * (i % 3)) for i in range(36)] + [("f", "near", edited(rng, base[0], 1)), ("f", "far", base[1])]
+    df = spark.createDataFrame(rows, "field string, key string, body string")
+    got = [(r.field, r.key_a, r.key_b) for r in neardup.near_duplicates(df, "field", "key", "body", 3, 0.7, 20).collect()]
+    assert len(set(t for _, _, t in rows)) == 38 and len(got) == len(set(got)) == 36 * 35 // 2 + 36
+    assert set(got) == brute_pairs(rows, 3, 0.7, 20)
+
+
 def test_near_duplicates_empty(spark):
     df = spark.createDataFrame([], "field string, key string, body string")
     assert neardup.near_duplicates(df, "field", "key", "body").count() == 0

@@ -113,10 +113,18 @@ def tfidf_vectors(docs: DataFrame, key: str, text: str, max_df: float = 0.85, ma
     return w.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
+#: Queries with one term that one task joins.
+QUERIES_A_TASK = 200
+
+
 def sparse_cosine(vectors: DataFrame, queries: DataFrame, key: str, query_key: str) -> DataFrame:
     """(query_key, key, score) of all pairs that share a term; both sides L2-normalised (key, term, w)."""
     q = queries.select(F.col(query_key), "term", F.col("w").alias("qw"))
-    return vectors.join(q, "term").groupBy(query_key, key).agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
+    # the rows of a term are spread by its queries, so that no task joins all of a frequent one
+    hot = q.groupBy("term").agg(F.ceil(F.count("*") / QUERIES_A_TASK).cast("int").alias("salts")).where("salts > 1")
+    q = q.join(hot, "term", "left").withColumn("_s", F.pmod(F.xxhash64(query_key), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    v = vectors.select(key, "term", "w").join(hot, "term", "left").withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return v.join(q, ["term", "_s"]).groupBy(query_key, key).agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:

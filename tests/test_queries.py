@@ -73,3 +73,14 @@ def test_views_and_commands(spark, tmp_path, capsys):
     for bad in (["search", DATA, "x", "-k", "0"], ["search", DATA, "x", "--year-min", "2020", "--year-max", "2010"], ["unheard"]):
         with pytest.raises(SystemExit):
             main(bad, spark)
+
+
+def test_tfidf_topk_asks_for_every_stated_card(spark, monkeypatch):
+    from citeloom.operators import retrieval
+
+    ids = {r.card_id for r in spark.read.parquet(f"{DATA}/cards.parquet").select("card_id").distinct().collect()}
+    stated = {i for i in ids if int(i, 16) % 20 == 0}
+    rows = catalog.queries()["tfidf_topk"](spark, DATA).collect()
+    assert len(stated) > 1 and {r.q for r in rows} == stated and all(r.q != r.card_id and r.rank <= 25 for r in rows)
+    monkeypatch.setattr(retrieval, "QUERIES_A_TASK", 2)
+    assert sorted((r.q, r.rank, r.score) for r in catalog.queries()["tfidf_topk"](spark, DATA).collect()) == sorted((r.q, r.rank, r.score) for r in rows)

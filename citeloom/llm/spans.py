@@ -2,10 +2,12 @@
 
 Any two equal runs of ``span`` words hold the same anchor: the ``gram``-word sequence with
 the smallest hash in the run.  Anchors found in one text only are dropped.  The contexts
-of the rest (all runs with that anchor) go to the shard of their anchor, where recurring
-runs are confirmed word by word, joined into passages, compiled into an automaton, and the
-shard's contexts are streamed through it to locate every occurrence.  Equal texts are one
-class, and equal contexts are looked at once.
+of the rest (all runs with that anchor) go to the shard of their anchor.  There each run
+whose hash recurs is compiled into an automaton once, and the contexts of all documents are
+streamed through it: its hits locate every occurrence word by word, and confirm a run if
+two classes have it.  Equal texts are one class (128 bits of SHA-256, which no two texts
+share by chance), and equal contexts are looked at once.  Anchors with very many contexts
+go through the same automata run by run, so that no task holds all of one.
 """
 
 from __future__ import annotations
@@ -17,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.frames import nonempty
-from citeloom.skew import lookup_join
+from citeloom.skew import lookup_join, small_join
 from citeloom.staging import stage
 
 #: Words in an anchor.
 GRAM = 8
-#: Contexts compiled into one automaton, and occurrences from which an anchor is split by run.
-SHARD_CONTEXTS, HOT_CONTEXTS = 2_000, 50_000
+#: Contexts of one automaton, and occurrences from which the contexts of an anchor are cut into runs (the result is the same).
+SHARD_CONTEXTS, HOT_CONTEXTS = 2_000, 5_000
 _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
 
 
@@ -82,59 +84,106 @@ def merge_intervals(starts, ends) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def locate(contexts: list[str], low: list, high: list, span: int, fields: list | None = None) -> list[list[tuple[int, int]]]:
-    """For each context its stretches of words that lie in recurring runs.
+#: Letters that one automaton can tell apart (code points beyond the surrogates); from so many words on a word is two letters.
+LETTERS = 0x110000 - 0xE000
+_HALF = LETTERS // 2
+
+
+def _spell(contexts: list[tuple]) -> tuple[list[str], int]:
+    """Each context (field, words as text) as letters, and how many letters a word has.
+
+    A word of one field has the same letters everywhere, and shares none with other fields.
+    The two letters of a long alphabet come from different halves, so that no match
+    begins inside a word.
+    """
+    number: dict[tuple, int] = {}
+    coded = [[number.setdefault((f, w), len(number)) for w in c.split(" ")] for f, c in contexts]
+    if len(number) <= LETTERS:
+        return ["".join([chr(0xE000 + k) for k in own]) for own in coded], 1
+    return ["".join([chr(0xE000 + k // _HALF) + chr(0xE000 + _HALF + k % _HALF) for k in own]) for own in coded], 2
+
+
+def locate(contexts: list[tuple], low: list, high: list, span: int) -> list[list[tuple[int, int]]]:
+    """For each distinct context (field, text) its stretches of words that lie in recurring runs.
 
     A run recurs if contexts that hold it come from two classes or more (``low`` and
-    ``high``: the smallest and largest class of each context).  Contexts of different
-    ``fields`` have no word in common.
+    ``high``: the smallest and largest class of each context).  Runs whose hash recurs are
+    compiled into an automaton, each once, from whichever context has it first; then all
+    contexts are streamed through it, and its hits decide word by word where each run
+    stands and whether two classes have it.
     """
-    letters: dict[tuple, str] = {}
-    coded = []
-    for c, f in zip(contexts, fields or [None] * len(contexts)):
-        # each distinct word of a field is one letter, beyond the surrogates
-        coded.append("".join(letters.setdefault((f, w), chr(0xE000 + len(letters))) for w in c.split(" ")))
-    seen: dict[str, tuple] = {}
-    for c, lo, hi in zip(coded, low, high):
-        for i in range(len(c) - span + 1):
-            run = c[i : i + span]
-            old = seen.get(run)
-            seen[run] = (lo, hi) if old is None else (min(lo, old[0]), max(hi, old[1]))
-    recurring = {run for run, (lo, hi) in seen.items() if lo != hi}
-    if not recurring:
+    coded, width = _spell(contexts)
+    hashes = [np.frombuffer(c.encode("utf-32-le"), dtype=np.uint32).reshape(-1, width) for c in coded]
+    counts = np.array([len(h) for h in hashes], dtype=np.int64)
+    flat = np.concatenate(hashes).astype(np.uint64) if hashes else np.empty((0, 1), dtype=np.uint64)
+    flat = mix(flat[:, 0] | (flat[:, -1] << np.uint64(32)))
+    if len(flat) < span:
+        return [[] for _ in contexts]
+    runs = np.zeros(len(flat) - span + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(span):
+            runs = mix(runs * _MIX[0] + flat[j : len(flat) - span + 1 + j])
+    ends = np.cumsum(counts)
+    owner = np.repeat(np.arange(len(counts)), counts)[: len(runs)]
+    at = np.flatnonzero(np.arange(len(runs)) + span <= ends[owner])
+    # a run that one class alone could have is no candidate
+    alone = np.array([lo == hi for lo, hi in zip(low, high)], dtype=bool)
+    names, number = np.unique(runs[at], return_inverse=True)
+    often = np.bincount(number, minlength=len(names)) > 1
+    often[number[~alone[owner[at]]]] = True
+    first = np.full(len(names), len(at), dtype=np.int64)
+    np.minimum.at(first, number, np.arange(len(at)))
+    begins = ends - counts
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for k, i in enumerate(at[first[often]]):
+        c = int(owner[i])
+        start = int(i - begins[c]) * width
+        automaton.add_word(coded[c][start : start + span * width], k)
+    if not len(automaton):
         return [[] for _ in contexts]
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for c in set(coded):
-        first = None
-        for i in range(len(c) - span + 2):
-            if i <= len(c) - span and c[i : i + span] in recurring:
-                first = i if first is None else first
-            elif first is not None:
-                automaton.add_word(c[first : i - 1 + span])
-                first = None
     automaton.make_automaton()
-    hits = ([(end - n + 1, end) for end, n in automaton.iter(c)] for c in coded)
-    return [merge_intervals([a for a, _ in h], [b for _, b in h]) for h in hits]
+    kept, seen = [], {}
+    for c, lo, hi in zip(coded, low, high):
+        hits = list(automaton.iter(c))
+        kept.append(hits)
+        for _, k in hits:
+            old = seen.get(k)
+            seen[k] = (lo, hi) if old is None else (lo if lo < old[0] else old[0], hi if hi > old[1] else old[1])
+    recurring = {k for k, (lo, hi) in seen.items() if lo != hi}
+    out = []
+    for hits in kept:
+        last = [(end + 1) // width - 1 for end, k in hits if k in recurring]
+        out.append(merge_intervals([e - span + 1 for e in last], last))
+    return out
+
+
+_HITS = "class binary, field string, run string, s int, e int"
 
 
 @nonempty
 def _shards(batches, span: int):
-    """Locate in shards: whole keys, about ``SHARD_CONTEXTS`` contexts at a time, in rows sorted by key."""
+    """Locate in shards: whole anchors, about ``SHARD_CONTEXTS`` contexts at a time, in rows sorted by anchor.
+
+    Rows without a class are single runs that stand for all texts that have them.
+    """
     held: list = []
 
     def flush(rows):
         # equal contexts of a field are looked at once
         distinct: dict[tuple, list] = {}
         for r in rows:
-            d = distinct.setdefault((r[1], r[2]), [r[3], r[3]])
-            d[0], d[1] = min(d[0], r[3]), max(d[1], r[3])
+            d = distinct.setdefault((r[1], r[2]), [r[3], r[4]])
+            d[0], d[1] = min(d[0], r[3]), max(d[1], r[4])
         keys = list(distinct)
-        found = dict(zip(keys, locate([k[1] for k in keys], [distinct[k][0] for k in keys], [distinct[k][1] for k in keys], span, [k[0] for k in keys])))
-        out = [(r[3], r[4] + a, r[4] + b) for r in rows for a, b in found[r[1], r[2]]]
-        return pd.DataFrame(out, columns=["class", "s", "e"])
+        found = dict(zip(keys, locate(keys, [d[0] for d in distinct.values()], [d[1] for d in distinct.values()], span)))
+        out = []
+        for r in rows:
+            for a, b in found[r[1], r[2]]:
+                out.append((r[5], None, None, r[6] + a, r[6] + b) if r[5] is not None else (None, r[1], r[2], 0, 0))
+        return pd.DataFrame(out, columns=["class", "field", "run", "s", "e"])
 
     for pdf in batches:
-        for row in zip(pdf["anchor"], pdf["field"], pdf["context"], pdf["class"], pdf["first"]):
+        for row in zip(*(pdf[c].tolist() for c in ("anchor", "field", "context", "lo", "hi", "class", "first"))):
             if len(held) >= SHARD_CONTEXTS and row[0] != held[-1][0]:
                 yield flush(held)
                 held = []
@@ -145,27 +194,22 @@ def _shards(batches, span: int):
 
 @nonempty
 def _cut(batches, span: int):
-    """The contexts of a text's recurring anchors; a text is looked at once however many rows have it."""
+    """The contexts of a text's recurring anchors; a text is looked at once however many rows have it.
+
+    A text that two keys have counts as two classes.
+    """
     seen: set = set()
     for pdf in batches:
         out = []
-        for f, c, t, rs in zip(pdf["field"], pdf["class"], pdf["text"], pdf["runs"]):
+        for f, c, t, rs, several in zip(pdf["field"], pdf["class"], pdf["text"], pdf["runs"], pdf["several"]):
             if c in seen:
                 continue
             seen.add(c)
             words = t.split()
+            other = c + b"+" if several else c
             for r in rs:
-                out.append((f, c, r["anchor"], r["first"], " ".join(words[r["first"] : r["last"] + span])))
-        yield pd.DataFrame(out, columns=["field", "class", "anchor", "first", "context"])
-
-
-def _single_runs(contexts: DataFrame, hot: DataFrame, span: int) -> DataFrame:
-    """Contexts of hot anchors, run by run: distinct runs come with the smallest and largest class, which is all that confirms them."""
-    w = F.split("context", " ")
-    runs = contexts.join(F.broadcast(hot), "anchor").withColumn("shift", F.explode(F.sequence(F.lit(0), F.size(w) - span)))
-    runs = runs.select("field", "class", (F.col("first") + F.col("shift")).alias("s"), F.array_join(F.slice(w, F.col("shift") + 1, span), " ").alias("run"))
-    confirmed = runs.groupBy("field", "run").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("field", "run")
-    return lookup_join(runs, confirmed, ["field", "run"]).select("class", "s", (F.col("s") + span - 1).alias("e"))
+                out.append((f, c, c, other, r["anchor"], r["first"], " ".join(words[r["first"] : r["last"] + span])))
+        yield pd.DataFrame(out, columns=["field", "class", "lo", "hi", "anchor", "first", "context"])
 
 
 def shared_spans(records: DataFrame, field: str, key: str, text: str, span: int = 25, gram: int = GRAM) -> DataFrame:
@@ -177,7 +221,7 @@ def shared_spans(records: DataFrame, field: str, key: str, text: str, span: int
     inside one record is not shared.
     """
     rows = records.select(F.col(field).alias("field"), F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
-    rows = rows.withColumn("class", F.xxhash64("field", "text"))
+    rows = rows.withColumn("class", F.unhex(F.substring(F.sha2(F.concat_ws("\u0001", "field", "text"), 256), 1, 32)))
 
     @nonempty
     def find(batches):
@@ -187,31 +231,45 @@ def shared_spans(records: DataFrame, field: str, key: str, text: str, span: int
             salt = pd.util.hash_array(pdf["field"].to_numpy(dtype=object)) if len(pdf) else np.empty(0, dtype=np.uint64)
             with np.errstate(over="ignore"):
                 a = mix(a + salt[t]) if len(t) else a
-            yield pd.DataFrame({"class": pdf["class"].to_numpy()[t], "anchor": a.view(np.int64), "first": first.astype(np.int32), "last": last.astype(np.int32), "words": counts[t].astype(np.int32)})
+            yield pd.DataFrame({"class": pdf["class"].to_numpy()[t], "anchor": a.view(np.int64), "first": first.astype(np.int32), "last": last.astype(np.int32)})
 
-    found = stage(rows.select("field", "class", "text").mapInPandas(find, "class bigint, anchor bigint, first int, last int, words int"), "anchors")
-    classes = F.min("class").alias("lo"), F.max("class").alias("hi")
-    recurring = stage(found.groupBy("anchor").agg(*classes, F.count("*").alias("n")).where("lo <> hi").select("anchor", "n"), "recurring")
-    # at most (all anchors / HOT_CONTEXTS) of them
+    found = stage(rows.select("field", "class", "text").mapInPandas(find, "class binary, anchor bigint, first int, last int"), "anchors")
+    owners = stage(rows.select("field", "key", "class").distinct(), "owners")
+    copied = stage(owners.groupBy("class").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("class", F.lit(True).alias("several")), "copied")
+    # an anchor recurs if two classes have it, or one that two keys have
+    one = small_join(found.select("class", "anchor"), copied, ["class"], "left_semi").select("anchor")
+    counts = found.groupBy("anchor").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"))
+    recurring = stage(counts.where("lo <> hi").select("anchor", "n").unionByName(one.groupBy("anchor").agg(F.count("*").alias("n"))).groupBy("anchor").agg(F.max("n").alias("n")), "recurring")
+    # at most (all anchors / HOT_CONTEXTS) of them; their rows stay where they are
     hot = stage(recurring.where(F.col("n") >= HOT_CONTEXTS).select("anchor"), "hot-anchors")
     some_hot = not hot.isEmpty()
-    if some_hot:  # anchors that recur very often are known: their rows stay where they are
+    if some_hot:
         often = found.join(F.broadcast(hot), "anchor")
-        seldom = found.join(F.broadcast(hot), "anchor", "left_anti").join(recurring.select("anchor"), "anchor")
-        kept = often.unionByName(seldom)
+        kept = often.unionByName(found.join(F.broadcast(hot), "anchor", "left_anti").join(recurring.select("anchor"), "anchor"))
     else:
         kept = found.join(recurring.select("anchor"), "anchor")
     runs = kept.groupBy("class").agg(F.collect_set(F.struct("first", "last", "anchor")).alias("runs"))
+    runs = runs.join(copied, "class", "left").withColumn("several", F.coalesce("several", F.lit(False)))
     # many rows may have one text; they are spread, and each task looks at a text once
     texts = lookup_join(rows.select("field", "class", "text"), runs, ["class"])
-    contexts = texts.select("field", "class", "text", "runs").mapInPandas(lambda b: _cut(b, span), "field string, class bigint, anchor bigint, first int, context string")
-    extra = None
+    contexts = texts.select("field", "class", "text", "runs", "several").mapInPandas(lambda b: _cut(b, span), "field string, class binary, lo binary, hi binary, anchor bigint, first int, context string")
+    single = None
     if some_hot:
+        # contexts of a hot anchor go run by run, and equal runs meet before they are sent: they come as one row
         contexts = stage(contexts, "contexts")
-        extra = _single_runs(contexts, hot, span)
-        contexts = contexts.join(F.broadcast(hot), "anchor", "left_anti")
-    hits = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(lambda b: _shards(b, span), "class bigint, s int, e int")
-    per = (hits if extra is None else hits.unionByName(extra)).groupBy("class").agg(F.collect_set(F.struct("s", "e")).alias("x"))
+        w = F.split("context", " ")
+        single = contexts.join(F.broadcast(hot), "anchor").withColumn("shift", F.explode(F.sequence(F.lit(0), F.size(w) - span)))
+        single = stage(single.select("field", "class", "lo", "hi", (F.col("first") + F.col("shift")).alias("s"), F.array_join(F.slice(w, F.col("shift") + 1, span), " ").alias("run")), "single-runs")
+        distinct = single.groupBy("field", F.col("run").alias("context")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        distinct = distinct.select("field", F.lit(None).cast("binary").alias("class"), "lo", "hi", F.xxhash64("field", "context").alias("anchor"), F.lit(0).alias("first"), "context")
+        contexts = contexts.join(F.broadcast(hot), "anchor", "left_anti").select("field", "class", "lo", "hi", "anchor", "first", "context").unionByName(distinct)
+    hits = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(lambda b: _shards(b, span), _HITS)
+    if single is not None:
+        hits = stage(hits, "hits")
+        confirmed = hits.where("class is null").select("field", "run").distinct()
+        known = lookup_join(single.select("field", "run", "class", "s"), confirmed, ["field", "run"]).select("class", "s", (F.col("s") + span - 1).alias("e"))
+        hits = hits.where("class is not null").select("class", "s", "e").unionByName(known)
+    per = hits.groupBy("class").agg(F.collect_set(F.struct("s", "e")).alias("x"))
 
     @nonempty
     def unite(batches):
@@ -222,12 +280,6 @@ def shared_spans(records: DataFrame, field: str, key: str, text: str, span: int
                 out.append((c, [a for a, _ in got], [b for _, b in got]))
             yield pd.DataFrame(out, columns=["class", "starts", "ends"])
 
-    partial = stage(per.mapInPandas(unite, "class bigint, starts array<int>, ends array<int>"), "stretches")
-    # a text that two records have in full is shared from its first word to its last
-    owners = stage(rows.select("field", "key", "class").distinct(), "owners")
-    copied = stage(owners.groupBy("class").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("class"), "copied")
-    length = found.select("class", "words").join(copied, "class").distinct()
-    whole = length.select("class", F.array(F.lit(0)).alias("starts"), F.array(F.col("words") - 1).alias("ends"))
-    spans = partial.join(copied, "class", "left_anti").unionByName(whole)
+    spans = stage(per.mapInPandas(unite, "class binary, starts array<int>, ends array<int>"), "stretches")
     out = lookup_join(owners, spans, ["class"]).select("field", "key", F.explode(F.arrays_zip("starts", "ends")).alias("x"))
     return out.select("field", F.col("key").alias(key), F.col("x.starts").alias("first_word"), F.col("x.ends").alias("last_word"))

@@ -124,6 +124,22 @@ def test_spans_match_brute_force(spark, monkeypatch, hot):
     assert len(got) == len(set(got)) and set(got) == brute_spans(rows, 25)
 
 
+def test_spans_of_one_anchor_with_very_many_neighbours(monkeypatch):
+    # boilerplate around distinct names: no limit on distinct words, and the same result with two letters a word
+    plate = " ".join(f"b{i}" for i in range(25))
+    contexts = [("f", f"x{i} y{i} z{i} {plate} u{i} v{i} w{i} q{i}") for i in range(45_000)]
+    low = [b"%d" % i for i in range(len(contexts))]
+    got = spans.locate(contexts, low, low, 25)
+    assert all(g == [(3, 27)] for g in got)
+    few, ids = contexts[:300] + [("g", contexts[0][1])], [*low[:300], b"g"]
+    assert spans.locate(few, ids, ids, 25) == [[(3, 27)]] * 300 + [[]]
+    monkeypatch.setattr(spans, "LETTERS", 200)
+    monkeypatch.setattr(spans, "_HALF", 2_000)
+    assert spans.locate(few, ids, ids, 25) == [[(3, 27)]] * 300 + [[]]
+    # what two keys have in full is shared, whoever else has it
+    assert spans.locate(few[:1], ids[:1], [b"0+"], 25) == [[(0, 31)]]
+
+
 def test_spans_alone_and_empty(spark):
     schema = "field string, card string, t string"
     t = " ".join(WORDS[:80])

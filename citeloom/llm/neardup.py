@@ -1,8 +1,8 @@
 """Records that are nearly the same text: an exact set-similarity self-join by set relations.
 
 Texts become sets of word shingles.  An index has a posting per prefix token of each set;
-its lists are sorted by size, and what lies beyond the last size or position that can
-still reach the threshold is skipped as a block.  Two sets are candidates if they share
+its lists are sorted by size and by position in the set: blocks of sizes that cannot reach
+the threshold are skipped, and of each block all entries beyond the last position that can.  Two sets are candidates if they share
 ``SHARED`` tokens there.  Candidate sets that are much alike form clusters, in which one
 set leads and the others are kept as what they add to it and lack of it: their answers
 are derived from the leader's overlap by counting their few differing tokens.
@@ -32,7 +32,7 @@ ALIKE, MOST_MEMBERS, LEADERS = 0.75, 32, 8
 SKETCHED = 8_000_000
 #: Prefix tokens that candidates must share.
 SHARED = 4
-#: Posting lists from this length on are joined on the JVM, which spreads them over tasks.
+#: Posting lists from this length on are cut into pieces of about this length, which are joined in pairs by many tasks.
 HOT_LIST = 3_000
 #: Records of exactly one text up to which all their pairs are listed; beyond, each is paired with the smallest key.
 MOST_COPIES = 32
@@ -252,41 +252,69 @@ def _cluster(batches):
         yield rows(_cluster_run(run))
 
 
+def block_pairs(size_a, place_a, size_b, bound_key, starts, stops, least: float, first=None):
+    """For entries of size ``size_a`` and place ``place_a`` against blocks of entries of one size, sorted by place.
+
+    A token counts for a pair if it lies in both sets' prefixes for the overlap that this
+    pair needs; such a pair shares ``SHARED`` of them or more.  So of a block the entries
+    up to one place count and the rest is skipped, or none do.  ``bound_key`` gives the
+    place in the list where a block's entries reach a given place; ``starts`` and ``stops``
+    delimit blocks, ``first`` the entries from which on they count.  Returns (entry, place
+    in the list, worth) arrays: for sets too small to share that many, tokens count more.
+    """
+    overlap = np.ceil(least / (1 + least) * (size_a + size_b) - 1e-9)
+    need = np.minimum(SHARED, overlap)
+    low = starts if first is None else np.maximum(starts, first)
+    high = np.minimum(bound_key(np.maximum(size_b - overlap + need, 0).astype(np.int64)), stops)
+    count = np.where(place_a < size_a - overlap + need, np.maximum(high - low, 0), 0)
+    entry = np.repeat(np.arange(len(count)), count)
+    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+    return entry, at, np.ceil(SHARED / need).astype(np.int64)[entry]
+
+
+def _summed(left: list, right: list, worth: list):
+    """Distinct pairs, smaller first, with the sum of their worth."""
+    if not sum(map(len, left)):
+        return (np.empty(0, dtype=np.int64),) * 3
+    a, b, w = np.concatenate(left), np.concatenate(right), np.concatenate(worth)
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b, w = a[order], b[order], w[order]
+    new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    return a[new], b[new], np.add.reduceat(w, new)
+
+
 def join_lists(token: np.ndarray, cid: np.ndarray, size: np.ndarray, place: np.ndarray, least: float):
-    """(a, b, shared) of pairs in posting lists sorted by token and size.
+    """(a, b, shared) of pairs in posting lists sorted by token, size and place.
 
-    Every entry walks down its list until sizes are too large for ``least``: the rest of
-    the list is skipped.  A token counts for a pair if it lies in both sets' prefixes for
-    the overlap that this pair needs; such a pair shares ``SHARED`` of them or more.  For
-    sets too small for that, tokens count more than once.
+    The entries of one token and size are a block.  Every entry walks from block to block
+    until sizes are too large for ``least``: the rest of the list is skipped.  In each block
+    it takes the entries up to the last place that counts, found by binary search.
     """
     n = len(token)
+    if not n:
+        return (np.empty(0, dtype=np.int64),) * 3
+    new = np.concatenate(([True], (token[1:] != token[:-1]) | (size[1:] != size[:-1])))
+    starts = np.flatnonzero(new)
+    stops = np.concatenate((starts[1:], [n]))
+    block = np.cumsum(new) - 1
+    key = (block.astype(np.int64) << 22) | place
     left, right, worth = [], [], []
     at = np.arange(n)
-    k = 1
+    k = 0
     while True:
-        at = at[at + k < n]
-        b = at + k
-        alive = (token[at] == token[b]) & (size[at] >= least * size[b] - 1e-9)
-        at = at[alive]
+        at = at[block[at] + k < len(starts)]
+        b = block[at] + k
+        alive = (token[at] == token[starts[b]]) & (size[at] >= least * size[starts[b]] - 1e-9)
+        at, b = at[alive], b[alive]
         if not len(at):
             break
-        b = at + k
-        overlap = np.ceil(least / (1 + least) * (size[at] + size[b]) - 1e-9)
-        need = np.minimum(SHARED, overlap)
-        hit = (place[at] < size[at] - overlap + need) & (place[b] < size[b] - overlap + need)
-        left.append(cid[at[hit]])
-        right.append(cid[b[hit]])
-        worth.append(np.ceil(SHARED / need[hit]).astype(np.int64))
+        entry, to, w = block_pairs(size[at], place[at], size[starts[b]], lambda bound, b=b: np.searchsorted(key, (b.astype(np.int64) << 22) | np.minimum(bound, WIDEST)), starts[b], stops[b], least, at + 1 if k == 0 else None)
+        left.append(cid[at[entry]])
+        right.append(cid[to])
+        worth.append(w)
         k += 1
-    if not left:
-        return (np.empty(0, dtype=np.int64),) * 3
-    a, b, w = np.concatenate(left), np.concatenate(right), np.concatenate(worth)
-    a, b = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((b, a))
-    a, b, w = a[order], b[order], w[order]
-    new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-    return a[new], b[new], np.add.reduceat(w, new)
+    return _summed(left, right, worth)
 
 
 @nonempty
@@ -372,6 +400,42 @@ def _verify_within(batches, least: float):
         yield pd.DataFrame(out, columns=["a", "b", "jaccard"])
 
 
+def _join_hot(posts: DataFrame, least: float) -> DataFrame:
+    """(c1, c2, shared) from the lists of frequent tokens, cut into pieces that meet in pairs.
+
+    A piece has up to about ``HOT_LIST`` entries of one size.  Pieces meet only if their sizes
+    and smallest places leave a pair possible, so most of a list is skipped by looking at
+    its pieces, and every two pieces are joined in whichever task has room.
+    """
+    rows = posts.select("token", "cid", F.shiftright("packed", 21).cast("int").alias("n"), F.col("packed").bitwiseAND(WIDEST).cast("int").alias("p"))
+    salts = F.broadcast(rows.groupBy("token", "n").agg(F.ceil(F.count("*") / HOT_LIST).cast("int").alias("salts")).where("salts > 1"))
+    rows = rows.join(salts, ["token", "n"], "left").withColumn("salt", F.pmod(F.xxhash64("cid"), F.coalesce("salts", F.lit(1))).cast("int"))
+    pieces = stage(rows.groupBy("token", "n", "salt").agg(F.min("p").alias("least_p"), F.array_sort(F.collect_list(F.struct("p", "cid"))).alias("e")), "pieces")
+    names = pieces.select("token", "n", "salt", "least_p")
+    other = names.select("token", *[F.col(c).alias(c + "_") for c in ("n", "salt", "least_p")])
+    overlap = F.ceil(F.lit(least / (1 + least)) * (F.col("n") + F.col("n_")) - 1e-9)
+    need = F.least(F.lit(SHARED), overlap)
+    once = (F.col("n") < F.col("n_")) | ((F.col("n") == F.col("n_")) & (F.col("salt") <= F.col("salt_")))
+    fits = once & (F.col("n") >= least * F.col("n_") - 1e-9) & (F.col("least_p") < F.col("n") - overlap + need) & (F.col("least_p_") < F.col("n_") - overlap + need)
+    meet = names.join(other, "token").where(fits).select("token", "n", "salt", "n_", "salt_")
+    # the tokens of pieces are few and frequent: what meets is spread by both ends
+    both = meet.join(pieces.select("token", "n", "salt", "e"), ["token", "n", "salt"]).join(pieces.select("token", *[F.col(c).alias(c + "_") for c in ("n", "salt", "e")]), ["token", "n_", "salt_"])
+    rows = both.select("n", "salt", F.col("e.cid").alias("a"), F.col("e.p").alias("pa"), "n_", "salt_", F.col("e_.cid").alias("b"), F.col("e_.p").alias("pb"))
+    return rows.mapInPandas(lambda b: _join_pieces(b, least), "c1 bigint, c2 bigint, shared int")
+
+
+@nonempty
+def _join_pieces(batches, least: float):
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            a, pa_, b, pb = np.asarray(r.a), np.asarray(r.pa), np.asarray(r.b), np.asarray(r.pb)
+            size_a, size_b = np.full(len(a), r[0]), np.full(len(a), r[4])
+            zero = np.zeros(len(a), dtype=np.int64)
+            same = r[0] == r[4] and r[1] == r[5]
+            entry, to, w = block_pairs(size_a, pa_, size_b, lambda bound: np.searchsorted(pb, bound), zero, zero + len(b), least, np.arange(len(a)) + 1 if same else None)
+            yield pd.DataFrame(dict(zip(("c1", "c2", "shared"), _summed([a[entry]], [b[to]], [w]))))
+
+
 def _candidates(posts: DataFrame, least: float) -> DataFrame:
     """(c1, c2), c1 < c2: sets that share enough prefix tokens; ``posts`` marks tokens that may have long lists."""
     posts = stage(posts, "postings")
@@ -381,13 +445,7 @@ def _candidates(posts: DataFrame, least: float) -> DataFrame:
     usual = posts_.join(F.broadcast(long), "token", "left_anti") if hot else posts_
     found = usual.repartition("token").sortWithinPartitions("token", "packed").mapInArrow(lambda b: _join_lists(b, least), "c1 bigint, c2 bigint, shared int")
     if hot:  # at most (all postings / HOT_LIST) tokens
-        mine = posts_.join(F.broadcast(long), "token", "left_semi").select("token", "cid", F.shiftright("packed", 21).alias("n"), F.col("packed").bitwiseAND(WIDEST).alias("p"))
-        other = mine.select("token", *[F.col(c).alias(c + "_") for c in ("cid", "n", "p")])
-        overlap = F.ceil(F.lit(least / (1 + least)) * (F.col("n") + F.col("n_")) - 1e-9)
-        need = F.least(F.lit(SHARED), overlap)
-        fits = (F.col("cid") < F.col("cid_")) & (F.least("n", "n_") >= least * F.greatest("n", "n_") - 1e-9) & (F.col("p") < F.col("n") - overlap + need) & (F.col("p_") < F.col("n_") - overlap + need)
-        pairs = mine.join(other, "token").where(fits)
-        found = found.unionByName(pairs.select(F.col("cid").alias("c1"), F.col("cid_").alias("c2"), F.ceil(F.lit(SHARED) / need).cast("int").alias("shared")))
+        found = found.unionByName(_join_hot(posts_.join(F.broadcast(long), "token", "left_semi"), least))
     counted = found.groupBy("c1", "c2").agg(F.sum("shared").alias("shared"))
     out = stage(counted.where(F.col("shared") >= SHARED).select("c1", "c2"), "candidates")
     drop_staged(posts)
@@ -437,24 +495,33 @@ def similar_classes(records: DataFrame, field: str, key: str, text: str, width:
     return members, pairs
 
 
-def near_duplicates(records: DataFrame, field: str, key: str, text: str, width: int = 5, least: float = 0.8, least_words: int = 0) -> DataFrame:
+def copies(members: DataFrame) -> DataFrame:
+    """(field, key, representative) of records with exactly one text, for ``members`` of ``similar_classes``: the smallest key stands for them."""
+    first = stage(members.groupBy("class", "copy").agg(F.count("*").alias("n"), F.min("key").alias("representative")).where("n > 1").drop("n"), "copies")
+    return small_join(members, first, ["class", "copy"]).select("field", "key", "representative")
+
+
+def near_duplicates(records: DataFrame, field: str, key: str, text: str, width: int = 5, least: float = 0.8, least_words: int = 0, most_copies: int | None = MOST_COPIES) -> DataFrame:
     """(field, key_a, key_b), key_a < key_b: records of one field whose shingle sets have Jaccard >= ``least``.
 
-    Records with exactly equal texts are copies: up to ``MOST_COPIES`` all their pairs are
-    listed, larger groups of copies pair each with the smallest key, which alone stands for
-    the group in pairs with other texts, those with an equal set among them.  Null and
-    short texts, see ``similar_classes``.
+    Records with exactly equal texts are copies.  Groups of up to ``most_copies`` have all
+    their pairs listed; of larger ones each is paired with the smallest key, which alone
+    stands for the group in pairs with other texts, those with an equal set among them.
+    ``copies`` tells who is represented by whom, and ``most_copies`` None lists every pair
+    of every group (salted, so that no task holds a group).  Null and short texts, see
+    ``similar_classes``.
     """
     members, pairs = similar_classes(records, field, key, text, width, least, least_words)
     groups = stage(members.groupBy("class", "copy").agg(F.count("*").alias("n"), F.min("key").alias("first")), "groups")
     known = stage(small_join(members, groups, ["class", "copy"]), "grouped")
-    listed = stage(known.where((F.col("n") <= MOST_COPIES) | (F.col("key") == F.col("first"))).select("class", "field", "key"), "listed")
+    every = F.lit(True) if most_copies is None else F.col("n") <= most_copies
+    listed = stage(known.where(every | (F.col("key") == F.col("first"))).select("class", "field", "key"), "listed")
     sizes = listed.groupBy("class").agg(F.count("*").alias("size"))
     sizes = stage(sizes.where("size > 1").select("class", F.ceil(F.col("size") / MEMBERS_A_TASK).cast("int").alias("salts")), "class-sizes")
     across = _with_members(_with_members(pairs.select("a", "b"), listed, sizes, "a"), listed.drop("field"), sizes, "b").select("field", "ka", "kb")
     own = small_join(listed, sizes.select("class"), ["class"], "left_semi").select(F.col("class").alias("b"), F.col("key").alias("ka"))
     equal = _with_members(own, listed, sizes, "b").where("ka < kb").select("field", "ka", "kb")
-    stars = known.where(f"n > {MOST_COPIES} and key <> first").select("field", F.col("first").alias("ka"), F.col("key").alias("kb"))
+    stars = known.where(~every & (F.col("key") != F.col("first"))).select("field", F.col("first").alias("ka"), F.col("key").alias("kb"))
     out = across.unionByName(equal).unionByName(stars)
     return out.select("field", F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))
 

@@ -54,7 +54,6 @@ def test_near_duplicates_match_brute_force(spark, width, least, least_words):
 
 def test_near_duplicates_hot_lists_and_copies(spark, monkeypatch):
     monkeypatch.setattr(neardup, "HOT_LIST", 10)
-    monkeypatch.setattr(neardup, "MOST_COPIES", 5)
     rng = random.Random(8)
     base = texts(rng, 3)
     rows = [("f", f"k{i:03d}", edited(rng, base[i % 3], 2)) for i in range(45)]
@@ -64,6 +63,27 @@ def test_near_duplicates_hot_lists_and_copies(spark, monkeypatch):
     copies = spark.createDataFrame([("f", f"c{i:02d}", base[0]) for i in range(40)] + [("f", "z", edited(rng, base[0], 1))], "field string, key string, body string")
     got = {(r.key_a, r.key_b) for r in neardup.near_duplicates(copies, "field", "key", "body", 3, 0.7, 20).collect()}
     assert got == {("c00", f"c{i:02d}") for i in range(1, 40)} | {("c00", "z")}
+    monkeypatch.setattr(neardup, "MEMBERS_A_TASK", 7)
+    every = {(r.key_a, r.key_b) for r in neardup.near_duplicates(copies, "field", "key", "body", 3, 0.7, 20, most_copies=None).collect()}
+    assert every == {(f"c{i:02d}", f"c{j:02d}") for i in range(40) for j in range(i + 1, 40)} | {(f"c{i:02d}", "z") for i in range(40)}
+    held = neardup.copies(neardup.similar_classes(copies, "field", "key", "body", 3, 0.7, 20)[0]).collect()
+    assert {(r.key, r.representative) for r in held} == {(f"c{i:02d}", "c00") for i in range(40)}
+
+
+def test_posting_lists_by_blocks():
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = sorted((rng.randrange(5), rng.randrange(20, 40), rng.randrange(0, 20), i) for i in range(800))
+    token, size, place, cid = (np.array(c, dtype=np.int64) for c in zip(*rows))
+    want = {}
+    for i, (t, n, p, a) in enumerate(rows):
+        for u, m, q, b in rows[i + 1 :]:
+            overlap = -(-7 * (n + m) // 17)
+            if t == u and n >= 0.7 * m - 1e-9 and p < n - overlap + 4 and q < m - overlap + 4:
+                want[min(a, b), max(a, b)] = want.get((min(a, b), max(a, b)), 0) + 1
+    a, b, w = neardup.join_lists(token, cid, size, place, 0.7)
+    assert dict(zip(zip(a.tolist(), b.tolist()), w.tolist())) == want and len(want) > 1_000
 
 
 @pytest.mark.parametrize("a_task", [500, 7])

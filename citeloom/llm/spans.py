@@ -5,8 +5,8 @@ the smallest hash in the run.  Anchors found in one text only are dropped.  The
 of the rest (all runs with that anchor) go to the shard of their anchor.  There each run
 whose hash recurs is compiled into an automaton once, and the contexts of all documents are
 streamed through it: its hits locate every occurrence word by word, and confirm a run if
-two classes have it.  Equal texts are one class (128 bits of SHA-256, which no two texts
-share by chance), and equal contexts are looked at once.  Anchors with very many contexts
+two classes have it.  Equal texts are one class (see ``classed``), and equal contexts
+are looked at once.  Anchors with very many contexts
 go through the same automata run by run, so that no task holds all of one.
 """
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,14 +158,16 @@ def locate(contexts: list[tuple], low: list, high: list, span: int) -> list[list
     return out
 
 
-_HITS = "class binary, field string, run string, s int, e int"
+_HITS = "class bigint, field string, run string, s int, e int"
+_CONTEXTS = "field string, class bigint, other bigint, anchor bigint, first int, context string"
 
 
 @nonempty
 def _shards(batches, span: int):
     """Locate in shards: whole anchors, about ``SHARD_CONTEXTS`` contexts at a time, in rows sorted by anchor.
 
-    Rows without a class are single runs that stand for all texts that have them.
+    ``other`` is another class that has the context, if one is known.  A negative first word
+    marks a single run that stands for all texts that have it.
     """
     held: list = []
 
@@ -172,44 +175,72 @@ def _shards(batches, span: int):
         # equal contexts of a field are looked at once
         distinct: dict[tuple, list] = {}
         for r in rows:
-            d = distinct.setdefault((r[1], r[2]), [r[3], r[4]])
-            d[0], d[1] = min(d[0], r[3]), max(d[1], r[4])
+            d = distinct.setdefault((r[1], r[2]), [r[3], r[3]])
+            d[0], d[1] = min(d[0], r[3]), max(d[1], r[3])
+            if r[4] is not None and r[4] == r[4]:
+                d[0], d[1] = min(d[0], r[4]), max(d[1], r[4])
         keys = list(distinct)
         found = dict(zip(keys, locate(keys, [d[0] for d in distinct.values()], [d[1] for d in distinct.values()], span)))
         out = []
         for r in rows:
             for a, b in found[r[1], r[2]]:
-                out.append((r[5], None, None, r[6] + a, r[6] + b) if r[5] is not None else (None, r[1], r[2], 0, 0))
+                out.append((r[3], None, None, r[5] + a, r[5] + b) if r[5] >= 0 else (r[3], r[1], r[2], 0, 0))
         return pd.DataFrame(out, columns=["class", "field", "run", "s", "e"])
 
-    for pdf in batches:
-        for row in zip(*(pdf[c].tolist() for c in ("anchor", "field", "context", "lo", "hi", "class", "first"))):
+    for b in batches:
+        for row in zip(*(b[c].to_pylist() for c in ("anchor", "field", "context", "class", "other", "first"))):
             if len(held) >= SHARD_CONTEXTS and row[0] != held[-1][0]:
-                yield flush(held)
+                yield pa.RecordBatch.from_pandas(flush(held), schema=_HITS_SCHEMA, preserve_index=False)
                 held = []
             held.append(row)
     if held:
-        yield flush(held)
+        yield pa.RecordBatch.from_pandas(flush(held), schema=_HITS_SCHEMA, preserve_index=False)
+
+
+_HITS_SCHEMA = pa.schema([("class", pa.int64()), ("field", pa.string()), ("run", pa.string()), ("s", pa.int32()), ("e", pa.int32())])
+_CONTEXTS_SCHEMA = pa.schema([("field", pa.string()), ("class", pa.int64()), ("other", pa.int64()), ("anchor", pa.int64()), ("first", pa.int32()), ("context", pa.string())])
 
 
 @nonempty
 def _cut(batches, span: int):
     """The contexts of a text's recurring anchors; a text is looked at once however many rows have it.
 
-    A text that two keys have counts as two classes.
+    For a text that two keys have, another class is made up that has it too.
     """
     seen: set = set()
-    for pdf in batches:
+    for b in batches:
         out = []
-        for f, c, t, rs, several in zip(pdf["field"], pdf["class"], pdf["text"], pdf["runs"], pdf["several"]):
+        for f, c, t, rs, several in zip(*(b[n].to_pylist() for n in ("field", "class", "text", "runs", "several"))):
             if c in seen:
                 continue
             seen.add(c)
             words = t.split()
-            other = c + b"+" if several else c
             for r in rs:
-                out.append((f, c, c, other, r["anchor"], r["first"], " ".join(words[r["first"] : r["last"] + span])))
-        yield pd.DataFrame(out, columns=["field", "class", "lo", "hi", "anchor", "first", "context"])
+                out.append((f, c, c ^ 1 if several else None, r["anchor"], r["first"], " ".join(words[r["first"] : r["last"] + span])))
+        yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*out) if out else [()] * 6, _CONTEXTS_SCHEMA)], schema=_CONTEXTS_SCHEMA)
+
+
+def text_class(field, text):
+    """A number for equal texts of a field."""
+    return F.xxhash64(field, text)
+
+
+def classed(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with class, owners, several): equal texts of a field have one class, and different ones have not.
+
+    ``owners``: distinct field, key, class.  ``several``: classes that two keys have.  Should
+    two texts get one number, a digest tells them apart, and they get others.
+    """
+    digest = F.unhex(F.substring(F.sha2(F.concat_ws("\u0001", "field", "text"), 256), 1, 24))
+    rows = rows.withColumn("class", text_class("field", "text"))
+    while True:
+        owners = stage(rows.select("field", "key", "class", digest.alias("d")).distinct(), "owners")
+        per = stage(owners.groupBy("class").agg(F.min("key").alias("k1"), F.max("key").alias("k2"), F.min("d").alias("d1"), F.max("d").alias("d2")).where("k1 <> k2 or d1 <> d2"), "several")
+        clash = per.where("d1 <> d2").select("class", F.lit(True).alias("clash"))  # by chance one in 10 billion texts
+        if clash.isEmpty():
+            return rows, owners.drop("d"), per.select("class", F.lit(True).alias("several"))
+        apart = F.xxhash64(F.lit("apart"), "class", digest)
+        rows = rows.join(F.broadcast(clash), "class", "left").withColumn("class", F.when(F.col("clash"), apart).otherwise(F.col("class"))).drop("clash")
 
 
 def shared_spans(records: DataFrame, field: str, key: str, text: str, span: int = 25, gram: int = GRAM) -> DataFrame:
@@ -221,7 +252,7 @@ def shared_spans(records: DataFrame, field: str, key: str, text: str, span: int
     inside one record is not shared.
     """
     rows = records.select(F.col(field).alias("field"), F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
-    rows = rows.withColumn("class", F.unhex(F.substring(F.sha2(F.concat_ws("\u0001", "field", "text"), 256), 1, 32)))
+    rows, owners, several = classed(rows)
 
     @nonempty
     def find(batches):
@@ -233,13 +264,11 @@ def shared_spans(records: DataFrame, field: str, key: str, text: str, span: int
                 a = mix(a + salt[t]) if len(t) else a
             yield pd.DataFrame({"class": pdf["class"].to_numpy()[t], "anchor": a.view(np.int64), "first": first.astype(np.int32), "last": last.astype(np.int32)})
 
-    found = stage(rows.select("field", "class", "text").mapInPandas(find, "class binary, anchor bigint, first int, last int"), "anchors")
-    owners = stage(rows.select("field", "key", "class").distinct(), "owners")
-    copied = stage(owners.groupBy("class").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("class", F.lit(True).alias("several")), "copied")
+    found = stage(rows.select("field", "class", "text").mapInPandas(find, "class bigint, anchor bigint, first int, last int"), "anchors")
+    found = small_join(found, several, ["class"], "left").withColumn("several", F.coalesce("several", F.lit(False)))
     # an anchor recurs if two classes have it, or one that two keys have
-    one = small_join(found.select("class", "anchor"), copied, ["class"], "left_semi").select("anchor")
-    counts = found.groupBy("anchor").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n"))
-    recurring = stage(counts.where("lo <> hi").select("anchor", "n").unionByName(one.groupBy("anchor").agg(F.count("*").alias("n"))).groupBy("anchor").agg(F.max("n").alias("n")), "recurring")
+    counts = found.groupBy("anchor").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.bool_or("several").alias("several"), F.count("*").alias("n"))
+    recurring = stage(counts.where("lo <> hi or several").select("anchor", "n"), "recurring")
     # at most (all anchors / HOT_CONTEXTS) of them; their rows stay where they are
     hot = stage(recurring.where(F.col("n") >= HOT_CONTEXTS).select("anchor"), "hot-anchors")
     some_hot = not hot.isEmpty()
@@ -248,27 +277,26 @@ def shared_spans(records: DataFrame, field: str, key: str, text: str, span: int
         kept = often.unionByName(found.join(F.broadcast(hot), "anchor", "left_anti").join(recurring.select("anchor"), "anchor"))
     else:
         kept = found.join(recurring.select("anchor"), "anchor")
-    runs = kept.groupBy("class").agg(F.collect_set(F.struct("first", "last", "anchor")).alias("runs"))
-    runs = runs.join(copied, "class", "left").withColumn("several", F.coalesce("several", F.lit(False)))
+    runs = kept.groupBy("class").agg(F.collect_set(F.struct("first", "last", "anchor")).alias("runs"), F.bool_or("several").alias("several"))
     # many rows may have one text; they are spread, and each task looks at a text once
     texts = lookup_join(rows.select("field", "class", "text"), runs, ["class"])
-    contexts = texts.select("field", "class", "text", "runs", "several").mapInPandas(lambda b: _cut(b, span), "field string, class binary, lo binary, hi binary, anchor bigint, first int, context string")
+    contexts = texts.select("field", "class", "text", "runs", "several").mapInArrow(lambda b: _cut(b, span), _CONTEXTS)
     single = None
     if some_hot:
         # contexts of a hot anchor go run by run, and equal runs meet before they are sent: they come as one row
         contexts = stage(contexts, "contexts")
         w = F.split("context", " ")
         single = contexts.join(F.broadcast(hot), "anchor").withColumn("shift", F.explode(F.sequence(F.lit(0), F.size(w) - span)))
-        single = stage(single.select("field", "class", "lo", "hi", (F.col("first") + F.col("shift")).alias("s"), F.array_join(F.slice(w, F.col("shift") + 1, span), " ").alias("run")), "single-runs")
-        distinct = single.groupBy("field", F.col("run").alias("context")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        distinct = distinct.select("field", F.lit(None).cast("binary").alias("class"), "lo", "hi", F.xxhash64("field", "context").alias("anchor"), F.lit(0).alias("first"), "context")
-        contexts = contexts.join(F.broadcast(hot), "anchor", "left_anti").select("field", "class", "lo", "hi", "anchor", "first", "context").unionByName(distinct)
-    hits = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(lambda b: _shards(b, span), _HITS)
+        single = stage(single.select("field", "class", "other", (F.col("first") + F.col("shift")).alias("s"), F.array_join(F.slice(w, F.col("shift") + 1, span), " ").alias("run")), "single-runs")
+        ends = single.groupBy("field", F.col("run").alias("context")).agg(F.min(F.least("class", "other")).alias("class"), F.max(F.greatest("class", "other")).alias("other"))
+        distinct = ends.select("field", "class", "other", F.xxhash64("field", "context").alias("anchor"), F.lit(-1).alias("first"), "context")
+        contexts = contexts.join(F.broadcast(hot), "anchor", "left_anti").select("field", "class", "other", "anchor", "first", "context").unionByName(distinct)
+    hits = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: _shards(b, span), _HITS)
     if single is not None:
         hits = stage(hits, "hits")
-        confirmed = hits.where("class is null").select("field", "run").distinct()
+        confirmed = hits.where("run is not null").select("field", "run").distinct()
         known = lookup_join(single.select("field", "run", "class", "s"), confirmed, ["field", "run"]).select("class", "s", (F.col("s") + span - 1).alias("e"))
-        hits = hits.where("class is not null").select("class", "s", "e").unionByName(known)
+        hits = hits.where("run is null").select("class", "s", "e").unionByName(known)
     per = hits.groupBy("class").agg(F.collect_set(F.struct("s", "e")).alias("x"))
 
     @nonempty
@@ -280,6 +308,6 @@ def shared_spans(records: DataFrame, field: str, key: str, text: str, span: int
                 out.append((c, [a for a, _ in got], [b for _, b in got]))
             yield pd.DataFrame(out, columns=["class", "starts", "ends"])
 
-    spans = stage(per.mapInPandas(unite, "class binary, starts array<int>, ends array<int>"), "stretches")
+    spans = stage(per.mapInPandas(unite, "class bigint, starts array<int>, ends array<int>"), "stretches")
     out = lookup_join(owners, spans, ["class"]).select("field", "key", F.explode(F.arrays_zip("starts", "ends")).alias("x"))
     return out.select("field", F.col("key").alias(key), F.col("x.starts").alias("first_word"), F.col("x.ends").alias("last_word"))

@@ -351,3 +351,13 @@ def test_queries_are_registered():
 
     assert sorted({int(re.match(r"p(\d+)_", n)[1]) for n in queries()}) == list(range(1, 10))
     assert F is not None
+
+
+def test_spans_tell_texts_of_one_number_apart(spark, monkeypatch):
+    monkeypatch.setattr(spans, "text_class", lambda field, text: F.lit(7).cast("bigint"))
+    rng = random.Random(6)
+    base = texts(rng, 6, 60, 90)
+    rows = [("f", f"k{i}", t) for i, t in enumerate(base)] + [("f", "copy", base[0]), ("f", "part", " ".join(base[1].split()[5:45])), ("g", "k0", base[0])]
+    df = spark.createDataFrame(rows, "field string, card string, t string")
+    got = {(r.field, r.card, r.first_word, r.last_word) for r in spans.shared_spans(df, "field", "card", "t", 25).collect()}
+    assert got == brute_spans(rows, 25)

@@ -3,8 +3,10 @@
 Rival source lines are compared by token-level consensus.  A line is cut into typed
 tokens (author, year, qualification, publication, title, URL); the lines of a group are
 aligned progressively, component by component; the weighted tokens of a column vote, and
-silence has no vote, so the consensus states whatever any line states.  The line closest
-to the consensus, that is the one that misses the fewest of its components, is emitted.
+silence has no vote, so the consensus states whatever any line states.  Then every line is
+read again with the consensus: what the group's votes show to be its publication or its
+author's qualification counts wherever it stands.  The line closest to the consensus, that
+is the one that misses the fewest of its components, is emitted.
 Large groups are aligned in chunks whose profiles are then aligned with each other.
 """
 
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -137,9 +140,38 @@ def consensus_of(profile: dict) -> dict[str, list[str]]:
     return {c: [min(col, key=lambda t: (-col[t], t)) for col in cols] for c, cols in profile.items()}
 
 
-def missing(line_tokens: dict, consensus: dict) -> int:
-    """Components of the consensus that a line doesn't state."""
-    return sum(c not in line_tokens for c in consensus)
+#: Components whose wording alone tells them; share of the consensus' main tokens that a line must have to state one.
+WORDED, AGREEMENT = ("qualification", "publication"), 0.75
+
+
+def core_of(profile: dict) -> dict[str, list[str]]:
+    """Per component the winning tokens of the columns with at least half the votes of its strongest column."""
+    out = {}
+    for c, cols in profile.items():
+        most = [max(col.values()) for col in cols]
+        out[c] = [min(col, key=lambda t: (-col[t], t)) for col, m in zip(cols, most) if 2 * m >= max(most)]
+    return out
+
+
+def stated_with(line: str | None, core: dict) -> set[str]:
+    """The components that a line states, read with its group's consensus.
+
+    Those its own grammar tells, and the worded ones whose voted tokens stand in the rest
+    of the line: what other lines of the group show to be a publication is one here too.
+    """
+    own = tokens(line)
+    out = set(own)
+    rest = None
+    for c in WORDED:
+        voted = [t.lower() for t in core.get(c, ())]
+        if c in own or len(voted) < 2:
+            continue
+        if rest is None:
+            rest = Counter(t.lower() for t in _TOKEN.findall(_URL.sub(" ", _REMARK.sub(" ", line or ""))))
+            rest.subtract(t.lower() for v in own.values() for t in v)
+        if sum(rest[t] > 0 for t in voted) >= AGREEMENT * len(voted):
+            out.add(c)
+    return out
 
 
 @nonempty
@@ -187,16 +219,29 @@ def closest_to_consensus(records: DataFrame, group: str, key: str, line: str) ->
     values = stage(rows.groupBy("group_id", "text").agg(F.count("*").cast("double").alias("weight"), F.min("key").alias("key")), "values")
     profiles = group_profiles(values.select("group_id", "text", "weight"))
 
+    @nonempty
+    def settle(batches):
+        for pdf in batches:
+            made = [json.loads(p) for p in pdf["profile"]]
+            text = [json.dumps([core_of(p), "; ".join(" ".join(v) for v in (consensus_of(p).get(c) for c in COMPONENTS) if v)]) for p in made]
+            yield pd.DataFrame({"group_id": pdf["group_id"], "consensus": text})
+
+    # the lines get the consensus, whose length is that of a line, and not the votes
+    settled = stage(profiles.mapInPandas(settle, "group_id string, consensus string"), "consensus")
+
     @nonempty
     def judge(batches):
+        known = (None, None)
         for pdf in batches:
             out = []
-            for g, k, text, profile in zip(pdf["group_id"], pdf["key"], pdf["text"], pdf["profile"]):
-                consensus = consensus_of(json.loads(profile))
-                out.append((g, k, missing(tokens(text), consensus), "; ".join(" ".join(consensus[c]) for c in COMPONENTS if c in consensus)))
+            for g, k, text, held in zip(pdf["group_id"], pdf["key"], pdf["text"], pdf["consensus"]):
+                if known[0] != held:
+                    known = (held, json.loads(held))
+                core, whole = known[1]
+                out.append((g, k, len(core) - len(stated_with(text, core)), whole))
             yield pd.DataFrame(out, columns=["group_id", "key", "missing", "consensus"])
 
-    judged = lookup_join(values, profiles, ["group_id"]).select("group_id", "key", "text", "profile").mapInPandas(judge, "group_id string, key string, missing int, consensus string")
+    judged = lookup_join(values, settled, ["group_id"]).select("group_id", "key", "text", "consensus").mapInPandas(judge, "group_id string, key string, missing int, consensus string")
     best = judged.groupBy("group_id").agg(F.min(F.struct("missing", "key", "consensus")).alias("b"))
     return best.select("group_id", F.col("b.key").alias("key"), F.col("b.missing").alias("missing"), F.col("b.consensus").alias("consensus"))
 

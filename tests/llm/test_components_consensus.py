@@ -79,3 +79,18 @@ def test_large_group_is_aligned_in_chunks(spark):
     g = cards.selectExpr("card_id node_id", "'c0000' group_id")
     r = C.best_records(cards, g).collect()
     assert len(r) == 1 and r[0].cite_card_id == "c0333" and r[0].card_id == "c0000"
+
+
+def test_consensus_decides_what_a_line_states(spark):
+    free = "Ann Example 2001, in the annals of river law, https://a.b/c"  # no grammar tells that publication
+    rows = [
+        ("a", 0.5, "Ann Example 2001, https://a.b/c", False), ("b", 0.5, "Ann Example 2001 (Annals of River Law)", False), ("c", 0.5, "Ann Example (Annals of River Law)", False),
+        ("d", 0.5, "Example 01 (Annals of River Law)", False), ("e", 0.5, free, False),
+    ]
+    cards = spark.createDataFrame(rows, "card_id string, read_ratio double, cite_raw string, disclosed_only boolean")
+    assert [r.cite_card_id for r in C.best_records(cards, cards.selectExpr("card_id node_id", "'a' group_id")).collect()] == ["e"]
+    # without the group's votes it states no more than the smaller id
+    voted = {"publication": ["Annals", "of", "River", "Law"]}
+    assert C.stated_with(free, {}) == set(C.state(free)) == {"author", "year", "url"} and C.stated_with(free, voted) == {"author", "year", "url", "publication"}
+    assert C.stated_with(None, voted) == set()
+    assert "publication" not in C.stated_with("Annals River 2001", voted)  # tokens of another component count there alone

@@ -239,19 +239,57 @@ def test_clean_text(spark):
     assert [r.clean for r in markup.clean_text(df, "t").orderBy("t").collect()] == [None, "", "x"]
 
 
-def test_region_drops_tag_heavy_edges():
+def test_region_drops_mark_heavy_edges():
     nav = "".join("<a><i></i></a>" for _ in range(30))
     page = f"{nav}<h1>Home</h1>{nav}<h2>Head</h2><p>" + "word " * 60 + f"</p>{nav}<ul><li>x</li></ul>"
     lo, hi = markup.region(page, {"": 1.0, "*": -0.2})
     assert "Head" in page[lo:hi] and "Home" not in page[lo:hi] and "<li>" not in page[lo:hi]
-    assert markup.structure(page, {"": 1.0, "*": -0.2}) == [("heading", 1), ("inline", 0)]
+    assert markup.structure(page, {"": 1.0, "*": -0.2}) == [("heading", 1)]  # the marks of the menus are outside too
+    assert markup.region("$$ + $$", {}) == (0, 7) and markup.region("", {}) == (0, 0)
+
+
+def boilerplate_pages(rng, n):
+    """(page, clean text, what is in it): menus and footers around articles in each of three grammars."""
+    out = []
+    for i in range(n):
+        body = [" ".join(rng.choices(WORDS, k=rng.randrange(30, 60))) + "." for _ in range(3)]
+        menu = "<nav><ul>" + "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in rng.sample(WORDS, 8)) + "</ul></nav>"
+        foot = "<footer><p>" + " | ".join(f"<a href='/{w}'>{w} {w}</a>" for w in rng.sample(WORDS, 5)) + "</p></footer>"
+        text = [f"<h2>Head</h2><p>{body[0]}</p><ul><li>{body[1]}</li></ul><p>{body[2]}</p>", f"## Head\n\n{body[0]}\n\n- {body[1]}\n\n{body[2]}\n", f"== Head ==\n\n{body[0]}\n\n* {body[1]}\n\n{body[2]}\n"][i % 3]
+        out.append((f"{menu}\n\n{text}\n\n{foot}", "\n".join(body), [("heading", 1), ("list_item", 1)]))
+    return out
+
+
+def test_weights_from_pages_decide_what_is_content(spark):
+    pages = boilerplate_pages(random.Random(12), 90)
+    df = spark.createDataFrame([(i, m, t) for i, (m, t, _) in enumerate(pages)], "id int, markup string, fulltext string")
+    w = markup.fit_weights(df.where("id < 60"), "markup", "fulltext")
+    assert w[""] > 0 > w["<nav>"] and w["<footer>"] < 0
+    got = {}
+    for r in markup.find_elements(df.where("id >= 60"), "id", "markup", w).collect():
+        got.setdefault(int(r.rec_key), []).append((r.element, r.seq))
+    assert all(sorted(got[i]) == pages[i][2] for i in range(60, 90))
+    # without the fitted scan the menu's items and links count
+    plain = {}
+    for r in markup.find_elements(df.where("id >= 60"), "id", "markup", {"": 1.0, "*": 0.0}).collect():
+        plain.setdefault(int(r.rec_key), []).append((r.element, r.seq))
+    assert all(len(plain[i]) > 8 for i in range(60, 90))
+    clean = markup.clean(pages[60][0], w)
+    assert clean.startswith("# Head") and pages[60][1].split("\n")[2] in clean and "href" not in clean and clean.count("\n- ") == 1
+
+
+def test_numbered_lines_by_grammar():
+    long = "word " * 20
+    assert [e for e, _ in markup.structure(f"# {long}\n\nText and text.")] == ["heading"]  # however long
+    assert [e for e, _ in markup.structure(f"# one\n# two\n# {long}")] == ["list_item"] * 3
+    assert [e for e, _ in markup.structure(f"Text of a [[link]] here.\n\n# {long}")] == ["list_item", "inline"]
 
 
 def test_find_elements_and_weights(spark):
     df = spark.createDataFrame([(i, t, t, i) for i, (t, _) in enumerate(PAGES)], "id int, markup string, fulltext string, seq int")
     w = markup.fit_weights(df, "markup", "fulltext")
-    assert w[""] > 0 and all(v < 0 for k, v in w.items() if k)
-    got = [(int(r.rec_key), r.element, r.seq) for r in markup.find_elements(df, "id", "markup").collect()]
+    assert w[""] > 0 and all(v < 0 for k, v in w.items() if k and k[0] != "<")
+    got = [(int(r.rec_key), r.element, r.seq) for r in markup.find_elements(df, "id", "markup", w).collect()]
     assert sorted(got) == sorted((i, *x) for i, (_, want) in enumerate(PAGES) for x in want)
     assert markup.find_elements(df.limit(0), "id", "markup").count() == 0
     assert markup.fit_weights(df.limit(0), "markup", "fulltext")["*"] < 0

@@ -1,9 +1,12 @@
 """Variant spellings of people and organisations.
 
-Distinct spellings become weighted character n-gram vectors; a prefix-filtered sparse
-join yields every pair whose cosine reaches a threshold.  Pairs are then verified part by
-part (same parts in any order, nicknames, initials, one typing error), and verified pairs
-are grouped by average-linkage clustering inside their connected components.  Spellings
+Distinct spellings become weighted character n-gram vectors, and a sparse join yields the
+pairs whose cosine reaches a threshold, all of them or the top n per spelling: organisations
+are joined on their n-grams by prefix filter; of people's names the words are, and names meet
+on a near word and all their other parts, so that a frequent surname pairs nobody who has only
+that in common.  Pairs are then verified part by part (same parts in any order, nicknames,
+initials, one typing error).  Their score, half of which is the cosine, is what verified pairs
+are grouped by: average-linkage clustering inside their connected components.  Spellings
 that state only part of a name (a surname, initials, an acronym) join a cluster when just
 one fits them.
 """
@@ -58,10 +61,10 @@ ORG_KINDS = frozenset(
 LINK_WORDS = frozenset("for of the and in on".split())
 _ACRONYM = re.compile(r"^(?=(?:[^A-Z]*[A-Z]){3})[A-Z][A-Za-z&]{1,8}[A-Z]$")
 
-#: Cosine from which a pair is verified, and average score from which clusters merge.
-COSINE, LINK = 0.40, 0.35
-#: The same for parts of names, before their letters are compared.
-PART_COSINE = 0.30
+#: Cosine from which a pair of organisations is verified, and average score from which clusters merge.
+COSINE, LINK = 0.40, 0.33
+#: The same for people, whose parts already agree, and for parts of names before their letters are compared: less than a swap in a word of five letters leaves.
+PEOPLE_COSINE, PART_COSINE = 0.12, 0.12
 #: Spellings up to which a name may be another's typing error, however often it is given.
 FEW_SPELLINGS = 2
 #: Beyond, the largest share that its records or its spellings may be of the other's: what names one typing error apart have is measured in the README.
@@ -69,7 +72,7 @@ RARE_ROWS, RARE_SPELLINGS = 0.05, 0.4
 #: Pairs of a component up to which it is clustered in one task.
 MOST_PAIRS = 20_000
 #: Scores are summed in these units.
-TENTHS = 10
+UNITS = 100
 
 
 def fold(text: str) -> str:
@@ -279,20 +282,39 @@ def erroneous(s1: str, s2: str, r1: str, r2: str) -> Column:
     return few | (F.least(r1, r2) <= RARE_ROWS * F.greatest(r1, r2)) | (F.least(s1, s2) <= RARE_SPELLINGS * F.greatest(s1, s2))
 
 
-def cosine_pairs(vectors: DataFrame, key: str, features: str, least: float, power: float = 1.0, keep=None) -> DataFrame:
-    """(a, b, cosine), a < b: all pairs of rows whose weighted feature vectors have cosine >= ``least``.
+#: Vectors in a list that one task joins with the whole list.
+LIST_A_TASK = 2_000
 
-    Weights are count times log(1 + N / document frequency) to ``power``.  Features are
-    ordered from rare to frequent; only the prefix of a vector beyond which less than
-    ``least`` of its length is left is joined, which loses no pair.  ``keep``: a condition
-    on a and b that pairs must meet besides; it is tested before they are made distinct.
+
+def name_vectors(forms: DataFrame) -> DataFrame:
+    """(id, v, norm): weighted character n-gram vectors of all forms; v has entries (g, w), from rare to frequent, of length 1.
+
+    Weights are count times the root of log(1 + N / document frequency).  Each part of a
+    person's name is a vector of length 1 of its own, and a name is their sum: then names
+    that share a surname are no less alike when it becomes frequent, and a surname is as
+    like every name that has it.
+    """
+    marked = F.transform("parts", lambda p, i: F.transform(F.sequence(F.lit(1), F.length(p)), lambda k: F.struct(i.cast("int").alias("i"), F.substr(F.concat(F.lit("^"), p, F.lit("$")), k, F.lit(3)).alias("g"))))
+    single = F.transform("grams", lambda g: F.struct(F.lit(0).alias("i"), g.alias("g")))
+    each = forms.select(F.col("name").alias("id"), F.explode(F.when(F.col("kind") == "person", F.flatten(marked)).otherwise(single)).alias("x"))
+    counts = stage(each.groupBy("id", "x.i", "x.g").agg(F.count("*").alias("tf")), "grams")
+    n = forms.count()
+    df = counts.groupBy("g").agg(F.count_distinct("id").alias("df"))
+    weighted = lookup_join(counts, df, ["g"]).withColumn("w", F.col("tf") * F.sqrt(F.log(1 + F.lit(float(max(n, 1))) / F.col("df"))))
+    length = weighted.groupBy("id", "i").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    whole = weighted.join(length, ["id", "i"]).groupBy("id", "g").agg(F.sum(F.col("w") / F.col("length")).alias("w"), F.first("df").alias("df"))
+    vec = whole.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "g", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return stage(vec.select("id", F.transform("v", lambda x: F.struct(x["g"].alias("g"), (x["w"] / F.col("norm")).alias("w"))).alias("v")), "vectors")
+
+
+def prefix_pairs(vec: DataFrame, least: float, keep=None) -> DataFrame:
+    """(a, b), a < b: all pairs of ``name_vectors`` whose cosine may reach ``least``: none is lost.
+
+    Only the prefix of a vector beyond which less than ``least`` of its length is left is
+    joined.  Vectors in a long list are dealt to several tasks, which have all of the list on
+    the other side.  ``keep``: a condition on a and b that pairs must meet besides, tested
+    before they are made distinct.
     """
-    n = vectors.count()
-    counts = vectors.select(F.col(key).alias("id"), F.explode(features).alias("g")).groupBy("id", "g").agg(F.count("*").alias("tf"))
-    df = counts.groupBy("g").agg(F.count("*").alias("df"))
-    weighted = counts.join(df, "g").withColumn("w", F.col("tf") * F.pow(F.log(1 + F.lit(float(max(n, 1))) / F.col("df")), power))
-    vec = weighted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "g", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    vec = stage(vec.select("id", F.transform("v", lambda x: F.struct(x["g"].alias("g"), (x["w"] / F.col("norm")).alias("w"))).alias("v")), "vectors")
 
     @nonempty
     def prefixes(batches):
@@ -309,38 +331,71 @@ def cosine_pairs(vectors: DataFrame, key: str, features: str, least: float, powe
             yield pd.DataFrame({"id": ids, "g": gs})
 
     post = stage(vec.mapInPandas(prefixes, "id string, g string"), "postings")
-    cand = post.select(F.col("id").alias("a"), "g").join(post.select(F.col("id").alias("b"), "g"), "g").where("a < b")
-    cand = (cand if keep is None else cand.where(keep)).select("a", "b").distinct()
-    va = vec.select(F.col("id").alias("a"), F.map_from_entries("v").alias("va"))
-    vb = vec.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-    dot = F.aggregate("vb", F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.element_at("va", x["g"]), F.lit(0.0)))
-    return cand.join(va, "a").join(vb, "b").select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= least)
+    long = post.groupBy("g").agg(F.ceil(F.count("*") / LIST_A_TASK).cast("int").alias("salts")).where("salts > 1")
+    post = stage(post.join(F.broadcast(long), "g", "left").withColumn("salts", F.coalesce("salts", F.lit(1))), "salted")  # at most (all postings / LIST_A_TASK) grams
+    left = post.select(F.col("id").alias("a"), "g", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
+    right = post.select(F.col("id").alias("b"), "g", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    cand = left.join(right, ["g", "salt"]).where("a < b")
+    return (cand if keep is None else cand.where(keep)).select("a", "b").distinct()
 
 
-def part_pairs(forms: DataFrame) -> DataFrame:
-    """(a, b), a < b: forms of people whose telling parts are equal, or similar and one typing error apart.
+def with_cosine(cand: DataFrame, vec: DataFrame, least: float, top: int | None = None) -> DataFrame:
+    """(a, b, cosine) of candidate pairs (a, b) with cosine >= ``least``.
 
-    The telling parts of a form are its rarest part and those up to four times as frequent.
+    ``top``: for each vector only its so many nearest ones (ties by id), a pair counts if
+    either end has it among these.  None is the exact join, with all of them.
     """
-    people = forms.where("kind = 'person'").select("name", F.explode(F.array_distinct("parts")).alias("part"))
-    df = people.groupBy("part").agg(F.count("*").alias("df"))
-    marked = people.join(df, "part")
-    telling = marked.join(marked.groupBy("name").agg(F.min("df").alias("least")), "name").where("df <= 4 * least").select("name", "part")
-    telling = stage(telling, "telling")
-    whole = F.concat(F.lit("^"), "part", F.lit("$"))
-    words = telling.select("part").distinct().where(F.length("part") >= 5)
-    words = stage(words.withColumn("grams", F.transform(F.sequence(F.lit(1), F.length("part")), lambda i: F.substr(whole, i, F.lit(3)))), "parts")
+    va = vec.select(F.col("id").alias("a"), F.map_from_entries("v").alias("va"))
+    vb = vec.select(F.col("id").alias("b"), F.col("v").alias("vb"))
+    dot = F.aggregate("vb", F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.element_at("va", x["g"]), F.lit(0.0)))
+    out = lookup_join(lookup_join(cand, va, ["a"]), vb, ["b"]).select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= least - 1e-9)
+    if top is None:
+        return out
+    out = stage(out, "cosines")
+    ways = out.unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+    best = ways.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where(F.col("k") <= top)
+    best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return out.join(best, ["a", "b"])
+
+
+def near_words(words: DataFrame) -> DataFrame:
+    """(pa, pbs): the words, of column part, that are one typing error from each word, by the cosine of their n-grams; those from five letters on."""
+    grams = F.transform(F.sequence(F.lit(1), F.length("part")), lambda k: F.substr(F.concat(F.lit("^"), F.col("part"), F.lit("$")), k, F.lit(3)))
+    rows = words.where(F.length("part") >= 5).select(F.col("part").alias("name"), F.lit("word").alias("kind"), F.array("part").alias("parts"), grams.alias("grams"))
+    vec = name_vectors(rows)
     # a swap of neighbours is two edits for levenshtein, which runs on the JVM
-    near = cosine_pairs(words, "part", "grams", PART_COSINE, 0.5, F.expr("abs(length(a) - length(b)) <= 1 and levenshtein(a, b, 2) >= 0"))
+    cand = stage(prefix_pairs(vec, PART_COSINE, F.expr("abs(length(a) - length(b)) <= 1 and levenshtein(a, b, 2) >= 0")), "near")
 
     @F.pandas_udf("boolean")
     def close(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([one_edit(x, y) for x, y in zip(a, b)], dtype=bool)
 
-    near = near.where(close("a", "b")).select(F.col("a").alias("pa"), F.col("b").alias("pb"))
-    near = near.unionByName(telling.select(F.col("part").alias("pa"), F.col("part").alias("pb")).distinct())
-    left, right = telling.select(F.col("name").alias("n1"), F.col("part").alias("pa")), telling.select(F.col("name").alias("n2"), F.col("part").alias("pb"))
-    return near.join(left, "pa").join(right, "pb").where("n1 <> n2").select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b"))
+    near = with_cosine(cand.where(close("a", "b")), vec, PART_COSINE)
+    both = near.select(F.col("a").alias("pa"), F.col("b").alias("pb")).unionByName(near.select(F.col("b").alias("pa"), F.col("a").alias("pb")))
+    return both.groupBy("pa").agg(F.array_sort(F.collect_set("pb")).alias("pbs"))
+
+
+def people_pairs(forms: DataFrame) -> DataFrame:
+    """(a, b), a < b: forms of people that agree in all parts but one, and in that one but for a typing error; a single part with every name that has it.
+
+    No part is left out, however frequent: the other parts, taken together, are the key that
+    names are joined on, and rows of a frequent part are spread.
+    """
+    people = forms.where("kind = 'person'").select("name", "parts")
+    one = people.select("name", "parts", F.posexplode("parts").alias("at", "part"))
+    rest = F.concat_ws(" ", F.filter("parts", lambda p, i: i != F.col("at")))
+    one = stage(one.select("name", F.size("parts").alias("k"), "part", rest.alias("rest")), "name-parts")
+    near = stage(near_words(one.select("part").distinct()), "near-words")
+    turned = lookup_join(one, near.withColumnRenamed("pa", "part"), ["part"]).select("name", "k", "rest", F.explode("pbs").alias("part"))
+    exact = one.select("name", "k", "rest", "part")
+    ways = stage(exact.unionByName(turned), "ways")
+    # forms of one key differ in their initials only, so there are few
+    whole = one.where("k > 1").groupBy("k", "rest", "part").agg(F.collect_set("name").alias("others"))
+    full = lookup_join(ways.where("k > 1"), whole, ["k", "rest", "part"])
+    alone = one.where("k = 1").groupBy("part").agg(F.collect_set("name").alias("others"))
+    some = lookup_join(ways, alone, ["part"])
+    pairs = full.select("name", "others").unionByName(some.select("name", "others")).select("name", F.explode("others").alias("other")).where("name <> other")
+    return pairs.select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).distinct()
 
 
 def _scored(pairs: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -352,10 +407,11 @@ def _scored(pairs: DataFrame, parsed: DataFrame) -> DataFrame:
     def run(batches):
         for pdf in batches:
             got = [verify((r.a_kind, list(r.a_parts), list(r.a_initials), r.a_compact), (r.b_kind, list(r.b_parts), list(r.b_initials), r.b_compact)) for r in pdf.itertuples(index=False)]
-            out = pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "score": [g[0] for g in got], "how": [g[1] for g in got]})
+            # the cosine of the whole names takes half of the score
+            out = pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "score": [g[0] * (0.5 + 0.5 * min(1.0, c)) for g, c in zip(got, pdf["cosine"])], "how": [g[1] for g in got]})
             yield out[out["score"] > 0]
 
-    joined = pairs.select("a", "b").join(a, "a").join(b, "b").where("a_kind = b_kind or 'acronym' in (a_kind, b_kind)")
+    joined = lookup_join(lookup_join(pairs.select("a", "b", "cosine"), a, ["a"]), b, ["b"]).where("a_kind = b_kind or 'acronym' in (a_kind, b_kind)")
     return joined.mapInPandas(run, "a string, b string, score double, how string")
 
 
@@ -366,9 +422,9 @@ def _cluster(pairs: DataFrame, least: float) -> DataFrame:
     (``_merge_round``) until it has no more; the clusters are the same either way.
     """
     comp = connected_components(pairs, "a", "b")
-    # whole tenths, so that sums and means don't depend on the order of addition
-    least *= TENTHS
-    total = F.round(F.col("score") * TENTHS).cast("bigint") * F.col("na") * F.col("nb")
+    # whole units, so that sums and means don't depend on the order of addition
+    least *= UNITS
+    total = F.round(F.col("score") * UNITS).cast("bigint") * F.col("na") * F.col("nb")
     placed = pairs.join(comp.select(F.col("node_id").alias("a"), "group_id"), "a").select("group_id", "a", "b", total.alias("total"), "na", "nb")
     large = stage(placed.groupBy("group_id").count().where(F.col("count") > MOST_PAIRS).select("group_id"), "large")
     out = _merge_groups(placed.join(large, "group_id", "left_anti"), least)
@@ -467,9 +523,11 @@ def _merge_round(edges: DataFrame, least: float) -> DataFrame:
     return rows.groupBy("root").applyInPandas(run, "name string, cluster string, mass bigint")
 
 
-def link_names(names: DataFrame, cosine: float = COSINE, link: float = LINK) -> DataFrame:
+def link_names(names: DataFrame, cosine: float = COSINE, link: float = LINK, top: int | None = None) -> DataFrame:
     """(name, cluster) for every spelling that is linked to another one.
 
+    ``top``: nearest vectors that are looked at per form; None looks at all that reach the
+    threshold, which is the exact way.
     ``names`` has a column name, and may have the number of records as rows; null, blank
     and repeated spellings, and words that name nobody, are left out.  No spelling at all
     gives an empty table.
@@ -478,8 +536,11 @@ def link_names(names: DataFrame, cosine: float = COSINE, link: float = LINK) ->
     # spellings with the same parts and initials are one form, and forms are what is compared
     own = ["kind", "parts", "initials", "compact", "grams"]
     parsed = stage(spelled.groupBy("form").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in own]).withColumnRenamed("form", "name"), "forms")
-    whole_names = cosine_pairs(parsed.where("kind <> 'person'"), "name", "grams", cosine).select("a", "b")
-    pairs = stage(_scored(whole_names.unionByName(part_pairs(parsed)).distinct(), parsed), "name-pairs")
+    vec = name_vectors(parsed)
+    others = vec.join(parsed.where("kind <> 'person'").select(F.col("name").alias("id")), "id", "left_semi")
+    near = with_cosine(stage(prefix_pairs(others, cosine), "org-pairs"), vec, cosine, top)
+    near = near.unionByName(with_cosine(stage(people_pairs(parsed), "people-pairs"), vec, PEOPLE_COSINE, top))
+    pairs = stage(_scored(near, parsed), "name-pairs")
     # a typing error is a rare spelling of an established name: of two established names neither is the other's error
     key = F.concat_ws(" ", "kind", F.array_join("parts", " "))
     support = spelled.groupBy(key.alias("key")).agg(F.count("*").alias("support"), F.sum("rows").alias("records"))
@@ -516,9 +577,12 @@ def link_names(names: DataFrame, cosine: float = COSINE, link: float = LINK) ->
 
 
 def name_pairs(linked: DataFrame) -> DataFrame:
-    """(name_a, name_b), name_a < name_b: every two spellings of one cluster."""
-    other = linked.select(F.col("name").alias("name_b"), "cluster")
-    return linked.select(F.col("name").alias("name_a"), "cluster").join(other, "cluster").where("name_a < name_b").select("name_a", "name_b")
+    """(name_a, name_b), name_a < name_b: every two spellings of one cluster; members of a large one are dealt to several tasks."""
+    salts = linked.groupBy("cluster").agg(F.ceil(F.count("*") / LIST_A_TASK).cast("int").alias("salts")).where("salts > 1")
+    rows = linked.join(F.broadcast(salts), "cluster", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))  # at most (all spellings / LIST_A_TASK) clusters
+    mine = rows.select(F.col("name").alias("name_a"), "cluster", F.pmod(F.xxhash64("name"), F.col("salts")).cast("int").alias("salt"))
+    other = rows.select(F.col("name").alias("name_b"), "cluster", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return mine.join(other, ["cluster", "salt"]).where("name_a < name_b").select("name_a", "name_b")
 
 
 def card_spellings(cards: DataFrame) -> DataFrame:

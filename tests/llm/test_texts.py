@@ -328,6 +328,22 @@ def test_genetic_steps():
     assert packing.fitness([[0, 3], [1, 2]], sizes, cap) == 1.0
 
 
+def test_evolution_beats_best_fit(spark):
+    rng = random.Random(3)
+    sizes = [rng.randrange(200, 500) for _ in range(900)]
+    order = sorted(range(900), key=lambda i: (-sizes[i], i))
+    plain = len(packing.best_fit(order, sizes, 1000))
+    best = packing.evolve(sizes, 1000, [], packing.GENERATIONS, packing.POPULATION, 1)[0][2]
+    assert sorted(i for b in best for i in b) == list(range(900)) and max(sum(sizes[i] for i in b) for b in best) <= 1000
+    assert packing.least_bins(sizes, 1000) <= len(best) <= plain - 8
+    gains = []
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, tokens long")
+    out = packing.fill_containers(df, "doc_id", "tokens", [("a", 1000)], gains=gains)
+    assert out.select("container").distinct().count() < plain and out.count() == 900
+    first = gains[0].collect()[0]
+    assert first.step == "a" and len(first.bins) == packing.EPOCHS + 1 and first.bins[0] == plain > first.bins[-1] >= first.least
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "Hello there, it's 2024!\n\n  Two  spaces."), (2, None), (3, "  \n"), (4, "Ünïcode façade")], "id long, t string")
     got = {r.id: r.tokens for r in tokens.token_counts(df, "id", "t").collect()}

@@ -22,8 +22,8 @@ from citeloom.staging import drop_staged, stage
 
 #: Items in a shard on average, islands per shard, epochs, generations per epoch at most, solutions per island.
 SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4_000, 2, 2, 150, 6
-#: Generations without a better solution after which an island stops.
-PATIENCE = 15
+#: Generations in a row after which an island stops if they brought no bin less and no such gain in the mean of squared fills.
+PATIENCE, GAIN = 8, 2e-5
 #: Items of a bin up to which pairs of them are exchanged.
 PAIRED = 8
 #: A bin is well filled from this share on; loose bins below it are packed anew.
@@ -144,7 +144,7 @@ def evolve(sizes, capacity, solutions, generations, population, seed, patience=N
             noisy = sorted(order, key=lambda i: (-sizes[i] * rng.uniform(0.8, 1.0), i))
             pool.append(best_fit(noisy, sizes, capacity))
     scored = rank((fitness(s, sizes, capacity), k, s) for k, s in enumerate(pool))
-    still, number = 0, 0
+    held, still, number = (len(scored[0][2]), scored[0][0]), 0, 0
     for _ in range(generations):
         if len(scored[0][2]) <= enough or still >= (PATIENCE if patience is None else patience):
             break
@@ -154,9 +154,11 @@ def evolve(sizes, capacity, solutions, generations, population, seed, patience=N
             c = crossover(mother, father, sizes, capacity, rng)
             number += 1
             children.append((fitness(c, sizes, capacity), -number, c))
-        before = len(scored[0][2]), scored[0][0]
         scored = rank(scored + children)[:population]
-        still = 0 if len(scored[0][2]) < before[0] or scored[0][0] > before[1] + 1e-12 else still + 1
+        if len(scored[0][2]) < held[0] or scored[0][0] > held[1] + GAIN:
+            held, still = (len(scored[0][2]), scored[0][0]), 0
+        else:
+            still += 1
     return scored
 
 

@@ -83,7 +83,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     if a.command == "bundle-inspect":
         print(json.dumps(bundle.inspect_bundle(a.folder)["tables"]))
         return 0
-    own = spark is None
+    made = spark is None
     spark = spark or local_session("*")
     spark.sparkContext.setLogLevel("ERROR")
     if a.command == "bundle-import":
@@ -115,10 +115,14 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             nodes, edges = table(spark, a.folder, "nodes"), table(spark, a.folder, "relate")
             scope = checks.scope_of(sources, a.owner)
             facts = checks.card_facts(cards)
-            places = checks.positions(nodes, scope, checks.template_sources(cards, sources))
+            templates = checks.template_sources(cards, sources)
+            places = checks.positions(nodes, scope, templates)
             p = checks.position_facts(places, facts)
-            found = checks.first_findings(checks.position_findings(places, p, facts, edges, nodes))
-            checks.scores(p, found).orderBy(F.desc("priority"), "node_id").show(20, 60)
+            own = checks.position_findings(places, p, facts)
+            checks.scores(p, own).orderBy(F.desc("priority"), "node_id").show(20, 60)
+            held = cards if scope is None else cards.join(scope.distinct(), "source_id", "left_semi")
+            mine = templates if scope is None else templates.join(scope.distinct(), "source_id", "left_semi")
+            found = own.unionByName(checks.corpus_findings(places, p, facts, edges, nodes, mine, graph.duplicate_edges(held), scope))
             checks.capped(found, most=a.most).select("kind", "severity", "title", "hidden").show(200, 60)
             if a.report:
                 part = Path(a.report + ".part")
@@ -127,7 +131,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         elif a.command == "packet":
             ids = spark.createDataFrame(list(enumerate(a.cards)), "pos int, card_id string")
             Path(a.out).write_bytes(packet.write_packet(cards, sources, ids))
-    if own:
+    if made:
         spark.stop()
     return 0
 

@@ -52,7 +52,7 @@ def card_facts(cards: DataFrame) -> DataFrame:
         )
     )
     return cards.select(
-        "card_id", "source_id", "source_path", "path", "side", "cite_year", "tag",
+        "card_id", "source_id", "source_path", "path", "side", "cite_year",
         rr.alias("rr"), unread.alias("unread"), disclosed.alias("disclosed"),
         F.when(~T.blank(F.col("cite_author")), T.author_key(F.col("cite_author"))).alias("author"),
         (~F.coalesce("cite_raw", F.lit("")).rlike("(?i)" + T.QUALIFICATION) & T.blank(F.col("cite_pub"))).alias("unqualified"),
@@ -89,7 +89,7 @@ def position_facts(places: DataFrame, facts: DataFrame) -> DataFrame:
 
     All are counts that combine before the shuffle, but for the distinct author keys.
     """
-    at = places.join(facts.drop("title"), ["source_id", "path"])
+    at = places.join(facts, ["source_id", "path"])
     return at.groupBy("node_id", "title").agg(
         F.count("*").alias("n"),
         F.collect_set("author").alias("authors"),
@@ -118,37 +118,38 @@ def finding_cards(findings: DataFrame, places: DataFrame, facts: DataFrame) -> D
     return rows.where(hit & ~F.col("kind").isin("answer_gap")).select("kind", "node_id", "card_id")
 
 
-def source_concentration(p: DataFrame) -> DataFrame:
-    """Few distinct authors; spellings one edit apart are one, and each card without an author counts alone."""
+def _position_checks() -> dict:
+    """kind: (severity or null, cards) as expressions on a row of ``position_facts`` (with ``corpus``, the newest year of all, for recency)."""
+    n = F.col("n")
     d = F.size(T.group_author_keys("authors")) + F.col("anonymous")
-    hit = (F.col("n") >= 3) & (((d <= 2) & (F.col("n") >= 4)) | (d / F.col("n") <= 0.4))
-    return _findings(p, "source_concentration", F.when(hit, F.when((d <= 2) & (F.col("n") >= 4), "major").otherwise("minor")))
-
-
-def single_card(p: DataFrame) -> DataFrame:
-    return _findings(p, "single_card_contention", F.when(F.col("n") == 1, "major"))
-
-
-def qualification_gap(p: DataFrame) -> DataFrame:
-    """Most cards name no qualification and no publication."""
-    share = F.col("unqualified") / F.col("n")
-    wide = (F.col("unqualified") > 0) & ((F.col("n") == 1) | (share >= 0.75))
-    return _findings(p, "qualification_gap", F.when(wide, F.when(F.col("n") <= 2, "major").otherwise("minor")).when(share >= 0.5, "minor"), "unqualified")
-
-
-def no_read_text(p: DataFrame) -> DataFrame:
-    return _findings(p, "no_read_text", F.when(F.col("unread") > 0, "major"), "unread")
-
-
-def thin_read(p: DataFrame) -> DataFrame:
-    return _findings(p, "thin_read", F.when(F.col("thin") > 0, "minor"), "thin")
-
-
-def recency_decay(p: DataFrame, facts: DataFrame) -> DataFrame:
-    """The newest card is three years or more behind the corpus."""
-    newest = facts.agg(F.max("cite_year").alias("corpus"))
+    few = (d <= 2) & (n >= 4)
+    share = F.col("unqualified") / n
+    wide = (F.col("unqualified") > 0) & ((n == 1) | (share >= 0.75))
     lag = F.col("corpus") - F.col("newest")
-    return _findings(p.crossJoin(F.broadcast(newest)), "recency_decay", F.when(lag >= 6, "major").when(lag >= 3, "minor"))  # newest: one row
+    return {
+        "source_concentration": (F.when((n >= 3) & (few | (d / n <= 0.4)), F.when(few, "major").otherwise("minor")), n),
+        "single_card_contention": (F.when(n == 1, "major"), n),
+        "qualification_gap": (F.when(wide, F.when(n <= 2, "major").otherwise("minor")).when(share >= 0.5, "minor"), F.col("unqualified")),
+        "no_read_text": (F.when(F.col("unread") > 0, "major"), F.col("unread")),
+        "thin_read": (F.when(F.col("thin") > 0, "minor"), F.col("thin")),
+        "recency_decay": (F.when(lag >= 6, "major").when(lag >= 3, "minor"), n),
+    }
+
+
+def checked(p: DataFrame, facts: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """Findings of the checks that look at a position's aggregates: all of one row at once, so positions are read once.
+
+    Few distinct authors (spellings one edit apart are one, each card without an author counts
+    alone), a single card, no qualification and no publication, no or thin read text, and a
+    newest card three years or more behind the corpus.
+    """
+    checks = _position_checks()
+    rows = p
+    if kinds is None or "recency_decay" in kinds:
+        rows = p.crossJoin(F.broadcast(facts.agg(F.max("cite_year").alias("corpus"))))  # one row
+    found = [F.when(sev.isNotNull(), F.struct(F.lit(k).alias("kind"), sev.alias("severity"), c.cast("bigint").alias("cards"))) for k, (sev, c) in checks.items() if kinds is None or k in kinds]
+    rows = rows.select("node_id", "title", F.explode(F.array_compact(F.array(*found))).alias("f"))
+    return rows.select("f.kind", "f.severity", "node_id", "title", F.lit(1.0).alias("confidence"), "f.cards")
 
 
 def power_tagging(places: DataFrame, facts: DataFrame) -> DataFrame:
@@ -195,7 +196,7 @@ def duplicate_bloat(duplicates: DataFrame, ids: DataFrame | None = None) -> Data
 
 
 def first_findings(findings: DataFrame) -> DataFrame:
-    """Of findings with the same kind and title, the first by severity, confidence and node."""
+    """Of findings about the corpus with the same kind and title, the first by severity, confidence and node."""
     order = [F.desc(severity_rank()), F.desc("confidence"), "node_id"]
     return findings.withColumn("_k", F.row_number().over(W.partitionBy("kind", "title").orderBy(*order))).where("_k = 1").drop("_k")
 
@@ -204,13 +205,25 @@ def severity_rank(c="severity"):
     return reduce(lambda e, kv: e.when(F.col(c) == kv[0], kv[1]), SEVERITY_RANK.items(), F.when(F.lit(False), 0))
 
 
-def position_findings(places: DataFrame, p: DataFrame, facts: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All checks of positions."""
-    parts = [
-        source_concentration(p), single_card(p), qualification_gap(p), no_read_text(p), thin_read(p), recency_decay(p, facts), power_tagging(places, facts),
-        answer_gap(places, edges, nodes), unanswered_positions(places, p, edges),
-    ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+def position_findings(places: DataFrame, p: DataFrame, facts: DataFrame) -> DataFrame:
+    """All findings about positions, which are what scores count; each position keeps its own, and each card its overclaim."""
+    return checked(p, facts).unionByName(power_tagging(places, facts))
+
+
+def corpus_findings(places: DataFrame, p: DataFrame, facts: DataFrame, edges: DataFrame, nodes: DataFrame, templates: DataFrame, duplicates: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+    """Findings about the corpus, one per kind and title: unfilled sources, open attacks, unanswered positions, authors on both sides, recut cards.
+
+    ``duplicates``: edges (src, dst, retagged).  Those about no position have a null node_id.
+    """
+    whole = [F.lit(None).cast("string").alias("node_id")]
+    empty = templates.agg(F.count("*").alias("k"), F.sum("n").alias("cards")).where("k > 0")
+    empty = empty.select(F.lit("no_read_text").alias("kind"), F.lit("info").alias("severity"), *whole, F.concat(F.col("k").cast("string"), F.lit(" unfilled sources")).alias("title"), F.lit(1.0).alias("confidence"), "cards")
+    sides = self_contradiction(facts, scope)
+    sides = sides.select(F.lit("self_contradiction").alias("kind"), F.lit("major").alias("severity"), *whole, F.concat_ws(": ", "owner", "author").alias("title"), F.lit(1.0).alias("confidence"), (F.col("aff") + F.col("neg")).alias("cards"))
+    bloat = duplicate_bloat(duplicates)
+    bloat = bloat.select(F.lit("duplicate_bloat").alias("kind"), F.lit("minor").alias("severity"), *whole, F.concat(F.col("retagged").cast("string"), F.lit(" pairs under other tags")).alias("title"), F.lit(1.0).alias("confidence"), F.col("edges").alias("cards"))
+    parts = [answer_gap(places, edges, nodes), unanswered_positions(places, p, edges), empty, sides, bloat]
+    return first_findings(reduce(lambda a, b: a.unionByName(b), parts))
 
 
 def scores(p: DataFrame, findings: DataFrame) -> DataFrame:
@@ -231,7 +244,7 @@ def capped(findings: DataFrame, by: str = "kind", most: int = 5) -> DataFrame:
     order = [F.desc(severity_rank()), F.desc("confidence"), "title", "node_id"]
     total = findings.groupBy(by).agg(F.count("*").alias("total"))
     first = findings.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("place") <= most)
-    return first.join(F.broadcast(total), by).withColumn("hidden", F.greatest(F.col("total") - most, F.lit(0)))
+    return first.join(total, by).withColumn("hidden", F.greatest(F.col("total") - most, F.lit(0)))
 
 
 def ground(findings: DataFrame, cards: DataFrame) -> DataFrame:

@@ -101,16 +101,21 @@ def ask(provider: Provider, prompt: str, usable: Callable[[object], bool], tries
     return None
 
 
+def _asked(prompts: DataFrame) -> list:
+    """The prompts, or an error where there are more than a person would ask about: none is dropped."""
+    asked = prompts.orderBy("node_id").limit(MOST_CALLS + 1).collect()
+    if len(asked) > MOST_CALLS:
+        raise ValueError(f"no more than {MOST_CALLS} positions are asked about at once")
+    return asked
+
+
 def critique(spark: SparkSession, prompts: DataFrame, provider: Provider, kinds: set[str], instruction: str) -> DataFrame:
     """Findings (finding_id, node_id, kind, severity, title, confidence, labels, quotes, shown) that a model reports; unknown kinds are left out.
 
     Feed the result to ``checks.ground``.
     """
     rows = []
-    asked = prompts.orderBy("node_id").limit(MOST_CALLS + 1).collect()
-    if len(asked) > MOST_CALLS:
-        raise ValueError(f"no more than {MOST_CALLS} positions are asked about at once")
-    for p in asked:
+    for p in _asked(prompts):
         value = ask(provider, f"{instruction}\n\n{p['text']}", lambda v: isinstance(v, dict) and isinstance(v.get("findings"), list))
         found, _ = salvage(value, "findings", ("kind", "title"))
         for i, f in enumerate(x for x in found if x["kind"] in kinds):
@@ -123,7 +128,7 @@ def critique(spark: SparkSession, prompts: DataFrame, provider: Provider, kinds:
 def chains(spark: SparkSession, prompts: DataFrame, provider: Provider, instruction: str) -> DataFrame:
     """Steps (position, step, claim, status) of argument chains; a supported step without a label that was shown is missing."""
     rows = []
-    for p in prompts.orderBy("node_id").limit(MOST_CALLS).collect():
+    for p in _asked(prompts):
         value = ask(provider, f"{instruction}\n\n{p['text']}", lambda v: isinstance(v, dict) and isinstance(v.get("chain"), list))
         steps, _ = salvage(value, "chain", ("claim", "status"))
         for i, s in enumerate(steps, 1):

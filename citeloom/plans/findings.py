@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import text as T
 from citeloom.operators import checks, graph
+from citeloom.plans import graphs
 from citeloom.plans.evidence import _BLANK, _CARDS, _RR
 from citeloom.plans.graphs import target_sql
 from citeloom.plans.registry import cards, query
+from citeloom.staging import stage
 
 _COLS = ("source_id", "source_path", "path", "side", "cite_year", "tag", "read_ratio", "read_text", "body", "disclosed_only", "cite_author", "cite_raw", "cite_pub")
 _H, _S, _Q = T.HEDGE, T.STRONG_CLAIM, T.QUALIFICATION
@@ -26,11 +28,14 @@ _FACTS = f"""f AS (SELECT card_id, source_id, source_path, path, side, cite_year
 _PER = "p AS (SELECT node_id, title, count(*) AS n, count(*) FILTER (unqualified) AS unq, count(*) FILTER (NOT disclosed AND unread) AS unread, count(*) FILTER (NOT disclosed AND NOT unread AND rr > 0 AND rr < 0.12) AS thin, max(cite_year) AS newest FROM loc GROUP BY ALL)"
 
 
+def card_facts(spark, d):
+    """Facts of distinct cards: texts become flags first, so it is narrow rows whose repeats are removed."""
+    return checks.card_facts(spark.read.parquet(f"{d}/cards.parquet").select("card_id", *_COLS)).distinct()
+
+
 def _inputs(spark, d):
     nodes = spark.read.parquet(f"{d}/nodes.parquet")
-    facts = checks.card_facts(cards(spark, d, *_COLS))
-    places = checks.positions(nodes)
-    return nodes, places, facts
+    return nodes, checks.positions(nodes), stage(card_facts(spark, d), "facts")
 
 
 def _slim(findings):
@@ -49,11 +54,7 @@ def position_checks(spark, d):
     """Q-2, Q-4 to Q-7, A5, A7, J6: checks that one grouped pass over positions answers."""
     _, places, facts = _inputs(spark, d)
     p = checks.position_facts(places, facts)
-    parts = [checks.single_card(p), checks.qualification_gap(p), checks.no_read_text(p), checks.thin_read(p), checks.recency_decay(p, facts)]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return _slim(out)
+    return _slim(checks.checked(p, facts, ["single_card_contention", "qualification_gap", "no_read_text", "thin_read", "recency_decay"]))
 
 
 @query(f"WITH {_FACTS} SELECT 'power_tagging' AS kind, CASE WHEN overclaims > 1 OR unread THEN 'major' ELSE 'minor' END AS severity, node_id FROM loc WHERE overclaims > 0")
@@ -71,14 +72,14 @@ def finding_cards(spark, d):
     """Q-5, Q-6: the cards that findings about read text speak of, as rows."""
     _, places, facts = _inputs(spark, d)
     p = checks.position_facts(places, facts)
-    return checks.finding_cards(checks.no_read_text(p).unionByName(checks.thin_read(p)), places, facts)
+    return checks.finding_cards(checks.checked(p, facts, ["no_read_text", "thin_read"]), places, facts)
 
 
 @query()
 def source_concentration(spark, d):
     """Q-1, A3, F12, F13: positions that rest on few authors, whose spellings are merged."""
     _, places, facts = _inputs(spark, d)
-    return _slim(checks.source_concentration(checks.position_facts(places, facts)))
+    return _slim(checks.checked(checks.position_facts(places, facts), facts, ["source_concentration"]))
 
 
 @query(
@@ -111,34 +112,59 @@ def unanswered_positions(spark, d):
 )
 def self_contradiction(spark, d):
     """Q-11, J16: owners who read one author on both sides."""
-    return checks.self_contradiction(checks.card_facts(cards(spark, d, *_COLS)))
+    return checks.self_contradiction(card_facts(spark, d))
 
 
-@query()
+@query(f"WITH e AS ({graphs.DUPLICATES}) SELECT count(*) AS edges, count(*) FILTER (retagged) AS retagged FROM e HAVING count(*) >= 3 AND count(*) FILTER (retagged) >= 2")
 def duplicate_bloat(spark, d):
     """Q-12: whether a corpus keeps many recut cards under other tags."""
     e = graph.duplicate_edges(cards(spark, d, "tag", "cite_author", "cite_year", "read_text"))
     return checks.duplicate_bloat(e)
 
 
-def _all_findings(spark, d):
-    nodes, places, facts = _inputs(spark, d)
-    p = checks.position_facts(places, facts)
-    return p, checks.position_findings(places, p, facts, spark.read.parquet(f"{d}/relate.parquet"), nodes)
+def _scored(spark, d):
+    """(nodes, places, facts, p, findings of positions, template sources), without the positions of templates."""
+    nodes = spark.read.parquet(f"{d}/nodes.parquet")
+    facts = stage(card_facts(spark, d), "facts")
+    flags = spark.read.parquet(f"{d}/cards.parquet").select("card_id", "source_id", F.when(~T.blank(F.col("body")), "x").alias("body")).distinct()
+    templates = stage(checks.template_sources(flags, spark.read.parquet(f"{d}/sources.parquet")), "templates")
+    places = checks.positions(nodes, None, templates)
+    p = stage(checks.position_facts(places, facts), "positions")
+    return nodes, places, facts, p, checks.position_findings(places, p, facts), templates
 
 
 @query()
 def position_scores(spark, d):
-    """Q-13 to Q-16, A6, A9, L4: support, exposure and priority of every position."""
-    p, findings = _all_findings(spark, d)
+    """Q-13 to Q-16, A6, A9, L4: support, exposure and priority of every position, by the findings about positions alone."""
+    _, _, _, p, findings, _ = _scored(spark, d)
     return checks.scores(p, findings)
 
 
+_TEMPLATES = f"""tm AS (SELECT source_id FROM {_CARDS} JOIN (SELECT DISTINCT source_id FROM sources) USING (source_id) GROUP BY source_id HAVING count(*) >= 3 AND count(*) FILTER ({_BLANK.format("body")}) / count(*) >= 0.9)"""
+
+
+@query(
+    f"""WITH {_FACTS}, {_TEMPLATES}, lo AS (SELECT * FROM loc WHERE source_id IS NULL OR source_id NOT IN (SELECT source_id FROM tm)), c AS (SELECT max(cite_year) AS corpus FROM f),
+    p AS (SELECT node_id, count(*) AS n, count(*) FILTER (unqualified) AS unq, count(*) FILTER (NOT disclosed AND unread) AS unread, count(*) FILTER (NOT disclosed AND NOT unread AND rr > 0 AND rr < 0.12) AS thin, max(cite_year) AS newest FROM lo GROUP BY node_id),
+    x AS (SELECT node_id, CASE WHEN n = 1 THEN 0.45 END AS w FROM p UNION ALL SELECT node_id, CASE WHEN (n = 1 OR unq / n >= 0.75) AND n <= 2 THEN 0.45 ELSE 0.15 END FROM p WHERE unq > 0 AND (n = 1 OR unq / n >= 0.5)
+      UNION ALL SELECT node_id, 0.45 FROM p WHERE unread > 0 UNION ALL SELECT node_id, 0.15 FROM p WHERE thin > 0 UNION ALL SELECT node_id, CASE WHEN corpus - newest >= 6 THEN 0.45 ELSE 0.15 END FROM p, c WHERE corpus - newest >= 3
+      UNION ALL SELECT node_id, CASE WHEN overclaims > 1 OR unread THEN 0.45 ELSE 0.15 END FROM lo WHERE overclaims > 0),
+    r AS (SELECT node_id, sum(w) AS raw FROM x GROUP BY node_id)
+    SELECT node_id, n, round(1 - 1 / (1 + coalesce(raw, 0)), 3) AS exposure FROM p LEFT JOIN r USING (node_id)"""
+)
+def position_exposure(spark, d):
+    """Q-15, A9: how exposed every position is, by all findings about it but those on the concentration of authors."""
+    _, _, _, p, findings, _ = _scored(spark, d)
+    return checks.scores(p, findings.where("kind <> 'source_concentration'")).select("node_id", "n", "exposure")
+
+
 @query()
 def findings_report(spark, d):
-    """The first findings of every kind with how many are hidden (the cap is the feature)."""
-    _, findings = _all_findings(spark, d)
-    return checks.capped(checks.first_findings(findings)).select("kind", "place", "severity", "title", "hidden")
+    """W4, W5, A10, L3, Q-8, Q-12: the first findings of every kind, about positions and the corpus, with how many are hidden (the cap is the feature)."""
+    nodes, places, facts, p, findings, templates = _scored(spark, d)
+    duplicates = graph.duplicate_edges(cards(spark, d, "tag", "cite_author", "cite_year", "read_text"))
+    found = findings.unionByName(checks.corpus_findings(places, p, facts, spark.read.parquet(f"{d}/relate.parquet"), nodes, templates, duplicates))
+    return checks.capped(found).select("kind", "place", "severity", "title", "hidden")
 
 
 @query(
@@ -158,7 +184,7 @@ def scoped_positions(spark, d):
 def position_sides(spark, d):
     """The most frequent known side of a position; of equal ones the one of the smallest card."""
     _, places, facts = _inputs(spark, d)
-    at = places.join(facts.drop("title"), ["source_id", "path"]).where("side is not null and side <> 'unknown'")
+    at = places.join(facts, ["source_id", "path"]).where("side is not null and side <> 'unknown'")
     per = at.groupBy("node_id", "side").agg(F.count("*").alias("n"), F.min("card_id").alias("first"))
     from pyspark.sql import Window as W
 

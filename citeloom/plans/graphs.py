@@ -50,13 +50,14 @@ def answer_edges(spark, d):
     return graph.answer_edges(spark.read.parquet(f"{d}/nodes.parquet"))
 
 
-@query(
-    rf"""WITH c AS (SELECT DISTINCT ON (card_id) card_id, lower(trim(tag)) AS tag, lower(trim(cite_author)) AS author, cite_year, string_split({normal_sql("read_text")}, ' ') AS w FROM cards WHERE cite_author IS NOT NULL AND cite_year IS NOT NULL ORDER BY card_id),
+DUPLICATES = rf"""WITH c AS (SELECT DISTINCT ON (card_id) card_id, lower(trim(tag)) AS tag, lower(trim(cite_author)) AS author, cite_year, string_split({normal_sql("read_text")}, ' ') AS w FROM cards WHERE cite_author IS NOT NULL AND cite_year IS NOT NULL ORDER BY card_id),
     s AS (SELECT card_id, tag, author, cite_year, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM c WHERE w[1] <> ''),
     e AS (SELECT card_id, author, cite_year, len(s) AS n, unnest(s) AS x FROM s),
     p AS (SELECT a.card_id AS src, b.card_id AS dst, a.n AS n, b.n AS m, count(*) AS k FROM e a JOIN e b ON a.author = b.author AND a.cite_year = b.cite_year AND a.x = b.x AND a.card_id < b.card_id GROUP BY ALL)
     SELECT src, dst, round(k / least(n, m), 3) AS confidence, (ta.tag IS DISTINCT FROM tb.tag) AS retagged FROM p JOIN s ta ON ta.card_id = src JOIN s tb ON tb.card_id = dst WHERE k / least(n, m) >= 0.8"""
-)
+
+
+@query(DUPLICATES)
 def duplicate_edges(spark, d):
     """Recut cards of one author and year."""
     return graph.duplicate_edges(cards(spark, d, "tag", "cite_author", "cite_year", "read_text"))

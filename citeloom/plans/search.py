@@ -126,7 +126,6 @@ def smart_search(spark, d):
 
 @query()
 def quote_verification(spark, d):
-    """Whether the opening words of a card's read text hold as a quotation of its body."""
+    """Whether a card's whole read text holds as a quotation of its body."""
     own = cards(spark, d, "read_text", "body").where("read_text <> '' and body is not null")
-    quote = F.array_join(F.slice(F.split("read_text", " "), 1, 12), " ")
-    return own.select("card_id", T.quote_holds(quote, F.col("body")).alias("holds")).groupBy("holds").agg(F.count("*").alias("cards"))
+    return own.select("card_id", T.quote_holds(F.col("read_text"), F.col("body")).alias("holds")).groupBy("holds").agg(F.count("*").alias("cards"))

@@ -1,7 +1,7 @@
 """Cutting lineage through tables in a folder that all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``.  Where that is unset, as in
-tests, one is made under the system's temporary folder and set on the session.
+The folder is the session's ``spark.checkpoint.dir``.  Where that is unset, a local
+session, as in tests, gets one under the system's temporary folder, and a cluster an error.
 Staged tables are plain Parquet, so a lost executor never loses them.
 """
 
@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if current is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="citeloom-"))
         current = sc.getCheckpointDir()
     return current

@@ -136,7 +136,9 @@ def position(spark, cards, extra_nodes=(), edges=()):
     places = checks.positions(nodes)
     p = checks.position_facts(places, facts)
     e = spark.createDataFrame(list(edges), "src_node_id string, dst_node_id string, kind string")
-    found = checks.position_findings(places, p, facts, e, nodes)
+    none = spark.createDataFrame([], "src string, dst string, retagged boolean")
+    empty = spark.createDataFrame([], "source_id string, n bigint")
+    found = checks.position_findings(places, p, facts).unionByName(checks.corpus_findings(places, p, facts, e, nodes, empty, none))
     return p, found, {r.kind: r.severity for r in found.collect()}
 
 

@@ -6,13 +6,11 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from citeloom.functions.text import vector_text
 from citeloom.operators import retrieval, store
 
 #: Format of stored indexes; another one is fitted anew.
-FORMAT = 1
+FORMAT = 2
 
 
 def _fs(spark: SparkSession, path: str):
@@ -26,16 +24,16 @@ def corpus_mark(cards: DataFrame) -> str:
 
 
 def fit(cards: DataFrame) -> DataFrame:
-    """(card_id, term, w) of all cards."""
-    texts = cards.select("card_id", vector_text(F.col("tag"), F.col("read_text"), F.col("body")).alias("text"))
-    return retrieval.tfidf_vectors(texts, "card_id", "text")
+    """(card_id, term, w, idf) of all cards."""
+    return retrieval.corpus_vectors(cards)
 
 
 def save(vectors: DataFrame, folder: str, mark: str) -> None:
     """Write a new version and then the manifest that names it, so a reader never sees half an index."""
     spark = vectors.sparkSession
     version = uuid.uuid4().hex
-    vectors.write.parquet(f"{folder}/{version}")
+    # rows of a term lie together, so that a search skips the row groups without its terms
+    vectors.repartition("term").sortWithinPartitions("term").write.parquet(f"{folder}/{version}")
     manifest, fs = _fs(spark, f"{folder}/manifest.json")
     part, _ = _fs(spark, f"{folder}/manifest.{version}")
     out = fs.create(part, True)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as T
+from citeloom.operators import index
 from citeloom.operators import retrieval as R
 from citeloom.plans.evidence import _CARDS, NOW, SLOW
 from citeloom.plans.registry import cards, query
-from citeloom.staging import stage
+from citeloom.staging import shared_dir, stage
 
 QUERY = "carbon sinks OR interest rates"
 _TERMS = {"carbon": 0, "sinks": 1, "interest": 2, "rates": 3}
@@ -41,6 +44,11 @@ def corpus(spark, d, *columns):
     return stage(cards(spark, d, *_COLS, *columns), "corpus")
 
 
+def fitted(spark, d, own):
+    """The stored vectors of the corpus: fitted by the first search, and taken by the others while the corpus is the same."""
+    return index.current(own, f"{shared_dir(spark).rstrip('/')}/index-{zlib.crc32(str(d).encode()):08x}")
+
+
 @query(bm25_sql("(tf0 > 0 AND tf1 > 0) OR (tf2 > 0 AND tf3 > 0)", 25))
 def bm25_topk(spark, d):
     """The 25 best cards for a query, by BM25 with weighted fields (top-k is the feature)."""
@@ -51,7 +59,7 @@ def bm25_topk(spark, d):
 def flagship_hits(spark, d):
     """Hybrid hits with match labels, source, traceability and freshness."""
     own = corpus(spark, d, "source_id", "disclosed_only")
-    hits = R.hybrid_search(own, QUERY, 25)
+    hits = R.hybrid_search(own, QUERY, 25, vectors=fitted(spark, d, own))
     s = spark.read.parquet(f"{d}/sources.parquet").select("source_id", F.col("title").alias("source_title"), "origin", "fetched_at", "last_refresh_failed_at")
     rows = hits.join(own, "card_id").join(s, "source_id", "left")
     terms = T.matched_terms(QUERY, F.col("tag"), F.col("read_text"), F.col("cite_raw"))
@@ -68,8 +76,7 @@ def flagship_hits(spark, d):
 def tfidf_topk(spark, d):
     """The 25 cards nearest to every stated card (number divisible by 20) by TF-IDF cosine, against all cards."""
     own = corpus(spark, d)
-    vec = R.tfidf_vectors(own.select("card_id", T.vector_text(F.col("tag"), F.col("read_text"), F.col("body")).alias("text")), "card_id", "text")
-    vec = stage(vec, "vectors")
+    vec = fitted(spark, d, own)
     q = vec.where(stated(F.col("card_id"))).select(F.col("card_id").alias("q"), "term", "w")
     near = R.sparse_cosine(vec, q, "card_id", "q").where("score > 0.03 and card_id <> q")
     return R.top_per(near, "q", "card_id", 25).select("q", "card_id", F.round("score", 6).alias("score"), "rank")
@@ -121,7 +128,7 @@ def rrf_fusion(spark, d):
 def smart_search(spark, d):
     """A conversational request, its variants searched and fused."""
     own = corpus(spark, d, "side", "cite_year")
-    return R.smart_search(own, "please find negative cards from 2015 about household savings", 25).select("card_id", F.round("score", 6).alias("score"), "confidence", F.array_join("variants", ",").alias("variants"))
+    return R.smart_search(own, "please find negative cards from 2015 about household savings", 25, vectors=fitted(spark, d, own)).select("card_id", F.round("score", 6).alias("score"), "confidence", F.array_join("variants", ",").alias("variants"))
 
 
 @query()

@@ -109,13 +109,13 @@ def test_small_pool_filter(spark):
         ("between 2015 and 2010 reefs", "reefs", {"year_min": 2010, "year_max": 2015}), ("reefs", "reefs", {}), ("aff side ports before 2001", "ports", {"side": "aff", "year_max": 2001}),
     ],
 )
-def test_smart_request(text, plain, filters):
-    assert retrieval.smart_request(text) == (plain, filters)
+def test_smart_request(spark, text, plain, filters):
+    assert retrieval.smart_request(spark, text) == (plain, filters)
 
 
 def test_variants_and_fusion(spark):
-    assert retrieval.query_variants("Find cards about nuclear costs") == ["Find cards about nuclear costs", "nuclear costs", "reactor costs", "nuclear cost"]
-    assert retrieval.query_variants("  ") == []
+    assert retrieval.query_variants(spark, "Find cards about nuclear costs") == ["Find cards about nuclear costs", "nuclear costs", "reactor costs", "nuclear cost"]
+    assert retrieval.query_variants(spark, "  ") == []
     h = spark.createDataFrame([(0, "a", 1.0, "low", 0), (1, "a", 1.35, "high", 2), (0, "b", 1.5, "m", 1)], "variant int, card_id string, score double, confidence string, strength int")
     got = [(r.card_id, round(r.score, 6), r.confidence, r.variants) for r in retrieval.fuse_variants(h, "card_id").collect()]
     assert got == [("a", 2.0, "high", [0, 1]), ("b", 1.5, "m", [0])]

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citeloom.functions import text as T
+from citeloom.skew import lookup_join
 from citeloom.staging import stage
 
 
@@ -38,26 +39,54 @@ def answer_edges(nodes: DataFrame, least: float = 0.45, most: int = 8) -> DataFr
     return ranked.select("src", "dst", F.round("s", 3).alias("confidence"), "target")
 
 
-def duplicate_edges(cards: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
+#: Cards of exactly one set of shingles up to which all their pairs are edges; beyond, each has an edge to the first.
+MOST_COPIES = 32
+#: Rows of one shingle that one task joins.
+ROWS_A_TASK = 2_000
+
+
+def duplicate_edges(cards: DataFrame, least: float = 0.8, width: int = 5, most_copies: int | None = MOST_COPIES) -> DataFrame:
     """(src, dst, confidence, retagged): cards of one author and year whose read texts overlap.
 
-    Overlap is the share of the smaller text's distinct shingles.  Cards with a common
-    shingle in a block meet; texts without any never do.  Cards with equal texts are one
-    class and are paired with the class's first card only where the class is large.
+    Overlap is the share of the smaller set's distinct shingles.  Cards with equal sets are
+    one class, which is compared once.  Two sets that overlap enough share one of the rarest
+    ``(1 - least)`` of the smaller one's shingles, so only these are looked up, and rows of a
+    frequent shingle are spread.  Of classes with more than ``most_copies`` cards each card
+    has an edge to the class's first card, which alone has edges to other classes; None lists
+    every pair.
     """
     key = F.struct(F.lower(F.trim("cite_author")).alias("author"), F.col("cite_year").alias("year"))
-    base = cards.where("cite_author is not null and cite_year is not null").select("card_id", "tag", key.alias("block"), F.split(T.normalize_title(F.col("read_text")), " ").alias("words"))
+    base = cards.where("cite_author is not null and cite_year is not null").select("card_id", F.lower(F.trim("tag")).alias("tag"), F.xxhash64(key).alias("block"), F.split(T.normalize_title(F.col("read_text")), " ").alias("words"))
     base = stage(base.where(F.size("words") > 0).where(F.col("words")[0] != ""), "dup-words")
     # written out between the steps: otherwise the text is split again for every shingle
-    sh = stage(base.select("card_id", "block", T.shingles(F.col("words"), width).alias("s")).withColumn("n", F.size("s")), "dup-shingles")
-    each = sh.select("card_id", "block", "n", F.explode("s").alias("s"))
-    each = each.select("card_id", "n", F.xxhash64("block", "s").alias("h"))
-    other = each.select(F.col("card_id").alias("dst"), F.col("n").alias("m"), "h")
-    shared = each.withColumnRenamed("card_id", "src").join(other, "h").where("src < dst").groupBy("src", "dst", "n", "m").agg(F.count("*").alias("both"))
-    pairs = shared.withColumn("c", F.col("both") / F.least("n", "m")).where(F.col("c") >= least)
-    tags = cards.select("card_id", F.lower(F.trim("tag")).alias("tag"))
-    out = pairs.join(tags.select(F.col("card_id").alias("src"), F.col("tag").alias("ta")), "src").join(tags.select(F.col("card_id").alias("dst"), F.col("tag").alias("tb")), "dst")
-    return out.select("src", "dst", F.round("c", 3).alias("confidence"), (~F.col("ta").eqNullSafe(F.col("tb"))).alias("retagged"))
+    sh = base.select("card_id", "tag", F.array_sort(F.array_distinct(F.transform(T.shingles(F.col("words"), width), lambda x: F.xxhash64("block", x)))).alias("s"))
+    sh = stage(sh.withColumn("class", F.concat_ws("-", F.size("s").cast("string"), F.xxhash64("s").cast("string"), F.xxhash64(F.reverse("s")).cast("string"))), "dup-shingles")
+    classes = stage(sh.groupBy("class").agg(F.min("card_id").alias("first"), F.count("*").alias("copies"), F.first("s").alias("s")).withColumn("n", F.size("s")), "dup-classes")
+    each = classes.select("class", "n", F.explode("s").alias("h"))
+    df = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    rare = lookup_join(each, df, ["h"]).groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("t"))
+    # shingles that occur once come first and can't be shared
+    room = F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("t"))
+    prefix = rare.where(room > 0).select("class", "n", F.explode(F.slice("t", F.lit(1), room.cast("int"))).alias("x")).select("class", "n", "x.h")
+    prefix = stage(prefix, "dup-prefix")
+    salts = F.broadcast(prefix.groupBy("h").agg(F.ceil(F.count("*") / ROWS_A_TASK).cast("int").alias("salts")).where("salts > 1"))
+    small = prefix.join(salts, "h", "left").select("h", F.col("class").alias("a"), "n", F.pmod(F.xxhash64("class"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    other = each.join(salts, "h", "left").select("h", F.col("class").alias("b"), F.col("n").alias("m"), F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    cand = stage(small.join(other, ["h", "salt"]).where((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))).select("a", "b").distinct(), "dup-candidates")
+    sets = classes.select("class", "s", "n")
+    both = lookup_join(lookup_join(cand, sets.select(F.col("class").alias("a"), F.col("s").alias("sa"), "n"), ["a"]), sets.select(F.col("class").alias("b"), F.col("s").alias("sb")), ["b"])
+    near = both.select("a", "b", (F.size(F.array_intersect("sa", "sb")) / F.col("n")).alias("c")).where(F.col("c") >= least)
+    several = classes.where("copies > 1").select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("c"))
+    listed = lookup_join(sh.select("card_id", "tag", "class"), classes.select("class", "first", "copies"), ["class"])
+    listed = stage(listed.withColumn("all", F.lit(True) if most_copies is None else F.col("copies") <= most_copies), "dup-listed")
+    own = listed.where(F.col("all") | (F.col("card_id") == F.col("first"))).select("card_id", "tag", "class")
+    left = own.select(F.col("class").alias("a"), F.col("card_id").alias("x"), F.col("tag").alias("tx"))
+    right = own.select(F.col("class").alias("b"), F.col("card_id").alias("y"), F.col("tag").alias("ty"))
+    pairs = near.unionByName(several).join(left, "a").join(right, "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y"))).select("x", "y", "tx", "ty", "c")
+    first = listed.where(F.col("card_id") == F.col("first")).select("class", F.col("card_id").alias("x"), F.col("tag").alias("tx"))
+    stars = lookup_join(listed.where(~F.col("all") & (F.col("card_id") != F.col("first"))), first, ["class"]).select("x", F.col("card_id").alias("y"), "tx", F.col("tag").alias("ty"), F.lit(1.0).alias("c"))
+    out = pairs.unionByName(stars)
+    return out.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), F.round("c", 3).alias("confidence"), (~F.col("tx").eqNullSafe(F.col("ty"))).alias("retagged"))
 
 
 def duplicates_both_ways(edges: DataFrame) -> DataFrame:

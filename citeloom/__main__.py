@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from citeloom.operators import checks, graph, retrieval
 from citeloom.session import local_session, table
+from citeloom.sources import cards as ingest_cards
 from citeloom.sources import bundle, dataset, files, packet
 
 
@@ -64,6 +65,12 @@ def build() -> argparse.ArgumentParser:
     s.add_argument("out")
     s.add_argument("--source-id", default="dataset")
     s.add_argument("--limit", type=int)
+    s = add("ingest", "files as cards: of a folder, of the ZIP files in it, or of a git repository")
+    s.add_argument("out")
+    s.add_argument("--adapter", choices=("local", "zip", "git"), default="local")
+    s.add_argument("--url", help="repository to clone into the folder")
+    s.add_argument("--force", action="store_true", help="also files whose source has cards")
+    s.add_argument("--limit", type=int, default=0)
     s = add("scan", "files that can be parsed")
     s.add_argument("--limit", type=int, default=0)
     s = add("bundle-export", "a bundle of the tables")
@@ -91,6 +98,16 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         print(json.dumps({"tables": sorted(tables), "dropped_pins": dropped}))
     elif a.command == "scan":
         files.scan(spark, a.folder, a.limit).select("path", "source_id", "kind", "length").show(1_000, False)
+    elif a.command == "ingest":
+        if a.adapter == "git" and not a.url:
+            parser.error("git needs --url")
+        if a.adapter == "zip":
+            found = files.archive_members(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(a.folder).select("path", "content"), a.limit)
+        else:
+            found = files.scan(spark, a.folder, a.limit) if a.adapter == "local" else files.git_files(spark, a.url, a.folder)
+        n, left_out = ingest_cards.ingest(found, a.out, a.force)
+        print(json.dumps({"cards": n}))
+        left_out.orderBy("source_path").show(1_000, False)
     elif a.command == "ingest-dataset":
         dataset.to_cards(dataset.filter_rows(dataset.read_rows(spark, a.rows), limit=a.limit), a.source_id).write.mode("append").parquet(a.out)
     elif a.command == "bundle-export":

@@ -133,8 +133,10 @@ def sections(paragraphs: DataFrame) -> DataFrame:
 
     Level 1-3 are headings, level 4 is a card's tag, null is body text.  A heading ends
     deeper headings.  The first body paragraph of a card is its cite.  Returns (doc,
-    card_no, tag, path, cite, body).
+    card_no, tag, path, cite, body), and read_text and emphasis_text where paragraphs have
+    them: those of the body, line by line.
     """
+    marked = [c for c in ("read_text", "emphasis_text") if c in paragraphs.columns]
     w = W.partitionBy("doc").orderBy("ordinal").rowsBetween(W.unboundedPreceding, 0)
     rows = paragraphs.withColumn("card_no", F.sum((F.coalesce("level", F.lit(0)) == 4).cast("int")).over(w))
     for k in (1, 2, 3):
@@ -145,7 +147,9 @@ def sections(paragraphs: DataFrame) -> DataFrame:
     last_heading = F.max(F.when(F.col("level") < 4, F.col("ordinal"))).over(w)
     tag_at = F.max(F.when(F.col("level") == 4, F.col("ordinal"))).over(w)
     inside = rows.withColumn("inside", F.coalesce(last_heading, F.lit(-1)) < tag_at).where("inside and (level is null or level = 4)")
-    body = F.array_sort(F.collect_list(F.when(F.col("level").isNull(), F.struct("ordinal", "text"))))
+    body = F.array_sort(F.collect_list(F.when(F.col("level").isNull(), F.struct("ordinal", "text", *marked))))
     cards = inside.groupBy("doc", "card_no").agg(F.max(F.when(F.col("level") == 4, F.col("text"))).alias("tag"), F.max(F.when(F.col("level") == 4, F.col("path"))).alias("path"), body.alias("b"))
     lines = F.transform("b", lambda x: x["text"])
-    return cards.select("doc", "card_no", "tag", "path", F.try_element_at(lines, F.lit(1)).alias("cite"), F.array_join(F.slice(lines, 2, 1_000_000), "\n").alias("body"))
+    rest = F.slice("b", 2, 1_000_000)
+    extra = [F.array_join(F.filter(rest.getField(c), lambda t: t != ""), "\n").alias(c) for c in marked]
+    return cards.select("doc", "card_no", "tag", "path", F.try_element_at(lines, F.lit(1)).alias("cite"), F.array_join(F.slice(lines, 2, 1_000_000), "\n").alias("body"), *extra)

@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 LIVE_STATES = ("queued", "discovering", "importing", "cancelling")
 
 
+def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``, or None where there is none yet."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = fs.exists(place) and any(not f.getPath().getName().startswith(("_", ".")) for f in fs.listStatus(place))
+    return spark.read.parquet(path) if there else None
+
+
 def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """The incoming rows whose key is new, once each; null keys are left out."""
     return incoming.where(F.col(key).isNotNull()).dropDuplicates([key]).join(existing.select(key), key, "left_anti").select(*incoming.columns)

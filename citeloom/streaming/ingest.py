@@ -24,12 +24,8 @@ def import_stream(spark: SparkSession, folder: str, cards_path: str, checkpoint:
 
     def add(batch: DataFrame, _: int):
         cards = dataset.to_cards(dataset.filter_rows(batch, **conditions), source_id)
-        try:
-            known = batch.sparkSession.read.parquet(cards_path).select("card_id")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = cards.select("card_id").limit(0)
+        table = store.read_or_none(batch.sparkSession, cards_path)
+        known = cards.select("card_id").limit(0) if table is None else table.select("card_id")
         store.insert_if_absent(known, cards, "card_id").write.mode("append").parquet(cards_path)
 
     writer = dataset_stream(spark, folder).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)

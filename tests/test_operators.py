@@ -276,6 +276,27 @@ def test_documents(spark):
     assert rows(files.health(documents.read_docx(df.where("source_id = 's'"))), "runs", "marked", "unmarked") == [(7, 2, False)]
 
 
+def test_files_become_cards(spark, tmp_path, capsys):
+    from citeloom.__main__ import main
+
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.docx").write_bytes(docx_bytes())
+    (src / "bad.docx").write_bytes(b"nonsense")
+    (src / "page.htm").write_bytes(b'<html class="wiki"><h4 class="title">Entry</h4><h4 class="wikigeneratedheader">Wiki tag</h4><p>Ann Example 2001<br/>First words</p><p>AND</p><p>last words</p></html>')
+    (src / "other.html").write_bytes(b"<html><p>x</p></html>")
+    out = str(tmp_path / "cards")
+    assert main(["ingest", str(src), out], spark) == 0
+    got = {r.tag: r for r in spark.read.parquet(out).collect()}
+    assert set(got) == {"The tag", "Wiki tag"}
+    assert got["The tag"].cite_raw == "Ann 2001" and got["The tag"].read_text == "read one … read two" and got["The tag"].emphasis_text == "read two" and 0 < got["The tag"].read_ratio < 1 and not got["The tag"].disclosed_only
+    w = got["Wiki tag"]
+    assert (w.cite_raw, w.cite_year, w.body, w.read_text, w.path, w.disclosed_only) == ("Ann Example 2001", 2001, "First words … last words", "First words … last words", ["Entry"], True)
+    shown = capsys.readouterr().out
+    assert '{"cards": 2}' in shown and "unreadable" in shown and "no wiki page" in shown
+    assert main(["ingest", str(src), out], spark) == 0 and '{"cards": 0}' in capsys.readouterr().out and spark.read.parquet(out).count() == 2
+
+
 def test_wiki(spark):
     page = b'<html class="wiki"><h4 class="title">Entry</h4><h4 class="wikigeneratedheader">Tag &amp; more</h4><p>Ann 2001<br/>First words</p><p>AND</p></html>'
     df = spark.createDataFrame([("s", bytearray(page))], "source_id string, content binary")

@@ -420,10 +420,13 @@ def test_signatures_find_similar_lists():
     rng = random.Random(2)
     base = [rng.choices(WORDS, k=120) for _ in range(40)]
     near = [[*b[:60], "x", *b[60:]] for b in base]
-    rows, bands = subjects.signatures([*base, *near, ["one", "two"], []])
-    assert rows.tolist() == list(range(80)) and all(set(bands[i]) & set(bands[40 + i]) for i in range(40))
+    lists = [*base, *near, ["one", "two"], []]
+    rows, bands = subjects.signatures(len(lists), *subjects.shingles_of(*subjects.coded(lists)))
+    assert rows.tolist() == list(range(80)) and all(len(set(bands[i]) & set(bands[40 + i])) > 1 for i in range(40))
     assert sum(bool(set(bands[0]) & set(bands[i])) for i in range(1, 40)) == 0
-    assert len(subjects.signatures([])[0]) == 0
+    assert len(subjects.signatures(0, *subjects.shingles_of(*subjects.coded([])))[0]) == 0
+    for t in ("a-b -c d- 1-e f-2g x--y _h_i", "é-ü ‑ a‑b", "", "- -", "one\ttwo\u00a0three"):
+        assert subjects.terms_in(t) == subjects._TERM.findall(t)
 
 
 def test_queries_are_registered():

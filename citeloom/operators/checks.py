@@ -36,11 +36,11 @@ def clean_ratio(c="read_ratio"):
     return F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0))
 
 
-def card_facts(cards: DataFrame) -> DataFrame:
-    """Per card what the checks ask: flags, not texts."""
+def card_facts(cards: DataFrame, hedge: str = T.HEDGE, claim: str = T.STRONG_CLAIM) -> DataFrame:
+    """Per card what the checks ask: flags, not texts.  ``hedge`` and ``claim``: the words that hedge and that claim much."""
     rr = clean_ratio()
     tag, body, read = (F.coalesce(c, F.lit("")) for c in ("tag", "body", "read_text"))
-    hedge = "(?i)" + T.HEDGE
+    hedge = "(?i)" + hedge
     disclosed = F.coalesce("disclosed_only", F.lit(False))
     unread = T.blank(F.col("read_text"))
     reasons = F.array_compact(
@@ -56,7 +56,7 @@ def card_facts(cards: DataFrame) -> DataFrame:
         rr.alias("rr"), unread.alias("unread"), disclosed.alias("disclosed"),
         F.when(~T.blank(F.col("cite_author")), T.author_key(F.col("cite_author"))).alias("author"),
         (~F.coalesce("cite_raw", F.lit("")).rlike("(?i)" + T.QUALIFICATION) & T.blank(F.col("cite_pub"))).alias("unqualified"),
-        F.when(tag.rlike("(?i)" + T.STRONG_CLAIM), reasons).otherwise(F.array().cast("array<string>")).alias("overclaims"),
+        F.when(tag.rlike("(?i)" + claim), reasons).otherwise(F.array().cast("array<string>")).alias("overclaims"),
     )
 
 

@@ -13,7 +13,9 @@ from citeloom.plans.registry import cards, query
 from citeloom.staging import stage
 
 _COLS = ("source_id", "source_path", "path", "side", "cite_year", "tag", "read_ratio", "read_text", "body", "disclosed_only", "cite_author", "cite_raw", "cite_pub")
-_H, _S, _Q = T.HEDGE, T.STRONG_CLAIM, T.QUALIFICATION
+#: Words that claim much in the tags of these tables, where the usual ones don't occur.
+CLAIM = r"\b(undermines?|displaces?|outpaces?|offsets?|stabilises?|exposes?|constrains?|crowds? out)\b"
+_H, _S, _Q = T.HEDGE, CLAIM, T.QUALIFICATION
 #: Facts of cards and places of positions, as the SQL of several queries.
 _FACTS = f"""f AS (SELECT card_id, source_id, source_path, path, side, cite_year, {_RR} AS rr, {_BLANK.format("read_text")} AS unread, coalesce(disclosed_only, false) AS disclosed,
     NOT regexp_matches(coalesce(cite_raw, ''), '(?i){_Q}') AND {_BLANK.format("cite_pub")} AS unqualified, {_BLANK.format("cite_author")} AS anonymous,
@@ -30,7 +32,7 @@ _PER = "p AS (SELECT node_id, title, count(*) AS n, count(*) FILTER (unqualified
 
 def card_facts(spark, d):
     """Facts of distinct cards: texts become flags first, so it is narrow rows whose repeats are removed."""
-    return checks.card_facts(spark.read.parquet(f"{d}/cards.parquet").select("card_id", *_COLS)).distinct()
+    return checks.card_facts(spark.read.parquet(f"{d}/cards.parquet").select("card_id", *_COLS), claim=CLAIM).distinct()
 
 
 def _inputs(spark, d):

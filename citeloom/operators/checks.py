@@ -118,7 +118,7 @@ def finding_cards(findings: DataFrame, places: DataFrame, facts: DataFrame) -> D
     return rows.where(hit & ~F.col("kind").isin("answer_gap")).select("kind", "node_id", "card_id")
 
 
-def _position_checks() -> dict:
+def _position_checks(concentrated: float = 0.4) -> dict:
     """kind: (severity or null, cards) as expressions on a row of ``position_facts`` (with ``corpus``, the newest year of all, for recency)."""
     n = F.col("n")
     d = F.size(T.group_author_keys("authors")) + F.col("anonymous")
@@ -127,7 +127,7 @@ def _position_checks() -> dict:
     wide = (F.col("unqualified") > 0) & ((n == 1) | (share >= 0.75))
     lag = F.col("corpus") - F.col("newest")
     return {
-        "source_concentration": (F.when((n >= 3) & (few | (d / n <= 0.4)), F.when(few, "major").otherwise("minor")), n),
+        "source_concentration": (F.when((n >= 3) & (few | (d / n <= concentrated)), F.when(few, "major").otherwise("minor")), n),
         "single_card_contention": (F.when(n == 1, "major"), n),
         "qualification_gap": (F.when(wide, F.when(n <= 2, "major").otherwise("minor")).when(share >= 0.5, "minor"), F.col("unqualified")),
         "no_read_text": (F.when(F.col("unread") > 0, "major"), F.col("unread")),
@@ -136,14 +136,14 @@ def _position_checks() -> dict:
     }
 
 
-def checked(p: DataFrame, facts: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+def checked(p: DataFrame, facts: DataFrame, kinds: list[str] | None = None, concentrated: float = 0.4) -> DataFrame:
     """Findings of the checks that look at a position's aggregates: all of one row at once, so positions are read once.
 
-    Few distinct authors (spellings one edit apart are one, each card without an author counts
+    Few distinct authors, that is two or a share of ``concentrated`` (spellings one edit apart are one, each card without an author counts
     alone), a single card, no qualification and no publication, no or thin read text, and a
     newest card three years or more behind the corpus.
     """
-    checks = _position_checks()
+    checks = _position_checks(concentrated)
     rows = p
     if kinds is None or "recency_decay" in kinds:
         rows = p.crossJoin(F.broadcast(facts.agg(F.max("cite_year").alias("corpus"))))  # one row

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,22 +35,25 @@ def save(vectors: DataFrame, folder: str, mark: str) -> None:
     version = uuid.uuid4().hex
     # rows of a term lie together, so that a search skips the row groups without its terms
     vectors.repartition("term").sortWithinPartitions("term").write.parquet(f"{folder}/{version}")
-    manifest, fs = _fs(spark, f"{folder}/manifest.json")
-    part, _ = _fs(spark, f"{folder}/manifest.{version}")
+    # manifests are only ever added: a reader takes the newest that is whole, so there is no moment without one
+    name = f"manifest-{time.time_ns():020d}.json"
+    part, fs = _fs(spark, f"{folder}/.{name}")
     out = fs.create(part, True)
     out.write(bytearray(json.dumps({"format": FORMAT, "mark": mark, "version": version}).encode()))
     out.close()
-    fs.delete(manifest, False)
-    fs.rename(part, manifest)
+    fs.rename(part, _fs(spark, f"{folder}/{name}")[0])
 
 
 def load(spark: SparkSession, folder: str, mark: str) -> DataFrame | None:
-    """The stored vectors, or None where there are none, they are damaged, or the corpus is another."""
-    path, fs = _fs(spark, f"{folder}/manifest.json")
-    if not fs.exists(path):
+    """The stored vectors, or None where there are none, the newest is damaged, or the corpus is another."""
+    place, fs = _fs(spark, folder)
+    if not fs.exists(place):
+        return None
+    names = sorted(n for n in (f.getPath().getName() for f in fs.listStatus(place)) if n.startswith("manifest-"))
+    if not names:
         return None
     try:
-        m = json.loads("\n".join(r.value for r in spark.read.text(str(path)).collect()))
+        m = json.loads("\n".join(r.value for r in spark.read.text(f"{folder}/{names[-1]}").collect()))
         if m["format"] != FORMAT or m["mark"] != mark:
             return None
         found, _ = _fs(spark, f"{folder}/{m['version']}/_SUCCESS")

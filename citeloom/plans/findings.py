@@ -79,9 +79,9 @@ def finding_cards(spark, d):
 
 @query()
 def source_concentration(spark, d):
-    """Q-1, A3, F12, F13: positions that rest on few authors, whose spellings are merged."""
+    """Q-1, A3, F12, F13: positions that rest on few authors for their cards, whose spellings are merged."""
     _, places, facts = _inputs(spark, d)
-    return _slim(checks.checked(checks.position_facts(places, facts), facts, ["source_concentration"]))
+    return _slim(checks.checked(checks.position_facts(places, facts), facts, ["source_concentration"], concentrated=0.9))
 
 
 @query(

@@ -388,8 +388,11 @@ def test_index_and_reports(spark, tmp_path):
     v = index.current(d, folder)
     assert v.count() > 0 and index.load(spark, folder, index.corpus_mark(d)).count() == v.count()
     assert index.load(spark, folder, index.corpus_mark(d.limit(1))) is None
-    (tmp_path / "index" / "manifest.json").write_text("{")
-    (tmp_path / "index" / ".manifest.json.crc").unlink(missing_ok=True)
+    index.save(index.fit(d), folder, index.corpus_mark(d))  # a new version beside the old one
+    assert len(list((tmp_path / "index").glob("manifest-*.json"))) == 2 and index.load(spark, folder, index.corpus_mark(d)).count() == v.count()
+    newest = max((tmp_path / "index").glob("manifest-*.json"))
+    newest.write_text("{")
+    newest.with_name(f".{newest.name}.crc").unlink(missing_ok=True)
     assert index.load(spark, folder, index.corpus_mark(d)) is None and index.load(spark, str(tmp_path / "none"), "x") is None
     sources = spark.createDataFrame([("s", "o", "2020-01-01"), ("r", "o", "no date"), ("q", "o", "2021-01-01")], "source_id string, origin string, fetched_at string")
     edges = spark.createDataFrame([("b", "a", "duplicates"), ("a", "c", "duplicates")], "src_node_id string, dst_node_id string, kind string")

@@ -14,6 +14,7 @@ contradicts is none.  A document has every subject whose share reaches a quarter
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.llm import neardup
 from citeloom.llm.frames import nonempty
 from citeloom.llm.spans import mix
 from citeloom.skew import lookup_join, small_join
@@ -39,9 +41,9 @@ RARE_PURITY, RARE_LIFT = 0.20, 5.0
 MOST_SENT = 300_000
 #: Edges between documents: shingle width and least similarity.  Weight of a clamped neighbour, of another one.
 WIDTH, ALIKE = 5, 0.8
+CLAMPED, OTHERS = 4.0, 1.0
 #: Bands of a signature, of four values each; at similarity 0.8 two texts share less than two of them four times in ten thousand.
 BANDS = 20
-CLAMPED, OTHERS = 4.0, 1.0
 #: Rounds of propagation at most; labels settle earlier, as each round averages.
 MOST_ROUNDS = 10
 
@@ -112,7 +114,8 @@ def signatures(n: int, owner: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray
     """(row, ``BANDS`` numbers) of those of ``n`` lists that have a shingle (``shingles_of``); lists with Jaccard ``ALIKE`` share two of them all but surely.
 
     One-permutation minhash of shingles of ``WIDTH`` words in four times as many bins as there
-    are bands; an empty bin takes the value of the next one.
+    are bands; an empty bin takes the value of the next one.  Edges between documents don't
+    depend on it: ``similar_documents`` joins whole sets.
     """
     if not len(grams):
         return np.empty(0, dtype=np.int64), np.empty((0, BANDS), dtype=np.int64)
@@ -135,46 +138,61 @@ def signatures(n: int, owner: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray
     return rows, bands.view(np.int64)
 
 
+def shingle_sets(n: int, owner: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, bytes]]:
+    """(``n`` + 1 offsets, tokens, {list: 128-bit number of its set}): the distinct shingles (``shingles_of``) of ``n`` lists as 32-bit tokens; empty sets have no number."""
+    key = np.unique((owner.astype(np.uint64) << np.uint64(32)) | (grams >> np.uint64(32)))
+    tokens = key & np.uint64(0xFFFFFFFF)
+    cuts = np.searchsorted(key >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
+    some = np.flatnonzero(np.diff(cuts))
+    ids = np.zeros((len(some), 2), dtype=np.uint64)
+    if len(some):
+        with np.errstate(over="ignore"):
+            for k in range(2):
+                ids[:, k] = mix(np.add.reduceat(mix(tokens + np.uint64((k + 1) << 40)), cuts[some]))
+    return cuts.astype(np.int32), tokens.astype(np.uint32), {i: x.tobytes() for i, x in zip(some.tolist(), ids)}
+
+
 @nonempty
 def _terms(batches):
-    """Distinct terms of each document, and the bands of its signature."""
+    """Distinct terms and shingles of each document; its class is the number of its set of shingles, without any the hash of the text."""
     for b in batches:
         n = b.num_rows
         owner, codes, unique = coded([terms_in(t.lower()) for t in b["text"].to_pylist()])
-        rows, bands = signatures(n, *shingles_of(owner, codes, unique))
-        has = np.zeros(n + 1, dtype=np.int32)
-        has[rows + 1] = BANDS
+        parts, tokens, numbers = shingle_sets(n, *shingles_of(owner, codes, unique))
+        classes = [numbers.get(i) or h.tobytes() for i, h in enumerate(b["hash"].to_numpy())]
         held = np.unique((owner.astype(np.int64) << 32) | codes)
         terms = pa.array(unique, type=pa.string()).take(pa.array(held & 0xFFFFFFFF))
         cuts = np.searchsorted(held >> 32, np.arange(n + 1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([b["doc_id"], b["class"], pa.ListArray.from_arrays(pa.array(cuts), terms), pa.ListArray.from_arrays(pa.array(np.cumsum(has, dtype=np.int32)), pa.array(bands.ravel()))], names=["doc_id", "class", "terms", "bands"])
+        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(classes, type=pa.binary()), pa.ListArray.from_arrays(pa.array(cuts), terms), pa.ListArray.from_arrays(pa.array(parts), pa.array(tokens.view(np.int32)))], names=["doc_id", "class", "terms", "tokens"])
 
 
-def similar_documents(corpus: DataFrame, held: DataFrame) -> DataFrame:
-    """(a, b, s): pairs of different texts (classes) with Jaccard ``s`` >= ``ALIKE`` of their word shingles, a < b.
+class PackedCodes:
+    """``neardup.frequency_codes`` that are sent to tasks compressed and arrive as an array."""
 
-    Texts that share a band of their signatures are tied to the smallest class there, so no
-    bucket is paired with itself; ties of two bands are verified on the whole shingle sets.
-    """
-    own = held.select("class", F.explode("bands").alias("band"))
-    first = stage(own.groupBy("band").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a <> z").select("band", "a"), "buckets")
-    ties = stage(small_join(own, first, ["band"]).where("a <> class").groupBy("a", F.col("class").alias("b")).agg(F.count_distinct("band").alias("k")).where("k > 1").select("a", "b"), "candidates")
-    some = stage(ties.select(F.col("a").alias("class")).unionByName(ties.select(F.col("b").alias("class"))).distinct(), "tied-classes")
-    texts = small_join(corpus.select("class", "text"), some, ["class"], "left_semi").dropDuplicates(["class"])
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes
 
-    @nonempty
-    def shingle(batches):
-        for pdf in batches:
-            owner, grams = shingles_of(*coded([terms_in(t.lower()) for t in pdf["text"]]))
-            cuts = np.searchsorted(owner, np.arange(1, len(pdf)))
-            yield pd.DataFrame({"class": pdf["class"], "s": [np.unique(g.view(np.int64)) for g in np.split(grams, cuts)]})
+    def __reduce__(self):
+        return _unpacked, (zlib.compress(self.codes, 1),)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
 
-    sets = stage(texts.mapInPandas(shingle, "class bigint, s array<bigint>"), "tied-sets")
-    a = sets.select(F.col("class").alias("a"), F.col("s").alias("sa"))
-    b = sets.select(F.col("class").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    rows = lookup_join(lookup_join(ties, a, ["a"]), b, ["b"]).select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("s"))
-    return stage(rows.where(F.col("s") >= ALIKE), "similar")
+
+def similar_documents(held: DataFrame) -> DataFrame:
+    """(a, b, s): every pair of classes with Jaccard ``s`` >= ``ALIKE`` of their shingle sets, a < b.
+
+    The exact join of ``neardup`` over one document of each class; exact but for collisions
+    of 32-bit tokens.  Pairs grow with the square of a group of texts that are all alike
+    and all differ; texts of one set are one class and have no pairs.
+    """
+    several = stage(held.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "several-texts")
+    alone = small_join(held, several.select("class"), ["class"], "left_anti").select("class", "tokens")
+    first = small_join(held, several, ["doc_id", "class"], "left_semi").select("class", "tokens").dropDuplicates(["class"])
+    sets = alone.unionByName(first).where(F.size("tokens") > 0).withColumn("cid", F.xxhash64("class"))
+    codes = held.sparkSession.sparkContext.broadcast(PackedCodes(neardup.frequency_codes(sets)))
+    return neardup.similar_sets(sets, codes, ALIKE).withColumnRenamed("jaccard", "s")
 
 
 def term_votes(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -271,19 +289,19 @@ def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, doc
     empty.  Rows that repeat a doc_id give repeated results once.  ``graph`` False leaves
     the edges between documents out.
     """
-    corpus = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("class")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.trim("text") != ""))
+    corpus = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.trim("text") != ""))
     kind = dict(docs.dtypes)[doc_id]
     seeds = clean_labels(labels, subjects)
     each = seeds.groupBy("doc_id").agg(F.count("*").alias("k"))
     seeds = stage(seeds.join(each, "doc_id").select("doc_id", "subject", (F.lit(1.0) / F.col("k")).alias("w")), "seeds")
-    held = stage(corpus.mapInArrow(_terms, f"doc_id {kind}, class bigint, terms array<string>, bands array<bigint>"), "terms")
+    held = stage(corpus.mapInArrow(_terms, f"doc_id {kind}, class binary, terms array<string>, tokens array<int>"), "terms")
     terms = verified_terms(held, seeds, rounds)
     if terms.count() <= MOST_SENT:
         evidence = _by_lookup(corpus, terms, kind)
     else:
         evidence = _by_join(corpus, terms, kind)
     evidence = stage(evidence.distinct(), "evidence")
-    return propagate(corpus, held, evidence, seeds, least, graph)
+    return propagate(held, evidence, seeds, least, graph)
 
 
 def verified_terms(held: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
@@ -323,11 +341,12 @@ def trusted_seeds(evidence: DataFrame, seeds: DataFrame, least: float) -> DataFr
     return seeds.select("doc_id", "subject", "w").join(good, "doc_id").join(own, ["doc_id", "subject"], "left").select("doc_id", "subject", F.greatest(F.coalesce("share", "w"), F.lit(least)).alias("share"))
 
 
-def propagate(corpus: DataFrame, held: DataFrame, evidence: DataFrame, seeds: DataFrame, least: float, graph: bool = True) -> DataFrame:
+def propagate(held: DataFrame, evidence: DataFrame, seeds: DataFrame, least: float, graph: bool = True) -> DataFrame:
     """(doc_id, subject): labels after propagation over edges between similar documents.
 
-    Equal texts (64 bits of a hash) meet in their class and classes are tied by their verified
-    similarity, so that a text with many copies has no edges between them all.  In a round a document's
+    Texts with equal sets of shingles (128 bits of a hash), or equal texts without any, meet in
+    their class and classes are tied by their verified similarity, so that a text with many copies
+    has no edges between them all.  In a round a document's
     share of a subject becomes the mean of its own evidence and of its class and the
     neighbouring ones, in which clamped seeds weigh ``CLAMPED``.
     """
@@ -338,7 +357,7 @@ def propagate(corpus: DataFrame, held: DataFrame, evidence: DataFrame, seeds: Da
     label = F.col("share") >= least - 1e-9
     if not graph:
         return every.where(label).select("doc_id", "subject")
-    pairs = similar_documents(corpus, held)
+    pairs = similar_documents(held)
     ties = pairs.select(F.col("a").alias("class"), F.col("b").alias("near"), "s").unionByName(pairs.select(F.col("b").alias("class"), F.col("a").alias("near"), "s"))
     several = docs.distinct().groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class").unionByName(ties.select("class")).distinct()
     members = small_join(docs.distinct(), stage(several, "several"), ["class"], "left_semi")

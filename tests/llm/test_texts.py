@@ -407,6 +407,56 @@ def test_subjects_follow_edges_and_clamped_seeds(spark):
     assert got - alone == {(501, "sport"), (502, "sport")}
 
 
+def replaced(rng, words, n):
+    """The words with ``n`` of them replaced, each far from the others."""
+    out = list(words)
+    for at in rng.sample(range(7, len(words) - 7, 6), n):
+        out[at] = "z" + "".join(rng.choices("abcdefgh", k=8))
+    return out
+
+
+def test_subjects_reach_every_similar_text(spark):
+    rng = random.Random(31)
+    docs, truth = corpus(rng, 60)
+    labels = [(i, s) for i in range(0, 60, 4) for s in truth[i]]
+    near, far = set(), set()
+    for g in range(8):
+        # a seed without known terms, a text with Jaccard 86 / 106 to it, and many with at most 81 / 111 to either
+        base = ["q" + "".join(rng.choices("abcdefgh", k=8)) for _ in range(100)]
+        group = [base, replaced(rng, base, 2), *[replaced(rng, base, 3) for _ in range(20)]]
+        docs += [(1000 + 100 * g + i, " ".join(w)) for i, w in enumerate(group)]
+        labels.append((1000 + 100 * g, "sport"))
+        near |= {1000 + 100 * g, 1001 + 100 * g}
+        far |= {1000 + 100 * g + i for i in range(2, 22)}
+    dd, ll = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject string")
+    names = spark.createDataFrame([(s,) for s in ("law", "sport", "food")], "subject string")
+    got = {(r.doc_id, r.subject) for r in subjects.assign_subjects(dd, ll, names).collect()}
+    assert {x for x in got if x[0] >= 1000} == {(i, "sport") for i in near} and not far & {i for i, _ in got}
+
+
+def test_similar_documents_equal_brute_force(spark):
+    rng = random.Random(32)
+    lists = []
+    for n in (7, 30, 100, 300):
+        base = ["q" + "".join(rng.choices("abcdefgh", k=5)) for _ in range(n)]
+        lists += [base, *[replaced(rng, base, rng.randint(0, n // 50)) for _ in range(40)], *[base[: n - k] for k in range(1, 4)]]
+    given = [" ".join(w) for w in lists]
+    given += [given[0], given[-1].upper(), given[-2] + "!", "two words", "Two words", "", "1 2 3"]  # copies, equal sets, texts without any
+    held = spark.createDataFrame([(i, t, i) for i, t in enumerate(given)], "doc_id long, text string, hash long").repartition(5)
+    held = subjects.stage(held.mapInArrow(subjects._terms, "doc_id long, class binary, terms array<string>, tokens array<int>"))
+    sets = {}
+    for r in held.select("doc_id", "class").collect():
+        w = [] if given[r.doc_id].startswith("1") else given[r.doc_id].lower().rstrip("!").split()
+        sets.setdefault(bytes(r["class"]), set()).add(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)))
+    assert all(len(s) == 1 for s in sets.values())  # a class has one set, and a set one class
+    sets = {c: s for c, (s,) in sets.items() if s}
+    assert len(set(sets.values())) == len(sets)
+    want = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a < b and 5 * len(x & y) >= 4 * len(x | y)}
+    got = subjects.similar_documents(held).collect()
+    assert {(bytes(r.a), bytes(r.b)): r.s for r in got} == want and len(got) == len(want) > 500
+    assert subjects.similar_documents(held.limit(0)).count() == 0
+
+
 def test_sentences_and_mentions():
     assert subjects.sentences("The head of it\nFirst one. Second 2.5 one!") == ["First one.", "Second 2.5 one!"]
     assert subjects.sentences("Broken line\nof one sentence. Two.") == ["Broken line\nof one sentence.", "Two."]

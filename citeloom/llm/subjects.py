@@ -96,6 +96,43 @@ def coded(words: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(counts)), counts), codes, unique
 
 
+_LETTER = np.array([c > 127 or chr(c).isalpha() for c in range(256)])
+_SPACE, _FULL, _CLOSE = (np.array([c < 128 and test(chr(c)) for c in range(256)]) for test in (str.isspace, ".!?".__contains__, "\"')]".__contains__))
+
+
+def words_in(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of each word, its number, the words by number): ``terms_in`` of lower-case bytes, of which those from 128 on stand in terms only."""
+    letter = _LETTER[data]
+    word = letter.copy()
+    hyphens = np.flatnonzero(data[1:-1] == 45) + 1
+    word[hyphens[letter[hyphens - 1] & letter[hyphens + 1]]] = True
+    edges = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    offsets = np.concatenate(([0], np.cumsum(edges[1::2] - edges[::2]))).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data[word])).dictionary_encode()
+    return edges[::2], words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False)
+
+
+def numbered_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``coded`` of the terms of texts, found in all of them at once."""
+    parts = [t.encode() if t.isascii() else " ".join(terms_in(t.lower())).encode() for t in texts]
+    places, codes, unique = words_in(np.frombuffer(b"\n".join(parts).lower(), dtype=np.uint8))
+    ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1)
+    counts = np.diff(np.searchsorted(places, ends), prepend=0)
+    return np.repeat(np.arange(len(parts)), counts), codes, unique
+
+
+def sorted_sets(n: int, owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(``n`` + 1 offsets, values): the distinct values of each of ``n`` lists, ascending; ``owner`` ascends."""
+    values = values.copy()
+    cuts = np.searchsorted(owner, np.arange(n + 1))
+    # many short lists: far cheaper than to sort all of them as one
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        values[a:b].sort()
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    return np.concatenate(([0], np.cumsum(new)))[cuts].astype(np.int32), values[new]
+
+
 def shingles_of(owner: np.ndarray, codes: np.ndarray, unique: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(list, hash) of every run of ``WIDTH`` words inside one list."""
     n = len(codes) - WIDTH + 1
@@ -140,30 +177,34 @@ def signatures(n: int, owner: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray
 
 def shingle_sets(n: int, owner: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, bytes]]:
     """(``n`` + 1 offsets, tokens, {list: 128-bit number of its set}): the distinct shingles (``shingles_of``) of ``n`` lists as 32-bit tokens; empty sets have no number."""
-    key = np.unique((owner.astype(np.uint64) << np.uint64(32)) | (grams >> np.uint64(32)))
-    tokens = key & np.uint64(0xFFFFFFFF)
-    cuts = np.searchsorted(key >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
+    cuts, tokens = sorted_sets(n, owner, (grams >> np.uint64(32)).astype(np.uint32))
     some = np.flatnonzero(np.diff(cuts))
     ids = np.zeros((len(some), 2), dtype=np.uint64)
     if len(some):
         with np.errstate(over="ignore"):
             for k in range(2):
-                ids[:, k] = mix(np.add.reduceat(mix(tokens + np.uint64((k + 1) << 40)), cuts[some]))
-    return cuts.astype(np.int32), tokens.astype(np.uint32), {i: x.tobytes() for i, x in zip(some.tolist(), ids)}
+                ids[:, k] = mix(np.add.reduceat(mix(tokens.astype(np.uint64) + np.uint64((k + 1) << 40)), cuts[some]))
+    return cuts, tokens, {i: x.tobytes() for i, x in zip(some.tolist(), ids)}
 
 
 @nonempty
-def _terms(batches):
-    """Distinct terms and shingles of each document; its class is the number of its set of shingles, without any the hash of the text."""
+def _terms(batches, packed: bool = False):
+    """Distinct terms and shingles of each document; its class is the number of its set of shingles (16 bytes), without any the hash of the text (8).
+
+    ``packed`` gives the shingles as bytes, which Spark moves as a whole.
+    """
     for b in batches:
         n = b.num_rows
-        owner, codes, unique = coded([terms_in(t.lower()) for t in b["text"].to_pylist()])
+        owner, codes, unique = numbered_words(b["text"].to_pylist())
         parts, tokens, numbers = shingle_sets(n, *shingles_of(owner, codes, unique))
         classes = [numbers.get(i) or h.tobytes() for i, h in enumerate(b["hash"].to_numpy())]
-        held = np.unique((owner.astype(np.int64) << 32) | codes)
-        terms = pa.array(unique, type=pa.string()).take(pa.array(held & 0xFFFFFFFF))
-        cuts = np.searchsorted(held >> 32, np.arange(n + 1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(classes, type=pa.binary()), pa.ListArray.from_arrays(pa.array(cuts), terms), pa.ListArray.from_arrays(pa.array(parts), pa.array(tokens.view(np.int32)))], names=["doc_id", "class", "terms", "tokens"])
+        cuts, held = sorted_sets(n, owner, codes)
+        terms = pa.array(unique, type=pa.string()).take(pa.array(held))
+        if packed:
+            sets = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(4 * parts), pa.py_buffer(tokens)])
+        else:
+            sets = pa.ListArray.from_arrays(pa.array(parts), pa.array(tokens.view(np.int32)))
+        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(classes, type=pa.binary()), pa.ListArray.from_arrays(pa.array(cuts), terms), sets], names=["doc_id", "class", "terms", "tokens"])
 
 
 class PackedCodes:
@@ -190,7 +231,7 @@ def similar_documents(held: DataFrame) -> DataFrame:
     several = stage(held.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "several-texts")
     alone = small_join(held, several.select("class"), ["class"], "left_anti").select("class", "tokens")
     first = small_join(held, several, ["doc_id", "class"], "left_semi").select("class", "tokens").dropDuplicates(["class"])
-    sets = alone.unionByName(first).where(F.size("tokens") > 0).withColumn("cid", F.xxhash64("class"))
+    sets = alone.unionByName(first).where(F.length("class") > 8).withColumn("cid", F.xxhash64("class"))
     codes = held.sparkSession.sparkContext.broadcast(PackedCodes(neardup.frequency_codes(sets)))
     return neardup.similar_sets(sets, codes, ALIKE).withColumnRenamed("jaccard", "s")
 
@@ -280,6 +321,46 @@ def main_subject(mentions: list):
     return Counter(mentions).most_common(1)[0][0]
 
 
+def sentence_counts(texts: list[str], number_of: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, subject, sentences whose main subject it is, sentences of the text): ``sentence_subjects`` of ASCII texts, all at once.
+
+    ``number_of`` has the subjects of terms as numbers.
+    """
+    if not texts:
+        return (np.empty(0, dtype=np.int64),) * 4
+    parts = [body_of(t).encode() + b"\0" for t in texts]
+    data = np.frombuffer(b"".join(parts).lower(), dtype=np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))
+    plain = ~(_SPACE | _FULL)[data]
+    plain[ends - 1] = False
+    # a full stop, closing marks and a blank end a sentence
+    stops = np.flatnonzero(_FULL[data])
+    after = stops + 1
+    while (closing := _CLOSE[data[after]]).any():
+        after = after + closing
+    real = _SPACE[data[after]]
+    stops, blanks = stops[real], after[real]
+    for k in range(1, int((blanks - stops).max(initial=1))):
+        plain[(stops + k)[stops + k < blanks]] = False
+    starts = np.sort(np.concatenate((blanks, ends - [len(p) for p in parts])))
+    text_of = np.searchsorted(ends, starts, side="right")
+    total = np.bincount(text_of[np.logical_or.reduceat(plain, starts)], minlength=len(texts))
+    # neighbouring terms of one subject in a sentence are one mention
+    places, codes, unique = words_in(data)
+    subject = np.array([number_of.get(w, -1) for w in unique], dtype=np.int64)[codes]
+    new = np.ones(len(places) + 1, dtype=bool)
+    new[1:-1] = subject[1:] != subject[:-1]
+    new[np.searchsorted(places, starts)] = True
+    at = np.flatnonzero(new[:-1] & (subject >= 0))
+    kinds = int(subject.max(initial=0)) + 1
+    named, first, mentions = np.unique((np.searchsorted(starts, places[at], side="right") - 1) * kinds + subject[at], return_index=True, return_counts=True)
+    order = np.lexsort((first, -mentions, named // kinds))
+    named = named[order]
+    main = named[np.diff(named // kinds, prepend=-1) != 0]
+    found, n = np.unique(text_of[main // kinds] * kinds + main % kinds, return_counts=True)
+    return found // kinds, found % kinds, n, total[found // kinds]
+
+
 def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 3, least: float = 0.25, graph: bool = True) -> DataFrame:
     """(doc_id, subject) for every subject whose propagated share of a document is at least ``least``.
 
@@ -294,7 +375,7 @@ def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, doc
     seeds = clean_labels(labels, subjects)
     each = seeds.groupBy("doc_id").agg(F.count("*").alias("k"))
     seeds = stage(seeds.join(each, "doc_id").select("doc_id", "subject", (F.lit(1.0) / F.col("k")).alias("w")), "seeds")
-    held = stage(corpus.mapInArrow(_terms, f"doc_id {kind}, class binary, terms array<string>, tokens array<int>"), "terms")
+    held = stage(corpus.mapInArrow(lambda b: _terms(b, packed=True), f"doc_id {kind}, class binary, terms array<string>, tokens binary"), "terms")
     terms = verified_terms(held, seeds, rounds)
     if terms.count() <= MOST_SENT:
         evidence = _by_lookup(corpus, terms, kind)
@@ -388,20 +469,25 @@ def propagate(held: DataFrame, evidence: DataFrame, seeds: DataFrame, least: flo
 
 def _by_lookup(corpus: DataFrame, terms: DataFrame, kind: str) -> DataFrame:
     """(doc_id, subject, share): the share of a document's sentences that each subject takes."""
-    shared = corpus.sparkSession.sparkContext.broadcast({r.term: r.subject for r in terms.select("term", "subject").collect()})
+    rows = terms.select("term", "subject").collect()
+    names = sorted({r.subject for r in rows})
+    shared = corpus.sparkSession.sparkContext.broadcast({r.term: names.index(r.subject) for r in rows})
 
     @nonempty
     def decide(batches):
-        subject_of = shared.value.get
+        number_of = shared.value
         for b in batches:
-            at, out, shares = [], [], []
-            for k, t in enumerate(b["text"].to_pylist()):
-                found, n = sentence_subjects(t, subject_of)
-                for s, x in found.items():
-                    at.append(k)
-                    out.append(s)
-                    shares.append(x / n)
-            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(at, type=pa.int32())), pa.array(out, type=pa.string()), pa.array(shares, type=pa.float64())], names=["doc_id", "subject", "share"])
+            texts = b["text"].to_pylist()
+            ascii = np.array([t.isascii() for t in texts], dtype=bool)
+            text, subject, x, n = sentence_counts([t for t, a in zip(texts, ascii) if a], number_of)
+            at, out, shares = [np.flatnonzero(ascii)[text]], [subject], [x / n]
+            for k in np.flatnonzero(~ascii):
+                found, n = sentence_subjects(texts[k], number_of.get)
+                at.append(np.full(len(found), k))
+                out.append(np.fromiter(found, dtype=np.int64))
+                shares.append(np.array([x / n for x in found.values()]))
+            at, out, shares = (np.concatenate(c) for c in (at, out, shares))
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(at)), pa.array(names, type=pa.string()).take(pa.array(out)), pa.array(shares, type=pa.float64())], names=["doc_id", "subject", "share"])
 
     return corpus.select("doc_id", "text").mapInArrow(decide, f"doc_id {kind}, subject string, share double")
 

@@ -466,6 +466,51 @@ def test_sentences_and_mentions():
     assert subjects.main_subject([1, 2]) == 1 and subjects.main_subject([1, 2, 2]) == 2 and subjects.main_subject([]) is None
 
 
+def test_terms_and_sentences_of_whole_batches():
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(33)
+    odd = ["a-b -c d- 1-e f-2g x--y _h_i", "\u00e9-\u00fc \u2011 a\u2011b A", "", "\n", "- -", "one\ttwo\x1cthree", "A. \"", "A b.\") a? ...  1.", "a\0b. -", "Head\nA b a. B a!"]
+    odd += ["".join(rng.choices("abAB --..!?\"')] \n\t\x1c\0_1", k=rng.randint(0, 40))) for _ in range(500)]
+    of = {"a": 1, "b": 0, "a-b": 2, "ab": 0}
+    owner, codes, unique = subjects.numbered_words(odd)
+    words = [[] for _ in odd]
+    for i, c in zip(owner, codes):
+        words[i].append(unique[c])
+    assert words == [subjects._TERM.findall(t.lower()) for t in odd]
+    plain = [t for t in odd if t.isascii()]
+    got = list(zip(*(x.tolist() for x in subjects.sentence_counts(plain, of))))
+    want = [(i, s, x, n) for i, (found, n) in enumerate(subjects.sentence_subjects(t, of.get) for t in plain) for s, x in found.items()]
+    assert sorted(got) == sorted(want) and len(got) > 100 and len(subjects.sentence_counts([], of)[0]) == 0
+
+    # a batch takes much less time than numbering its words text by text and sorting them as one list
+    vocabulary = ["".join(rng.choices("abcdefgh", k=7)) for _ in range(1500)]
+    many = [" ".join(rng.choices(vocabulary, k=200)) + "." for _ in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(many), pa.array(range(4000))], names=["doc_id", "text", "hash"])
+
+    def by_text():
+        owner, codes, unique = subjects.coded([subjects.terms_in(t.lower()) for t in many])
+        rows, grams = subjects.shingles_of(owner, codes, unique)
+        np.unique((rows.astype(np.uint64) << np.uint64(32)) | (grams >> np.uint64(32)))
+        np.unique((owner << 32) | codes)
+
+    def least(f):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert least(lambda: list(subjects._terms([batch]))) < 0.6 * least(by_text)
+    (lists,), (bytes_,) = subjects._terms([batch]), subjects._terms([batch], packed=True)
+    for x, y in zip(neardup._flat(lists["tokens"].slice(5, 90)), neardup._flat(bytes_["tokens"].slice(5, 90))):
+        assert x.tolist() == y.tolist() and len(x)
+
+
 def test_signatures_find_similar_lists():
     rng = random.Random(2)
     base = [rng.choices(WORDS, k=120) for _ in range(40)]

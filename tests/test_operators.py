@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from citeloom.operators import checks, graph, models, retrieval, store
+from citeloom.operators import checks, graph, models, neighbours, retrieval, store
 from citeloom.skew import lookup_join, small_join
 from citeloom.sources import bundle, dataset, documents, files, packet, policy
 from citeloom.streaming import ingest
@@ -94,6 +94,35 @@ def test_vectors_coverage_and_hybrid(spark):
     assert retrieval.tfidf_vectors(one, "card_id", "text").count() > 0
 
 
+@pytest.mark.parametrize(("k", "block"), [(1, 100), (4, 10_000)])
+def test_neighbours_equal_all_pairs(spark, k, block):
+    rnd = random.Random(5)
+    words = [f"w{i:03d}" for i in range(300)]
+    texts = [" ".join(rnd.choices(words, [1 / (i + 1) for i in range(300)], k=rnd.choice([1, 3, 12, 40]))) for _ in range(880)]
+    r = [(f"{i:04d}", t) for i, t in enumerate([*texts, *texts[:30], *[texts[5]] * 12, "", None, "the of", "w001 w002"])]
+    d = spark.createDataFrame(r + r[:9], "id string, body string")
+    asked = F.col("id").endswith("5") | (F.col("id") > "0880")
+    got = neighbours.tfidf_neighbours(d, "id", "body", asked, k, 0.1, max_features=900, block=block)
+    assert got.columns == ["q", "id", "score", "rank"] and "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    vec: dict = {}
+    for v in retrieval.tfidf_vectors(d.distinct(), "id", "body", max_features=900).collect():
+        vec.setdefault(v.id, {})[v.term] = v.w
+    want = {}
+    for q in vec:
+        if q.endswith("5") or q > "0880":
+            near = [(-round(sum(w * vec[i].get(t, 0.0) for t, w in vec[q].items()), 9), i) for i in vec if i != q]
+            want |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(sorted(x for x in near if x[0] < -0.1)[:k])}
+    assert {(x["q"], x["rank"]): (x["id"], round(x["score"], 9)) for x in got.collect()} == want
+    assert len(want) > 100 * k
+
+
+def test_neighbours_of_nothing(spark):
+    d = spark.createDataFrame([("a", ""), ("b", None), ("c", "the of")], "id string, body string")
+    assert neighbours.tfidf_neighbours(d, "id", "body", F.lit(True)).count() == 0 == neighbours.tfidf_neighbours(d.limit(0), "id", "body", F.lit(True)).count()
+    one = spark.createDataFrame([("a", "port fees"), ("b", "port fees"), ("c", "reef")], "id string, body string")
+    assert rows(neighbours.tfidf_neighbours(one, "id", "body", F.col("id") != "b", max_df=0.1).select("q", "id", F.round("score", 9), "rank")) == [("a", "b", 1.0, 1)]
+
+
 def test_small_pool_filter(spark):
     r = [(f"x{i:02d}", "port fees", "port fees port fees", "c", "b", "neg", None, None, 2000, 0.5, "s") for i in range(80)] + [("t", "port", "port once", "c", "b", "aff", "Ann", None, 2010, 0.5, "s")]
     cards = spark.createDataFrame(r, "card_id string, tag string, read_text string, cite_raw string, body string, side string, cite_author string, block string, cite_year int, read_ratio double, source_id string")

@@ -17,19 +17,23 @@ def answer_edges(nodes: DataFrame, least: float = 0.45, most: int = 8) -> DataFr
     Candidates share a content token (or the whole normalised title), so titles without
     either never meet.  Blocks with the same target and nodes with the same title are
     compared once.  Answer blocks are no targets.  Ties go to the smaller node id.
+
+    Two titles of n and m tokens need ``o`` common ones to be similar enough.  Then the first
+    ``n - o + k`` and ``m - o + k`` tokens, in one order, have ``k`` in common, so titles are
+    joined on these and both sizes, with ``k`` up to three: not on every word they share.
     """
-    rows = nodes.select("node_id", "title", T.answers_target(F.col("title")).alias("target"))
-    asks = rows.where("target is not null").withColumn("norm", T.normalize_title(F.col("target")))
-    gives = rows.where("target is null and title is not null").withColumn("norm", T.normalize_title(F.col("title")))
-    a = asks.select("norm").distinct().withColumn("tokens", T.content_tokens(F.col("norm")))
-    b = gives.select("norm").distinct().withColumn("tokens", T.content_tokens(F.col("norm")))
-    words = F.explode(F.array_union("tokens", F.array(F.concat(F.lit("="), F.col("norm")))))
-    ka = a.select(F.col("norm").alias("na"), F.col("tokens").alias("ta"), words.alias("t"))
-    kb = b.select(F.col("norm").alias("nb"), F.col("tokens").alias("tb"), words.alias("t"))
-    # every pair is kept at its first common token only, so no distinct over pairs is needed
-    common = F.array_intersect(F.array_union("ta", F.array(F.concat(F.lit("="), F.col("na")))), F.array_union("tb", F.array(F.concat(F.lit("="), F.col("nb")))))
-    pairs = ka.join(kb, "t").where(F.col("t") == F.array_min(common))
-    scored = pairs.select("na", "nb", T.title_similarity(F.col("na"), F.col("nb"), F.col("ta"), F.col("tb")).alias("s")).where(F.col("s") >= least)
+    rows = stage(nodes.select("node_id", "title", T.answers_target(F.col("title")).alias("target")).withColumn("norm", T.normalize_title(F.coalesce("target", "title"))), "titles")
+    asks, gives = rows.where("target is not null"), rows.where("target is null and title is not null")
+    a, b = (stage(x.select("norm").distinct().withColumn("tokens", F.array_sort(T.content_tokens(F.col("norm")))).withColumn("n", F.size("tokens")), "title-sets") for x in (asks, gives))
+    ka, kb = title_keys(a, b, least), title_keys(b, a, least)
+    ka = ka.select(F.col("norm").alias("na"), F.col("tokens").alias("ta"), F.col("n").alias("sa"), F.col("m").alias("sb"), "o", "k", "t")
+    kb = kb.select(F.col("norm").alias("nb"), F.col("tokens").alias("tb"), F.col("n").alias("sb"), F.col("m").alias("sa"), "t")
+    # every pair is kept at its first common tokens only, so no distinct over pairs is needed
+    met = ka.join(kb, ["sa", "sb", "t"]).withColumn("common", F.array_intersect("ta", "tb"))
+    pairs = met.where((F.size("common") >= F.col("o")) & (F.col("t") == F.array_join(F.slice("common", F.lit(1), F.col("k")), " "))).select("na", "nb", "ta", "tb")
+    # titles of no token are similar to themselves only
+    bare = a.where("n = 0 and norm <> ''").select(F.col("norm").alias("na"), F.col("tokens").alias("ta")).join(b.where("n = 0").select(F.col("norm").alias("nb"), F.col("tokens").alias("tb")), F.col("na") == F.col("nb"))
+    scored = pairs.unionByName(bare).select("na", "nb", T.title_similarity(F.col("na"), F.col("nb"), F.col("ta"), F.col("tb")).alias("s")).where(F.col("s") >= least)
     # equal scores of one title go by node id, so no more than ``most`` nodes of it can count
     first = gives.withColumn("k", F.row_number().over(W.partitionBy("norm").orderBy("node_id"))).where(F.col("k") <= most + 1)
     targets = first.select("norm", F.col("node_id").alias("dst")).withColumnRenamed("norm", "nb")
@@ -39,6 +43,22 @@ def answer_edges(nodes: DataFrame, least: float = 0.45, most: int = 8) -> DataFr
     return ranked.select("src", "dst", F.round("s", 3).alias("confidence"), "target")
 
 
+def title_keys(titles: DataFrame, others: DataFrame, least: float) -> DataFrame:
+    """(the columns of ``titles``, m, o, k, t): of each set of n tokens, for every size m of ``others`` that can be similar, the ``o`` tokens needed and all ``k`` of its first n - o + k."""
+    n, m, o = F.col("n"), F.col("m"), F.col("o")
+    sizes = F.broadcast(others.where("n > 0").select(F.col("n").alias("m")).distinct())  # one row per size
+    # by number, since the sets are small and their keys are not: else one task would list all of them
+    rows = titles.repartition(titles.sparkSession.sparkContext.defaultParallelism).join(sizes, (n >= m * least - 1e-9) & (m >= n * least - 1e-9)).withColumn("o", F.greatest(F.ceil(least * (n + m) / (1 + least) - 1e-9), F.lit(1)).cast("int"))
+    # k is one number for both sides, and smaller where there would be too many of three or two
+    spare = F.greatest(n, m) - o
+    rows = rows.where(o <= F.least(n, m)).withColumn("k", F.when((o >= 3) & (spare <= 7), 3).when((o >= 2) & (spare <= 18), 2).otherwise(1))
+    rows = rows.withColumn("p", F.slice("tokens", F.lit(1), n - o + F.col("k")))
+    sets = """CASE k WHEN 1 THEN p
+        WHEN 2 THEN flatten(transform(p, (x, i) -> transform(slice(p, i + 2, size(p)), y -> concat_ws(' ', x, y))))
+        ELSE flatten(transform(p, (x, i) -> flatten(transform(slice(p, i + 2, size(p)), (y, j) -> transform(slice(p, i + j + 3, size(p)), z -> concat_ws(' ', x, y, z)))))) END"""
+    return rows.select(*titles.columns, "m", "o", "k", F.explode(F.expr(sets)).alias("t"))
+
+
 #: Cards of exactly one set of shingles up to which all their pairs are edges; beyond, each has an edge to the first.
 MOST_COPIES = 32
 #: Rows of one shingle that one task joins.

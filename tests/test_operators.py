@@ -38,6 +38,36 @@ def test_answer_edges(spark):
     assert [r[1] for r in rows(graph.answer_edges(spark.createDataFrame(many, "node_id string, title string")), "src", "dst")] == [f"t{i:02d}" for i in range(8)]
 
 
+@pytest.mark.parametrize("least", [0.2, 0.45, 0.8])
+def test_answer_edges_equal_all_pairs(spark, least):
+    rnd = random.Random(7)
+    words = [f"w{i:02d}" for i in range(12)] + [f"v{i:03d}" for i in range(90)]
+    titles = [" ".join(rnd.sample(words[:12], rnd.randint(1, 8))) for _ in range(150)] + [" ".join(rnd.sample(words, rnd.choice([20, 35, 60, 90]))) for _ in range(40)] + ["of it", "to", "", None, "w01 w01", "W01, w02!"]
+    titles += [" ".join(t.split()[:-5] + rnd.sample(words, 5)) for t in titles[150:190]]
+    n = [(f"n{i:03d}", ("AT: " + t if i % 3 == 0 and t else t)) for i, t in enumerate(titles + rnd.sample(titles, 60))]
+    got = rows(graph.answer_edges(spark.createDataFrame(n, "node_id string, title string"), least, 5), "src", "dst", "confidence")
+    norm = {i: " ".join(t.removeprefix("AT: ").lower().replace(",", "").replace("!", "").split()) for i, t in n if t is not None}
+    sets = {i: {w for w in t.split() if len(w) > 2} for i, t in norm.items()}
+    asks = {i for i, t in n if t and t.startswith("AT: ")}
+    want = []
+    for a in asks:
+        near = []
+        for b in norm.keys() - asks:
+            both = len(sets[a] | sets[b])
+            s = 0.0 if not norm[a] or not norm[b] else 1.0 if norm[a] == norm[b] else len(sets[a] & sets[b]) / both if both else 0.0
+            if s >= least:
+                near.append((-s, b))
+        want += [(a, b, int(-s * 1000 + 0.5 + 1e-9) / 1000) for s, b in sorted(near)[:5]]
+    assert got == sorted(want) and len(want) > 50
+
+
+def test_titles_with_a_frequent_word_do_not_meet_on_it(spark):
+    t = spark.range(3000).selectExpr("concat('x', id) norm", "array('energy', concat('a', id), concat('b', id), 'policy') tokens", "4 n")
+    o = spark.range(3000).selectExpr("concat('y', id) norm", "array('energy', concat('c', id), concat('d', id), 'policy') tokens", "4 n")
+    a, b = graph.title_keys(t, o, 0.45), graph.title_keys(o, t, 0.45)
+    assert a.count() > 0 and a.join(b, "t").count() == 0  # every pair shares two words
+
+
 def test_duplicate_edges_match_brute_force(spark):
     rng = random.Random(2)
     base = [rng.choices([f"w{i}" for i in range(60)], k=rng.randrange(3, 30)) for _ in range(12)]
